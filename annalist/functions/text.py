@@ -97,6 +97,12 @@ def entry_id(date: Column, level: Column, process: Column, *more: Column) -> Col
     return F.sha2(F.concat_ws("|", date, level, process, *more), 256)
 
 
+def key_hash(*keys: str, seed: int = 0) -> Column:
+    """A 32-bit number that looks random but depends only on the keys and the seed."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
+
+
 # Clean-up expressions used when preparing tables.
 
 
