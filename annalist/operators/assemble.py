@@ -117,12 +117,13 @@ def stitch(pieces: DataFrame) -> DataFrame:
             F.array_join(F.col("parts.text"), "\n").alias("text"),
         )
     )
-    return whole.unionByName(stitched).withColumn("text", strip(F.col("text")))
+    return whole.unionByName(stitched)
 
 
-def _assemble(lines: DataFrame) -> DataFrame:
+def _assemble(lines: DataFrame, stripped: bool = True) -> DataFrame:
     pieces = lines.select("stream", "run", "line").mapInArrow(_pieces, _SCHEMA)
-    return stitch(stage(pieces, "pieces", partition_by=("edge",)))
+    entries = stitch(stage(pieces, "pieces", partition_by=("edge",)))
+    return entries.withColumn("text", strip(F.col("text"))) if stripped else entries
 
 
 def assemble_files(lines: DataFrame) -> DataFrame:
@@ -139,12 +140,14 @@ def assemble_files(lines: DataFrame) -> DataFrame:
 
 
 def assemble_streams(
-    lines: DataFrame, stream: str | Column, order: list[str | Column], line: str | Column
+    lines: DataFrame, stream: str | Column, order: list[str | Column], line: str | Column,
+    stripped: bool = True,
 ) -> DataFrame:
     """Entries of many streams whose lines are ordered by ``order`` within a stream.
 
     One range shuffle on (stream, order) sorts the lines; a stream of any size
-    is cut into ranges, so no task has to hold a whole stream.
+    is cut into ranges, so no task has to hold a whole stream. ``stripped`` is
+    turned off where an entry may still grow.
     """
     keyed = lines.select(
         (F.col(stream) if isinstance(stream, str) else stream).cast("string").alias("stream"),
@@ -153,4 +156,4 @@ def assemble_streams(
     )
     keys = ["stream", *[f"o{i}" for i in range(len(order))]]
     ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return _assemble(ranged.withColumn("run", F.spark_partition_id().cast("bigint")))
+    return _assemble(ranged.withColumn("run", F.spark_partition_id().cast("bigint")), stripped)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from annalist.functions.text import strip
 from annalist.operators.assemble import assemble_streams
 from annalist.plans.ingest import Ingest
 from annalist.session import stage
@@ -61,7 +62,8 @@ class EntryAssembler:
                     F.col("text").alias("msg"),
                 )
             )
-        entries = stage(assemble_streams(lines, "stream", ["ns", "position"], "msg"), "entries")
+        grown = assemble_streams(lines, "stream", ["ns", "position"], "msg", stripped=False)
+        entries = stage(grown, "entries")
         # One small row per stream combines on the map side; the texts stay where they are.
         last = entries.groupBy("stream").agg(F.max(F.struct("run", "entry")).alias("at"))
         is_last = (F.col("run") == F.col("at.run")) & (F.col("entry") == F.col("at.entry"))
@@ -69,7 +71,7 @@ class EntryAssembler:
         self.open_entries.merge(
             marked.filter("is_last").select("stream", "text"), batch=(self.name, batch_id)
         )
-        return marked.filter(~F.col("is_last")).drop("is_last")
+        return marked.filter(~F.col("is_last")).drop("is_last").withColumn("text", strip(F.col("text")))
 
     def _before(self, batch_id: int) -> DataFrame | None:
         """Open entries as they were before this batch, also when it is being repeated."""
@@ -82,7 +84,8 @@ class EntryAssembler:
         """The entries that are still open, for the end of a stream or a time-out."""
         df = self.open_entries.rows()
         return None if df is None else df.select(
-            "stream", F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("entry"), "text"
+            "stream", F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("entry"),
+            strip(F.col("text")).alias("text"),
         )
 
 
