@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from annalist.specs import (
@@ -19,16 +21,24 @@ TRUE_TEXTS = ["1", "true", "t", "yes", "y", "on"]
 FALSE_TEXTS = ["0", "false", "f", "no", "n", "off"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _last_wins(entries: Column) -> Column:
     """Entries (key, value) to a map in which a repeated key keeps its last value."""
-    unique = F.filter(
-        entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))),
-            lambda later: later["key"] == e["key"],
-        ),
-    )
-    return F.map_from_entries(unique)
+
+    def unique(all_entries: Column) -> Column:
+        return F.filter(
+            all_entries,
+            lambda e, i: ~F.exists(
+                F.slice(all_entries, i + 2, F.greatest(F.size(all_entries), F.lit(1))),
+                lambda later: later["key"] == e["key"],
+            ),
+        )
+
+    return F.map_from_entries(let(entries, unique))
 
 
 def json_object(text: Column) -> Column:
@@ -41,11 +51,14 @@ def json_object(text: Column) -> Column:
     items = F.from_json(
         F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _JSON
     )
-    found = F.when(F.size(items) == 1, F.get(items, F.lit(0)))
-    keys = F.map_keys(found)
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), found).otherwise(
-        _last_wins(F.map_entries(found))
-    )
+
+    def only_item(found: Column) -> Column:
+        record = F.get(found, F.lit(0))
+        repeated = F.size(F.array_distinct(F.map_keys(record))) < F.size(record)
+        last = F.when(repeated, _last_wins(F.map_entries(record))).otherwise(record)
+        return F.when(F.size(found) == 1, last)
+
+    return let(items, only_item)
 
 
 def kv_fields(text: Column) -> Column:

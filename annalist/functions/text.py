@@ -29,38 +29,15 @@ def is_opener(line: Column) -> Column:
     return line.rlike("(?d)" + OPENER)
 
 
-def entry_parts(entry: Column) -> dict[str, Column]:
-    """Cut an entry at the first two pipes and the first dash after them.
-
-    The preamble parts are stripped; the content is left as it is.
-    """
-    bars = F.split(entry, r"\|", 3)
-    rest = F.split(F.get(bars, F.lit(2)), "-", 2)
-    process = strip(F.get(rest, F.lit(0)))
-    where = F.split(process, ":")
-    return {
-        "date": strip(F.get(bars, F.lit(0))),
-        "log_level": strip(F.get(bars, F.lit(1))),
-        "process": process,
-        "process_name": strip(F.get(where, F.lit(0))),
-        "module_name": strip(F.get(where, F.lit(1))),
-        "line_number": strip(F.get(where, F.lit(2))).try_cast("bigint"),
-        "content": F.coalesce(F.get(rest, F.lit(1)), F.lit("")),
-    }
-
-
 def fenced_blocks(text: Column, tag: str = "json") -> Column:
     """Bodies of all fenced blocks, without the fences and a leading ``tag``.
 
     A block with another tag is returned with that tag still in front.
     """
     blocks = F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))
-    body = lambda b: F.substr(b, F.lit(4), F.length(b) - 6)
+    bodies = F.transform(blocks, lambda b: F.substr(b, F.lit(4), F.length(b) - 6))
     return F.transform(
-        blocks,
-        lambda b: F.when(
-            F.startswith(body(b), F.lit(tag)), F.substr(body(b), F.lit(len(tag) + 1))
-        ).otherwise(body(b)),
+        bodies, lambda b: F.when(F.startswith(b, F.lit(tag)), F.substr(b, F.lit(len(tag) + 1))).otherwise(b)
     )
 
 

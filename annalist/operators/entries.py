@@ -10,10 +10,10 @@ from annalist.functions.records import json_object, record_text, type_tags, type
 from annalist.functions.text import (
     DEFAULT_LEVEL,
     entry_id,
-    entry_parts,
     fenced_blocks,
     header,
     short_id,
+    strip,
 )
 from annalist.specs import EntitySpec, Registry
 
@@ -22,17 +22,31 @@ PLACE = ["stream", "run", "entry"]
 
 
 def parse_entries(entries: DataFrame, text: str = "text", content_in_id: bool = False) -> DataFrame:
-    """Split entries into their parts.
+    """Split entries at the first two pipes and the first dash after them.
 
-    Adds id, date, log_level, process_name, module_name, line_number, blocks
+    The preamble parts are stripped, the content is left as it is. Adds id, date, log_level, process_name, module_name, line_number, blocks
     (JSON texts), objects (parsed) and problem, which is null for a good entry.
     One bad block makes the whole entry bad.
     """
-    parts = entry_parts(F.col(text))
-    process = parts.pop("process")
-    out = entries.withColumns({**parts, "_process": process})
-    out = out.withColumn("blocks", fenced_blocks(F.col("content")))
-    out = out.withColumn("objects", F.transform("blocks", json_object))
+    part = lambda c, i: strip(F.get(c, F.lit(i)))
+    out = (
+        entries.withColumn("_bars", F.split(text, r"\|", 3))
+        .withColumn("_rest", F.split(F.get("_bars", F.lit(2)), "-", 2))
+        .withColumn("_process", part("_rest", 0))
+        .withColumn("_where", F.split("_process", ":"))
+        .withColumns(
+            {
+                "date": part("_bars", 0),
+                "log_level": part("_bars", 1),
+                "process_name": part("_where", 0),
+                "module_name": part("_where", 1),
+                "line_number": part("_where", 2).try_cast("bigint"),
+                "content": F.coalesce(F.get("_rest", F.lit(1)), F.lit("")),
+            }
+        )
+        .withColumn("blocks", fenced_blocks(F.col("content")))
+        .withColumn("objects", F.transform("blocks", json_object))
+    )
     more = [F.col("content")] if content_in_id else []
     problem = (
         F.when(F.col("date").isNull() | F.col("log_level").isNull(), "bad preamble")
@@ -45,7 +59,7 @@ def parse_entries(entries: DataFrame, text: str = "text", content_in_id: bool =
             "id": entry_id(F.col("date"), F.col("log_level"), F.col("_process"), *more),
             "problem": problem,
         }
-    ).drop("_process")
+    ).drop("_bars", "_rest", "_process", "_where")
 
 
 def with_level(parsed: DataFrame, level: str = DEFAULT_LEVEL) -> DataFrame:

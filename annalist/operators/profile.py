@@ -16,7 +16,7 @@ def enumerated_columns(
     All-null columns do not qualify.
 
     Pass 1 is one map-side aggregate over the text columns; its sketch rules
-    out columns far above the threshold (four times, which at one percent
+    out columns far above the threshold (four times, which at five percent
     error is beyond doubt). Pass 2 counts the rest exactly; what it shuffles is
     a few hundred values per column.
     """
@@ -28,7 +28,7 @@ def enumerated_columns(
         return empty
     facts = df.agg(
         *[F.avg(F.octet_length(c)).alias(f"len_{c}") for c in names],
-        *[F.approx_count_distinct(c, 0.01).alias(f"n_{c}") for c in names],
+        *[F.approx_count_distinct(c).alias(f"n_{c}") for c in names],
     ).first()
     likely = [
         c

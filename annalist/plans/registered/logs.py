@@ -84,7 +84,7 @@ def log_roundtrip_events(spark, sf_dir):
     "log_multiline_text",
     r"""
     SELECT role AS module_name, conv_id || '-' || turn AS name,
-           ' ***' || conv_id || '-' || turn || '***' || chr(10)
+           '  ***' || conv_id || '-' || turn || '***' || chr(10)
              || rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text
     FROM conversations
     """,

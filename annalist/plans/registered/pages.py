@@ -32,7 +32,7 @@ def header_chunks(spark, sf_dir):
     "topic_sections",
     r"""
     SELECT source || ' ' || lang AS name, source AS doc_id, text,
-           array_to_string((list_slice(string_split(text, ' '), 1, NULL, 10))[1:10], '|') AS links
+           array_to_string(list_filter(string_split(text, ' '), lambda x, i: (i - 1) % 10 = 0)[1:10], '|') AS links
     FROM documents WHERE length(text) > 100
     """,
 )
@@ -47,7 +47,7 @@ def topic_sections(spark, sf_dir):
     "topic_summaries",
     r"""
     SELECT 'doc ' || doc_id AS name, text,
-           array_to_string((list_slice(string_split(text, ' '), 1, NULL, 10))[1:10], '|') AS links
+           array_to_string(list_filter(string_split(text, ' '), lambda x, i: (i - 1) % 10 = 0)[1:10], '|') AS links
     FROM documents
     """,
 )

@@ -121,7 +121,7 @@ def merge_last_wins(spark, sf_dir):
     SELECT c_custkey, c_name,
            CASE WHEN c_nationkey < 5 THEN 'N' || c_nationkey WHEN c_acctbal < 1000 THEN 'LOW' ELSE c_mktsegment END AS c_mktsegment
     FROM customer
-    UNION ALL SELECT NULL, 'nobody', max(c_mktsegment) FROM customer
+    UNION ALL SELECT -1, 'nobody', max(c_mktsegment) FROM customer
     """,
 )
 def table_merge(spark, sf_dir):
@@ -142,7 +142,7 @@ def table_merge(spark, sf_dir):
         nation.withColumn("s", F.lit(2))
     )
     stored.merge(twice, "s", columns=tuple(columns))
-    return stored.rows()
+    return stored.rows().withColumn("c_custkey", F.coalesce("c_custkey", F.lit(-1).cast("bigint")))
 
 
 @registered(
