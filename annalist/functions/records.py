@@ -64,16 +64,18 @@ def json_object(text: Column) -> Column:
 def kv_fields(text: Column) -> Column:
     """``key=value`` and ``key="quoted value"`` pairs of a line as a map, last one wins."""
     # Fixed value: the pair pattern.
-    pattern = F.lit(r'(\w+)="(.*?)"|(\w+)=([^\s]+)')
-    group = [F.regexp_extract_all(text, pattern, F.lit(i)) for i in range(1, 5)]
-    pairs = F.transform(
-        F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(group, 1)]),
-        lambda z: F.struct(
-            F.when(z["g1"] != "", z["g1"]).otherwise(z["g3"]).alias("key"),
-            F.when(z["g2"] != "", z["g2"]).otherwise(F.coalesce(z["g4"], F.lit(""))).alias("value"),
-        ),
-    )
-    return _last_wins(pairs)
+    pattern = r'(\w+)="(.*?)"|(\w+)=([^\s]+)'
+
+    def pair(match: Column) -> Column:
+        value = F.substr(match, F.instr(match, "=") + 1)
+        # Only a quoted value can both start and end with a quote.
+        quoted = value.rlike('(?s)^".*"$')
+        return F.struct(
+            F.substring_index(match, "=", 1).alias("key"),
+            F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value).alias("value"),
+        )
+
+    return _last_wins(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pair))
 
 
 def type_tags(record: Column) -> tuple[Column, Column]:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+_WORD = re.compile(r"[^ \t\n\r\f\v]+")
 
 # An embedder takes a list of texts and returns one row of numbers per text.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -39,24 +42,34 @@ class HashingEmbedder:
 
     width: int = 64
 
-    def _place(self, word: str) -> tuple[int, float]:
-        digest = hashlib.sha256(word.encode()).hexdigest()
-        return int(digest[:8], 16) % self.width, 1.0 if int(digest[8], 16) < 8 else -1.0
+    def _places(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and sign of each word, from the first five bytes of its SHA-256."""
+        digests = b"".join(hashlib.sha256(w.encode()).digest() for w in words)
+        codes = np.frombuffer(digests, np.uint8).reshape(-1, 32)
+        places = codes[:, :4].copy().view(">u4").ravel().astype(np.int64) % self.width
+        return places, np.where(codes[:, 4] < 128, 1.0, -1.0)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        words = pd.Series(texts, dtype=object).str.split(r"[ \t\n\r\f\v]+", regex=True).explode()
-        words = words[words.notna() & (words != "")]
-        codes, unique = pd.factorize(words)
-        out = np.zeros((len(texts), self.width))
-        if len(unique):
-            places, signs = zip(*(self._place(w) for w in unique))
-            np.add.at(out, (words.index.to_numpy(), np.array(places)[codes]), np.array(signs)[codes])
+        numbers: dict[str, int] = {}
+        words = [
+            [numbers.setdefault(w, len(numbers)) for w in _WORD.findall(text)] for text in texts
+        ]
+        places, signs = self._places(numbers)
+        out = np.stack(
+            [np.bincount(places[w], signs[w], self.width) if w else np.zeros(self.width) for w in words]
+            or [np.zeros(self.width)]
+        )
+        out = out[: len(texts)]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
 def embed(text: Column, factory: Callable[[], Embedder]) -> Column:
-    """Embed a text column; ``factory`` builds the model once per Python worker and task."""
+    """Embed a text column; ``factory`` builds the model once per Python worker and task.
+
+    Declared non-deterministic so that the optimizer never evaluates it twice,
+    as it would when a later filter or explode on the vector is pushed down.
+    """
 
     @F.pandas_udf("array<float>")
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -65,8 +78,15 @@ def embed(text: Column, factory: Callable[[], Embedder]) -> Column:
             rows = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)
             yield pd.Series(list(rows), index=texts.index)
 
-    return _embed(text)
+    return _embed.asNondeterministic()(text)
 
 
-def has_width(vector: Column, width: int) -> Column:
-    return F.coalesce(F.size(vector) == width, F.lit(False))
+def with_vectors(
+    df: DataFrame, text: str, factory: Callable[[], Embedder], by: str, name: str = "vector"
+) -> DataFrame:
+    """Add the vector of a text column.
+
+    The rows are first spread by ``by`` over all tasks: embedding costs far more
+    than moving the text, and the files of a batch rarely match the cores.
+    """
+    return df.repartition(by).withColumn(name, embed(F.col(text), factory))

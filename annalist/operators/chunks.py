@@ -19,7 +19,10 @@ MIN_SECTION = 100
 
 
 def paragraph_texts(html: Column, close_paragraphs: bool = True) -> Column:
-    """Texts of all paragraphs of a page as an array; null without a page."""
+    """Texts of all paragraphs of a page as an array; null without a page.
+
+    Declared non-deterministic so that exploding it does not parse pages twice.
+    """
 
     @F.pandas_udf("array<string>")
     def _texts(pages: pd.Series) -> pd.Series:
@@ -29,7 +32,7 @@ def paragraph_texts(html: Column, close_paragraphs: bool = True) -> Column:
 
         return pages.map(one)
 
-    return _texts(html)
+    return _texts.asNondeterministic()(html)
 
 
 def page_text(html: Column, close_paragraphs: bool = True) -> Column:

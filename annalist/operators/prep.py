@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annalist.functions.text import key_hash
+from annalist.session import stage
 
 # A dimension is broadcast up to this many rows; beyond it Spark plans the join itself.
 SMALL_DIMENSION = 1_000_000
@@ -88,35 +89,34 @@ def sorted_head(df: DataFrame, order: list[Column], n: int, m: int, required: li
     return df.orderBy(*order).limit(n).na.drop(subset=required).orderBy(*order).limit(m)
 
 
-def numbered(df: DataFrame, order: str, ranges: int = 200, name: str = "row_index") -> DataFrame:
-    """Rows numbered from 0 in the order of a unique column, without a single-task sort.
+def numbered(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
+    """Rows numbered from 0 in the order of unique columns, without a single-task sort.
 
-    Quantiles of the column cut it into ranges; the counts of the ranges give
-    each one its first number, and a window numbers the rows inside a range.
+    The rows are range-partitioned and sorted, and written once to the shared
+    folder with their place in their partition; the row counts of the partitions
+    then give each one its first number. A number is the same however often the
+    result is read.
     """
-    points = df.select(
-        F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("p")
-    ).first()["p"]
-    cuts = sorted(set(points or []))
-    position = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        position = F.size(F.filter(bounds, lambda b: b < F.col(order)))
-    placed = df.withColumn("_range", position)
-    totals = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
-    # One row per range: the window over all of them is small by construction.
-    before = F.sum("_rows").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    first = totals.select("_range", F.coalesce(before, F.lit(0)).alias("_first"))
-    inside = F.row_number().over(W.partitionBy("_range").orderBy(order))
+    ranged = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    placed = stage(ranged, "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    # One row per partition, so this window and the broadcast are small by construction.
+    before = F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    first = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_first"))
     return (
-        placed.join(F.broadcast(first), "_range")
-        .withColumn(name, F.col("_first") + inside - 1)
-        .drop("_range", "_first")
+        placed.join(F.broadcast(first), "_part")
+        .withColumn(name, F.col("_first") + F.col("_at"))
+        .drop("_part", "_at", "_first")
     )
 
 
-def every_nth_row(df: DataFrame, order: str, step: int = 100) -> DataFrame:
-    """Systematic sample: rows 0, step, 2 step, ... in the order of a unique column."""
+def every_nth_row(df: DataFrame, order: list[str], step: int = 100) -> DataFrame:
+    """Systematic sample: rows 0, step, 2 step, ... in the order of unique columns."""
     return numbered(df, order).filter(F.col("row_index") % step == 0).drop("row_index")
 
 
@@ -127,7 +127,7 @@ def assign_from(
 
     ``order`` is a unique column of the choices; it numbers them.
     """
-    listed = numbered(choices, order, name="_i").select("_i", F.col(choice).alias(name))
+    listed = numbered(choices.select(F.col(choice).alias(name), order), [order], "_i").drop(order)
     n = choices.count()
     return df.withColumn("_i", key_hash(*key, seed=seed) % max(n, 1)).join(listed, "_i").drop("_i")
 

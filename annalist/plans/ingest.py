@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annalist.functions.vectors import Embedder, HashingEmbedder, embed
+from annalist.functions.vectors import Embedder, HashingEmbedder, with_vectors
 from annalist.operators.assemble import assemble_files, assemble_streams
 from annalist.operators.entries import (
     PLACE, Routed, check_all_good, first_entries, parse_entries, records_of, route,
@@ -103,6 +103,5 @@ class Ingest:
             F.col("name").alias("id"),
             F.col("name").alias("doc_id"),
             "text",
-            embed(F.col("text"), self.embedder).alias("vector"),
         )
-        self.text_table().upsert(texts, "id", batch)
+        self.text_table().upsert(with_vectors(texts, "text", self.embedder, "id"), "id", batch)

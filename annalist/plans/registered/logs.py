@@ -12,7 +12,7 @@ from annalist.operators.entries import (
     first_entries, log_records, log_texts, parse_entries, preamble, records_of, route, with_level,
 )
 from annalist.plans.registered import registered, table
-from annalist.session import scratch_path
+from annalist.session import scratch_path, stage
 from annalist.sources.logs import (
     read_log_lines, stream_values, to_responses, write_log_lines,
 )
@@ -63,8 +63,8 @@ def as_files(spark: SparkSession, lines: DataFrame) -> str:
 
 
 def parsed_file(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Lines written as log files, read back, assembled and parsed."""
-    return parse_entries(assemble_files(read_log_lines(spark, as_files(spark, lines))))
+    """Lines written as log files, read back, assembled and parsed (once, for several readers)."""
+    return stage(parse_entries(assemble_files(read_log_lines(spark, as_files(spark, lines)))), "parsed")
 
 
 @registered(

@@ -166,7 +166,7 @@ def head_without_nulls(spark, sf_dir):
 def systematic_sample(spark, sf_dir):
     """Every 100th row in key order (the sampling operator itself)."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return prep.every_nth_row(orders, "o_orderkey", 100)
+    return prep.every_nth_row(orders, ["o_orderkey"], 100)
 
 
 HASH_SQL = "('0x' || substr(sha256('{seed}|' || {key}), 1, 8))::BIGINT"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.functions.vectors import HashingEmbedder, embed, squared_l2
+from annalist.functions.vectors import HashingEmbedder, squared_l2, with_vectors
 from annalist.operators.nearest import ClusteredIndex, check_width, nearest, nearest_join, passages_for
 from annalist.operators.shapes import top_k
 from annalist.plans.registered import registered, table
@@ -143,8 +143,8 @@ DOCS_SQL = "docs AS (SELECT 'doc-' || doc_id AS name, text FROM documents)"
 )
 def embed_documents(spark, sf_dir):
     """Documents embedded by the hashing embedder, one row per non-zero place."""
-    embedded = documents(spark, sf_dir).select("name", embed(F.col("text"), HashingEmbedder).alias("v"))
-    places = embedded.select("name", F.posexplode("v").alias("place", "weight"))
+    embedded = with_vectors(documents(spark, sf_dir), "text", HashingEmbedder, "name")
+    places = embedded.select("name", F.posexplode("vector").alias("place", "weight"))
     return places.filter("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from annalist.functions.records import apply_cleaners
-from annalist.functions.vectors import Embedder, HashingEmbedder, embed
+from annalist.functions.vectors import Embedder, HashingEmbedder, embed, with_vectors
 from annalist.operators import lookup
 from annalist.operators.nearest import nearest, nearest_join
 from annalist.operators.profile import enum_lists, enumerated_columns
@@ -122,8 +122,7 @@ class VectorStore(_Store):
             if f.name not in df.columns and f.name != "vector":
                 df = df.withColumn(f.name, F.lit(None).cast(f.data_type))
         df = apply_cleaners(df, self.spec)
-        df = df.withColumn("vector", embed(F.col("text"), self.embedder))
-        return df.select(*self.spec.columns)
+        return with_vectors(df, "text", self.embedder, "id").select(*self.spec.columns)
 
     def add(
         self, df: DataFrame, plan: bool = False, batch: tuple[str, int] | None = None

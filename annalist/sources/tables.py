@@ -289,13 +289,15 @@ class VersionedTable:
         if self._seen(old, batch):
             return
         placed = self._placed(new, old.buckets if old else self.buckets)
+        if old is not None:
+            self._same_schema(old, placed)
+            placed = placed.select(*old.schema.names)
+        # Read three times below: once for the partitions, once for the ids, once for the rows.
+        staged = stage(placed, "batch")
         if old is None:
-            if not placed.isEmpty():
-                self._commit(placed, None, None, batch)
+            if not staged.isEmpty():
+                self._commit(staged, None, None, batch)
             return
-        self._same_schema(old, placed)
-        # Read three times below: once for the partitions, once for the ids, once for the rows.
-        staged = stage(placed.select(*old.schema.names), "batch")
         if self.partition_by == (BUCKET,) and set(on) != set(self.keys):
             # Rows with the incoming ids may sit in any bucket.
             touched = sorted({*old.partitions, *self._partitions_of(staged)})
