@@ -34,8 +34,20 @@ def fenced_blocks(text: Column, tag: str = "json") -> Column:
 
     A block with another tag is returned with that tag still in front.
     """
-    blocks = F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))
-    bodies = F.transform(blocks, lambda b: F.substr(b, F.lit(4), F.length(b) - 6))
+    matches = F.transform(
+        F.regexp_extract_all(text, F.lit(FENCED), F.lit(0)),
+        lambda b: F.substr(b, F.lit(4), F.length(b) - 6),
+    )
+    # With one kind of fence only, the bodies are every second piece between fences.
+    pieces = F.split(text, "```")
+    closed = F.filter(
+        F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda _, i: i % 2 == 0
+    )
+    bodies = (
+        F.when(text.contains("~~~"), matches)
+        .when(text.contains("```"), closed)
+        .otherwise(F.array().cast("array<string>"))
+    )
     return F.transform(
         bodies, lambda b: F.when(F.startswith(b, F.lit(tag)), F.substr(b, F.lit(len(tag) + 1))).otherwise(b)
     )

@@ -72,6 +72,41 @@ def first_entries(parsed: DataFrame, limit: int) -> DataFrame:
     return parsed.orderBy(*PLACE).limit(limit)
 
 
+def routed_rows(parsed: DataFrame, registry: Registry) -> DataFrame:
+    """One row per object, per free text and per unusable entry, told apart by ``kind``.
+
+    ``record`` rows have namespace, type and record (a map); ``text`` rows have
+    module_name, name and text; ``dead`` rows have text and problem. Staged by
+    (kind, namespace, type), every sink reads only its own folder.
+    """
+    good = F.col("problem").isNull()
+    item = F.posexplode_outer(F.when(good, F.col("objects"))).alias("item", "record")
+    rows = parsed.select(*PLACE, "module_name", "content", "text", "problem", item)
+    namespace, kind = type_tags(F.col("record"))
+    known = F.coalesce(registry.is_known(F.col("namespace"), F.col("type")), F.lit(False))
+    rows = rows.withColumns({"namespace": namespace, "type": kind}).withColumn(
+        "kind",
+        F.when(F.col("problem").isNotNull(), "dead")
+        .when(F.col("record").isNull(), "text")
+        .when(known, "record")
+        .otherwise("dead"),
+    )
+    is_kind = lambda k: F.col("kind") == k
+    problem = F.coalesce("problem", F.when(is_kind("dead"), F.lit("unknown type")))
+    return rows.select(
+        *PLACE,
+        "item",
+        "kind",
+        F.when(is_kind("record"), F.col("namespace")).alias("namespace"),
+        F.when(is_kind("record"), F.col("type")).alias("type"),
+        F.when(is_kind("record"), F.col("record")).alias("record"),
+        "module_name",
+        F.when(is_kind("text"), header(F.col("content"), short_id(F.col("text")))).alias("name"),
+        F.when(is_kind("text"), F.col("content")).when(is_kind("dead"), F.col("text")).alias("text"),
+        problem.alias("problem"),
+    )
+
+
 @dataclass
 class Routed:
     """Where the entries go: typed objects, free text, and entries that cannot be used."""
@@ -81,31 +116,22 @@ class Routed:
     dead: DataFrame
 
 
+def by_kind(rows: DataFrame) -> Routed:
+    of = lambda k: rows.filter(F.col("kind") == k)
+    return Routed(
+        of("record").select(*PLACE, "item", "namespace", "type", "record"),
+        of("text").select(*PLACE, "module_name", "name", "text"),
+        of("dead").select(*PLACE, "text", "problem"),
+    )
+
+
 def route(parsed: DataFrame, registry: Registry) -> Routed:
     """Send objects to their tables and text to the table of the function that logged it.
 
-    ``records`` has namespace, type, record (map) and the place in the log;
-    ``texts`` has module_name, name, text. ``parsed`` is read by three
-    consumers: stage it first when it is expensive.
+    The rows are read once per destination: stage them first (as ``plans.ingest``
+    does) when they are expensive.
     """
-    good = parsed.filter(F.col("problem").isNull())
-    place = [c for c in PLACE if c in parsed.columns]
-    exploded = good.filter(F.size("objects") > 0).select(
-        *place, "text", F.posexplode("objects").alias("item", "record")
-    )
-    namespace, kind = type_tags(F.col("record"))
-    tagged = exploded.withColumns({"namespace": namespace, "type": kind})
-    known = F.coalesce(registry.is_known(F.col("namespace"), F.col("type")), F.lit(False))
-    records = tagged.filter(known).select(*place, "item", "namespace", "type", "record")
-    texts = good.filter(F.size("objects") == 0).select(
-        *place,
-        "module_name",
-        header(F.col("content"), short_id(F.col("text"))).alias("name"),
-        F.col("content").alias("text"),
-    )
-    unparsed = parsed.filter(F.col("problem").isNotNull()).select(*place, "text", "problem")
-    unknown = tagged.filter(~known).select(*place, "text", F.lit("unknown type").alias("problem"))
-    return Routed(records, texts, unparsed.unionByName(unknown))
+    return by_kind(routed_rows(parsed, registry))
 
 
 def records_of(routed_records: DataFrame, spec: EntitySpec, keep: list[str] = []) -> DataFrame:

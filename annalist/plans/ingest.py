@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from annalist.functions.vectors import Embedder, HashingEmbedder, with_vectors
 from annalist.operators.assemble import assemble_files, assemble_streams
 from annalist.operators.entries import (
-    PLACE, Routed, check_all_good, first_entries, parse_entries, records_of, route,
+    PLACE, Routed, by_kind, check_all_good, first_entries, parse_entries, records_of, routed_rows,
 )
 from annalist.session import stage
 from annalist.sources.logs import read_log_lines
@@ -65,7 +65,10 @@ class Ingest:
         parsed = parse_entries(entries)
         if limit is not None:
             parsed = first_entries(parsed, limit)
-        routed = route(stage(parsed, "parsed"), self.registry)
+        rows = stage(
+            routed_rows(parsed, self.registry), "routed", ("kind", "namespace", "type")
+        )
+        routed = by_kind(rows)
         if self.fail_fast:
             check_all_good(routed.dead)
         self._records(routed, batch)
@@ -73,11 +76,10 @@ class Ingest:
 
     def _records(self, routed: Routed, batch: tuple[str, int] | None) -> None:
         place = [*PLACE, "item"]
-        # One folder per type: each type's merge reads its own records only.
-        records = stage(routed.records, "records", ("namespace", "type"))
         bad = routed.dead
         for spec in self.registry:
-            typed = records_of(records, spec, keep=place)
+            # Each type has its own folder among the routed rows, so its merge reads no other.
+            typed = records_of(routed.records, spec, keep=place)
             good = typed.filter(F.size("problems") == 0)
             self.table_of(spec).merge(good, F.struct(*place), batch, columns=spec.columns)
             failed = typed.filter(F.size("problems") > 0).select(

@@ -9,7 +9,8 @@ from annalist.functions.text import short_id
 from annalist.operators import labels
 from annalist.operators.assemble import assemble_files, assemble_streams
 from annalist.operators.entries import (
-    first_entries, log_records, log_texts, parse_entries, preamble, records_of, route, with_level,
+    by_kind, first_entries, log_records, log_texts, parse_entries, preamble, records_of, route, routed_rows,
+    with_level,
 )
 from annalist.plans.registered import registered, table
 from annalist.session import scratch_path, stage
@@ -63,8 +64,8 @@ def as_files(spark: SparkSession, lines: DataFrame) -> str:
 
 
 def parsed_file(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Lines written as log files, read back, assembled and parsed (once, for several readers)."""
-    return stage(parse_entries(assemble_files(read_log_lines(spark, as_files(spark, lines)))), "parsed")
+    """Lines written as log files, read back, assembled and parsed."""
+    return parse_entries(assemble_files(read_log_lines(spark, as_files(spark, lines))))
 
 
 @registered(
@@ -76,8 +77,9 @@ def parsed_file(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """,
 )
 def log_roundtrip_events(spark, sf_dir):
-    parsed = parsed_file(spark, event_lines(spark, sf_dir))
-    return records_of(route(parsed, Registry([EVENT])).records, EVENT).drop("problems")
+    rows = routed_rows(parsed_file(spark, event_lines(spark, sf_dir)), Registry([EVENT]))
+    routed = by_kind(stage(rows, "routed", ("kind", "namespace", "type")))
+    return records_of(routed.records, EVENT).drop("problems")
 
 
 @registered(
