@@ -63,10 +63,6 @@ def _candidates(x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.n
     return np.nonzero(d <= kth + slack)
 
 
-def _same_first(batch: pa.RecordBatch) -> pd.Series:
-    return batch.column(0).to_pandas()
-
-
 def nearest(
     df: DataFrame, query: list[float], k: int = 3, id_column: str = "id", vector: str = "vector",
     columns: tuple[str, ...] = ("text",), metric: str = "l2sq",
@@ -101,8 +97,8 @@ def nearest(
 
 
 def _tile_search(
-    base: DataFrame, ids: list, q: np.ndarray, k: int, id_column: str, vector: str, metric: str,
-    exclude_self: bool, schema: StructType,
+    base: DataFrame, ids: list, q: np.ndarray, k: int, id_column: str, vector: str,
+    columns: tuple[str, ...], metric: str, exclude_self: bool, schema: StructType,
 ) -> DataFrame:
     """Best k rows per task for every query of a tile."""
     shared = base.sparkSession.sparkContext.broadcast((ids, q))
@@ -111,11 +107,11 @@ def _tile_search(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
         names = pd.Series(query_ids)
-        best = pd.DataFrame({"query": [], "id": [], "d": []})
+        best = None
         step = max(1, (32 << 20) // (8 * max(1, len(query_ids))))  # rows per block of 32 MB
         for batch in batches:
             x, good = _matrix(batch.column(1), queries.shape[1])
-            row_ids = _same_first(batch).iloc[good].reset_index(drop=True)
+            row_ids = batch.column(0).take(pa.array(good)).to_pandas()
             for start in range(0, len(x), step):
                 block = x[start : start + step]
                 rows, cols = _candidates(block, queries, room, metric)
@@ -126,33 +122,38 @@ def _tile_search(
                         "d": _pair_distance(block[rows], queries[cols], metric),
                     }
                 )
+                at = pa.array(good[start + rows])
+                for i, c in enumerate(columns):
+                    found[f"c{i}"] = batch.column(2 + i).take(at).to_pandas()
                 if exclude_self:
                     found = found[found["id"].to_numpy() != names.to_numpy()[found["query"]]]
-                best = found if best.empty else pd.concat([best, found])
+                best = found if best is None else pd.concat([best, found])
                 best = best.sort_values(["query", "d", "id"]).groupby("query").head(k)
-        if len(best):
+        if best is not None and len(best):
             out = pd.DataFrame(
                 {
-                    "query_id": names.iloc[best["query"].astype(int)].to_numpy(),
-                    id_column: best["id"].to_numpy(),
+                    "query_id": names.iloc[best["query"]].to_numpy(),
+                    "id": best["id"].to_numpy(),
                     "_distance": best["d"].to_numpy(),
+                    **{f"c{i}": best[f"c{i}"].to_numpy() for i in range(len(columns))},
                 }
             )
+            out.columns = schema.names
             yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-    return base.select(id_column, vector).mapInArrow(scan, schema)
+    return base.select(id_column, vector, *columns).mapInArrow(scan, schema)
 
 
 def nearest_join(
     queries: DataFrame, base: DataFrame, k: int = 3, query_id: str = "id", query_vector: str = "vector",
     id_column: str = "id", vector: str = "vector", metric: str = "l2sq", exclude_self: bool = False,
-    tile_bytes: int = TILE_BYTES,
+    columns: tuple[str, ...] = (), tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
-    """For every query the k nearest base rows: query_id, id, ``_distance``, rank.
+    """For every query the k nearest base rows: query_id, id, ``_distance``, ``columns``, rank.
 
     The size of the query side is counted first. Up to ``tile_bytes`` it is
     sent to all tasks; a larger one is cut into tiles by hash, and each tile
-    scans the base (id and vector only) once, its result being written to the
+    scans the base (id, vector and ``columns``) once, its result being written to the
     shared folder. Nothing quadratic is ever shuffled: a task emits k rows per query.
     """
     spark = base.sparkSession
@@ -168,6 +169,7 @@ def nearest_join(
             StructField("query_id", queries.schema[query_id].dataType),
             StructField(name, base.schema[id_column].dataType),
             StructField("_distance", DoubleType()),
+            *[base.schema[c] for c in columns],
         ]
     )
     wanted = usable.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
@@ -176,7 +178,7 @@ def nearest_join(
         table = part.toArrow()
         q, good = _matrix(table["v"].combine_chunks(), width)
         ids = table["q"].take(pa.array(good)).to_pylist()
-        return _tile_search(base, ids, q, k, id_column, vector, metric, exclude_self, schema)
+        return _tile_search(base, ids, q, k, id_column, vector, columns, metric, exclude_self, schema)
 
     if tiles == 1:
         found = search(wanted)
@@ -201,9 +203,9 @@ def passages_for(
     passage_id: str = "id", passage_vector: str = "vector", text: str | None = "text",
 ) -> DataFrame:
     """For each of a few structured rows the k nearest passages, with the row's attributes."""
-    found = nearest_join(rows, passages, k, key, vector, passage_id, passage_vector)
-    found = found.join(rows.drop(vector), found["query_id"] == rows[key]).drop("query_id")
-    return found if text is None else found.join(passages.select(passage_id, text), passage_id)
+    columns = (text,) if text else ()
+    found = nearest_join(rows, passages, k, key, vector, passage_id, passage_vector, columns=columns)
+    return found.join(rows.drop(vector), found["query_id"] == rows[key]).drop("query_id")
 
 
 class ClusteredIndex:

@@ -55,8 +55,8 @@ def with_group_count(df: DataFrame, key: str, counted: str, name: str = "n") ->
 
 
 def group_summary(df: DataFrame, key: str, number: str, text: str) -> DataFrame:
-    """Size, min, max and mean of a number and the smallest text per group."""
-    return df.groupBy(key).agg(
+    """Size, min, max and mean of a number and the smallest text per non-null key."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.count("*").alias("size"),
         F.min(number).alias("min"),
         F.max(number).alias("max"),
@@ -66,8 +66,8 @@ def group_summary(df: DataFrame, key: str, number: str, text: str) -> DataFrame:
 
 
 def group_mode(df: DataFrame, key: str, value: str, name: str = "mode") -> DataFrame:
-    """Most frequent non-null value per group; a tie goes to the smallest value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    """Most frequent non-null value per non-null key; a tie goes to the smallest value."""
+    counts = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
     return counts.groupBy(key).agg(
         F.min_by(F.col(value), F.struct(-F.col("_n"), F.col(value))).alias(name)
     )

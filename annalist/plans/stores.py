@@ -148,8 +148,7 @@ class VectorStore(_Store):
     def search_many(self, questions: DataFrame, text: str, key: str, limit: int = 3) -> DataFrame:
         """The nearest rows of every question in a DataFrame."""
         asked = questions.select(F.col(key).alias("q"), embed(F.col(text), self.embedder).alias("v"))
-        found = nearest_join(asked, self.load(), limit, "q", "v")
-        return found.join(self.load().select("id", "text"), "id")
+        return nearest_join(asked, self.load(), limit, "q", "v", columns=("text",))
 
 
 class EntityStore(_Store):

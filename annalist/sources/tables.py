@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from annalist.operators.merge import keep_last, merge_fields, without_keys
 from annalist.session import scratch_path, stage
@@ -219,10 +219,9 @@ class VersionedTable:
     def create(self, schema: StructType) -> None:
         """Create the table with no rows unless it exists."""
         if not self.exists():
-            with_bucket = schema if self.partition_by != (BUCKET,) else schema.add(BUCKET, "int")
-            self._publish(
-                Manifest(1, with_bucket, list(self.partition_by), self.buckets)
-            )
+            bucket = [StructField(BUCKET, IntegerType())] if self.partition_by == (BUCKET,) else []
+            full = StructType([*schema.fields, *bucket])
+            self._publish(Manifest(1, full, list(self.partition_by), self.buckets))
 
     def overwrite(self, df: DataFrame, batch: tuple[str, int] | None = None) -> None:
         """Replace every row; nothing is deduplicated."""
