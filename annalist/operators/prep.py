@@ -7,14 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from annalist.functions.text import key_hash
 from annalist.session import stage
 
-# A dimension is broadcast up to this many rows; beyond it Spark plans the join itself.
-SMALL_DIMENSION = 1_000_000
-
-
-def small(df: DataFrame, limit: int = SMALL_DIMENSION) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows; counts at most that many."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def join_same(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Inner join on a column both have."""

@@ -24,7 +24,7 @@ class Ingest:
     """Routes parsed entries into the tables under ``root``.
 
     One merge per type and batch, one upsert for all texts: those are stored in
-    one table partitioned by the function that logged them. A batch number
+    one table partitioned by the function that logged them and by key. A batch number
     makes a repeated batch a no-op, table by table.
     """
 
@@ -42,7 +42,8 @@ class Ingest:
 
     def text_table(self) -> VersionedTable:
         return VersionedTable(
-            self.spark, f"{self.root}/vector/v0/default/{TEXT_TABLE}", ("id",), partition_by=("module_name",)
+            self.spark, f"{self.root}/vector/v0/default/{TEXT_TABLE}", ("id",),
+            partition_by=("module_name", "bucket"), buckets=self.buckets,
         )
 
     def dead_letters(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from annalist.operators.spaces import (
     Space, replace_window, space_copy, space_view, store_catalog, usage_edges,
@@ -82,10 +82,10 @@ def catalog(spark, sf_dir):
     """,
 )
 def edges(spark, sf_dir):
-    """Who speaks after whom; each turn meets the next by its number."""
+    """Who speaks after whom. Each turn meets the next by its number, so a long conversation is no hot key."""
     turns = table(spark, sf_dir, "conversations")
-    following = F.lead("role").over(W.partitionBy("conv_id").orderBy("turn"))
-    events = turns.select(
-        F.col("role").alias("source_node_id"), following.alias("target_node_id"), F.length("text").alias("confidence")
-    ).filter("target_node_id is not null")
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("target_node_id"))
+    events = turns.join(following, ["conv_id", "turn"]).select(
+        F.col("role").alias("source_node_id"), "target_node_id", F.length("text").alias("confidence")
+    )
     return usage_edges(events).withColumn("confidence", F.round("confidence", 6))

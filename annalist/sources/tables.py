@@ -54,7 +54,9 @@ class VersionedTable:
 
     Without ``partition_by`` rows are placed in ``buckets`` by the hash of the
     key, so a row with a known key is found in one partition. The bucket count
-    is fixed when the table is created; pick it so that one bucket is a few GB.
+    is fixed when the table is created; pick it so that one bucket is a few GB,
+    and merge batches that are large against a bucket, since a touched bucket is
+    rewritten. ``partition_by`` may name ``bucket`` after other columns.
     """
 
     def __init__(
@@ -167,7 +169,7 @@ class VersionedTable:
         return F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
 
     def _placed(self, df: DataFrame, buckets: int) -> DataFrame:
-        return df.withColumn(BUCKET, self._bucket(buckets)) if self.partition_by == (BUCKET,) else df
+        return df.withColumn(BUCKET, self._bucket(buckets)) if BUCKET in self.partition_by else df
 
     def _partitions_of(self, df: DataFrame) -> list[str]:
         """Partition folders of a staged batch; as many values as the table has partitions."""
@@ -219,7 +221,7 @@ class VersionedTable:
     def create(self, schema: StructType) -> None:
         """Create the table with no rows unless it exists."""
         if not self.exists():
-            bucket = [StructField(BUCKET, IntegerType())] if self.partition_by == (BUCKET,) else []
+            bucket = [StructField(BUCKET, IntegerType())] if BUCKET in self.partition_by else []
             full = StructType([*schema.fields, *bucket])
             self._publish(Manifest(1, full, list(self.partition_by), self.buckets))
 
@@ -297,7 +299,7 @@ class VersionedTable:
             if not staged.isEmpty():
                 self._commit(staged, None, None, batch)
             return
-        if self.partition_by == (BUCKET,) and set(on) != set(self.keys):
+        if BUCKET in self.partition_by and set(on) != set(self.keys):
             # Rows with the incoming ids may sit in any bucket.
             touched = sorted({*old.partitions, *self._partitions_of(staged)})
             same = on

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from annalist.functions.text import strip
 from annalist.operators.assemble import assemble_streams
+from annalist.operators.entries import PLACE
 from annalist.plans.ingest import Ingest
 from annalist.session import stage
 from annalist.sources.logs import RESPONSE_SCHEMA, stream_values
@@ -52,7 +53,10 @@ class EntryAssembler:
     def assemble(self, lines: DataFrame, batch_id: int) -> DataFrame:
         """Complete entries (stream, run, entry, text) of a batch; safe to repeat."""
         carried = self._before(batch_id)
-        lines = lines.select("stream", "ns", F.col("position").cast("bigint").alias("position"), "msg")
+        # The batch is read twice below, and may end in a stateful operator.
+        lines = stage(
+            lines.select("stream", "ns", F.col("position").cast("bigint").alias("position"), "msg"), "lines"
+        )
         if carried is not None:
             lines = lines.unionByName(
                 carried.join(lines.select("stream").distinct(), "stream", "left_semi").select(
@@ -62,16 +66,14 @@ class EntryAssembler:
                     F.col("text").alias("msg"),
                 )
             )
-        grown = assemble_streams(lines, "stream", ["ns", "position"], "msg", stripped=False)
-        entries = stage(grown, "entries")
-        # One small row per stream combines on the map side; the texts stay where they are.
-        last = entries.groupBy("stream").agg(F.max(F.struct("run", "entry")).alias("at"))
-        is_last = (F.col("run") == F.col("at.run")) & (F.col("entry") == F.col("at.entry"))
-        marked = entries.join(last, "stream").withColumn("is_last", is_last).drop("at")
+        entries = assemble_streams(lines, "stream", ["ns", "position"], "msg", stripped=False)
+        # One row per stream, combined on the map side. The joins are on the whole
+        # place of an entry, so a stream with most of the entries is no hot key.
+        last = entries.groupBy("stream").agg(F.max(F.struct("run", "entry")).alias("at")).select("stream", "at.*")
         self.open_entries.merge(
-            marked.filter("is_last").select("stream", "text"), batch=(self.name, batch_id)
+            entries.join(last, PLACE, "left_semi").select("stream", "text"), batch=(self.name, batch_id)
         )
-        return marked.filter(~F.col("is_last")).drop("is_last").withColumn("text", strip(F.col("text")))
+        return entries.join(last, PLACE, "left_anti").withColumn("text", strip(F.col("text")))
 
     def _before(self, batch_id: int) -> DataFrame | None:
         """Open entries as they were before this batch, also when it is being repeated."""
