@@ -15,6 +15,7 @@ from annalist.functions.text import (
     short_id,
     strip,
 )
+from annalist.operators.prep import hash_share
 from annalist.specs import EntitySpec, Registry
 
 # Columns that say where an entry came from and order it among the others.
@@ -176,3 +177,21 @@ def log_texts(df: DataFrame, name: str, text: str, start: Column, keep: list[str
         *keep,
         F.concat(start, F.lit(" ***"), F.col(name), F.lit("***\n"), F.col(text)).alias("value"),
     )
+
+
+def log_stream(
+    records: DataFrame, spec: EntitySpec, key: str, start: Column, sections: DataFrame, topic: str,
+    section_start: Column, share: float = 0.2, seed: int = 0, limit: int | None = None,
+) -> DataFrame:
+    """A typed table as a log: one line per record, and for a random share also texts about its topic.
+
+    ``records`` and ``sections`` (name, text) meet on the column ``topic``.
+    Result: key, position (0 for the record) and value, in which order they
+    are to be written. ``limit`` keeps the first records by key.
+    """
+    if limit is not None:
+        records = records.orderBy(key).limit(limit)
+    own = log_records(records, spec, start, [key]).select(key, F.lit(0).alias("position"), "value")
+    told = hash_share(records.select(key, topic), [key], share, seed).join(sections, topic)
+    texts = log_texts(told, "name", "text", section_start, [key]).select(key, F.lit(1).alias("position"), "value")
+    return own.unionByName(texts)

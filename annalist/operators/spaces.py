@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from annalist.sources.files import list_files
 from annalist.sources.tables import VersionedTable
+from annalist.specs import EntitySpec, FieldSpec, text_entry
 
 STORE_MODES = ("columnar", "vector")
 
@@ -43,6 +44,24 @@ class Space:
         return reduce(Column.__and__, tests)
 
 
+def subscription_type(width: int | None = None) -> EntitySpec:
+    """The vector table type that makes spaces searchable by their text."""
+    optional = lambda n, kind=str, default=None: FieldSpec(n, kind, required=False, default=default)
+    return text_entry("SpaceSubscription", width=width).derive(
+        "SpaceSubscription",
+        [
+            FieldSpec("store_type"),
+            optional("parent_space_id"),
+            optional("perspective", default="entity"),
+            optional("primary_entity"),
+            optional("spaces_of_interest", list[str]),
+            optional("date_from"),
+            optional("date_to"),
+            optional("metadata", dict),
+        ],
+    )
+
+
 def space_view(parent: DataFrame, space: Space, time: str | None = None, entity: str | None = None) -> DataFrame:
     """The parent restricted to a space; the filters reach the scan. Registered under its name."""
     view = parent.filter(space.predicate(time, entity))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.functions.records import coerce_columns, json_object, shape_id, type_tags
-from annalist.functions.text import first_of_list_literal
+from annalist.functions.text import fenced_blocks, first_of_list_literal, header
 from annalist.operators.merge import keep_last, merge_fields, upsert
-from annalist.operators.entries import records_of
+from annalist.operators.entries import log_stream, parse_entries, preamble, records_of
 from annalist.plans.registered import registered, table
 from annalist.plans.registered.logs import EVENT, event_lines
-from annalist.functions.text import fenced_blocks
 from annalist.session import scratch_path
 from annalist.sources.files import append_dated, list_files, query_from_root, read_csv, read_dataset, write_extract
 from annalist.sources.tables import VersionedTable, union_all
@@ -321,3 +320,31 @@ def anonymous_list_items(spark, sf_dir):
     """First item of list literals in a text column."""
     literal = F.concat(F.lit("['"), F.col("p_brand"), F.lit("', '"), F.col("p_type"), F.lit("']"))
     return table(spark, sf_dir, "part").select("p_partkey", first_of_list_literal(literal).alias("first_item"))
+
+
+@registered(
+    "emit_log_stream",
+    """
+    SELECT 'record' AS kind, c_custkey AS custkey, length(c_name) AS name_length FROM customer
+    UNION ALL
+    SELECT 'text', c_custkey, length(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey
+    WHERE ('0x' || substr(sha256('0|' || c_custkey), 1, 8))::BIGINT < 858993459
+    """,
+)
+def emit_log_stream(spark, sf_dir):
+    """Customers as log lines, a fifth of them followed by a text about their nation; then parsed back."""
+    spec = EntitySpec("Customer", (FieldSpec("c_custkey", int, key=True), FieldSpec("c_name", str)), "trade")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("topic"))
+    sections = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("topic"), F.col("n_name").alias("name"), F.lit("a nation").alias("text")
+    )
+    start = preamble(F.lit("2024-01-01 00:00:00.000"), "app", "customers", 1)
+    told = preamble(F.lit("2024-01-01 00:00:00.000"), "app", "topics", 2)
+    lines = log_stream(customer, spec, "c_custkey", start, sections, "topic", told)
+    parsed = parse_entries(lines, "value")
+    record = F.get("objects", F.lit(0))
+    return parsed.select(
+        F.when(F.size("objects") > 0, "record").otherwise("text").alias("kind"),
+        F.col("c_custkey").alias("custkey"),
+        F.length(F.coalesce(record["c_name"], header(F.col("content")))).cast("bigint").alias("name_length"),
+    )

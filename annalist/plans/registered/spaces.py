@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.operators.spaces import (
-    Space, replace_window, space_copy, space_view, store_catalog, usage_edges,
+    Space, replace_window, space_copy, space_view, store_catalog, subscription_type, usage_edges,
 )
 from annalist.plans.registered import registered, table
+from annalist.plans.registered.vectors import EMBED_SQL
 from annalist.plans.stores import ColumnarStore, VectorStore
 from annalist.session import scratch_path
 from annalist.sources.tables import VersionedTable
@@ -89,3 +90,32 @@ def edges(spark, sf_dir):
         F.col("role").alias("source_node_id"), "target_node_id", F.length("text").alias("confidence")
     )
     return usage_edges(events).withColumn("confidence", F.round("confidence", 6))
+
+
+@registered(
+    "space_search",
+    f"""
+    WITH subs AS (SELECT source || '/' || lang AS name, min(text) AS text FROM documents GROUP BY source, lang),
+         q AS (SELECT '?' AS name, text FROM benchmark ORDER BY item_id LIMIT 1),
+         both_texts AS (SELECT * FROM subs UNION ALL SELECT * FROM q),
+         {EMBED_SQL.format(source='both_texts')},
+         unit AS (SELECT p.name, place, (x / norm)::FLOAT::DOUBLE AS u FROM places p JOIN norms n ON p.name = n.name),
+         qu AS (SELECT place, u FROM unit WHERE name = '?')
+    SELECT u.name AS id, round((SELECT sum(u * u) FROM qu) + sum(u.u * u.u) - 2 * sum(u.u * coalesce(qu.u, 0)), 4) AS distance
+    FROM unit u LEFT JOIN qu ON u.place = qu.place WHERE u.name <> '?'
+    GROUP BY u.name
+    ORDER BY round((SELECT sum(u * u) FROM qu) + sum(u.u * u.u) - 2 * sum(u.u * coalesce(qu.u, 0)), 9), u.name LIMIT 3
+    """,
+)
+def space_search(spark, sf_dir):
+    """Subscriptions, one per source and language of the documents, searched by text."""
+    subscriptions = (
+        table(spark, sf_dir, "documents")
+        .groupBy("source", "lang")
+        .agg(F.min("text").alias("text"))
+        .select(F.concat_ws("/", "source", "lang").alias("name"), "text", F.lit("vector").alias("store_type"))
+    )
+    store = VectorStore(spark, scratch_path(spark, "spaces"), subscription_type(64), buckets=4)
+    store.add(subscriptions)
+    question = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    return store.search(question).select("id", F.round("_distance", 4).alias("distance"))
