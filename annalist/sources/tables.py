@@ -2,19 +2,20 @@
 
 Layout of one table::
 
-    <path>/data/_version=<n>/<partition>=<value>/part-*.parquet
+    <path>/data/_version=<n>-<id>/<partition>=<value>/part-*.parquet
     <path>/_manifests/<n>.json
 
 A commit writes the touched partitions under a new ``_version=`` folder and then
-creates the manifest, which maps every live partition to the version that holds
+creates the manifest, which maps every live partition to the folder that holds
 it. Readers follow the newest manifest, so they never see half a commit, and a
-merge rewrites only the partitions it touches. Creating a manifest that exists
-fails, so of two writers one gets an error instead of lost data.
+merge rewrites only the partitions it touches. A table has one writer at a
+time; a writer whose version was published by another meanwhile gets an error.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -37,7 +38,7 @@ class Manifest:
     schema: StructType
     partition_by: list[str]
     buckets: int
-    partitions: dict[str, int] = field(default_factory=dict)
+    partitions: dict[str, str] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
@@ -178,24 +179,29 @@ class VersionedTable:
 
     def _commit(
         self, df: DataFrame, old: Manifest | None, replaced: list[str] | None, batch: tuple[str, int] | None
-    ) -> int:
-        """Write ``df`` as the new content of ``replaced`` (None: of the whole table)."""
+    ) -> None:
+        """Write ``df`` as the new content of ``replaced`` (None: of the whole table).
+
+        A table that does not exist yet is not created by an empty ``df``.
+        """
         version = (self.versions() or [0])[-1] + 1
-        folder = f"{self.path}/data/_version={version}"
+        # The folder is this commit's own, so a writer that loses the race destroys nothing.
+        name = f"{version}-{uuid.uuid4().hex[:12]}"
+        folder = f"{self.path}/data/_version={name}"
         # Rebalancing keeps files near the advisory size even when one partition is huge.
         df.hint("rebalance", *self.partition_by).write.partitionBy(*self.partition_by).parquet(folder)
+        written = self._written(folder, len(self.partition_by))
+        if old is None and not written:
+            return
         live = dict(old.partitions) if old and replaced is not None else {}
         for p in replaced or []:
             live.pop(p, None)
-        for p in self._written(folder, len(self.partition_by)):
-            live[p] = version
+        live.update(dict.fromkeys(written, name))
         batches = dict(old.batches) if old else {}
         if batch:
             batches[batch[0]] = batch[1]
-        self._publish(
-            Manifest(version, df.schema, list(self.partition_by), old.buckets if old else self.buckets, live, batches)
-        )
-        return version
+        buckets = old.buckets if old else self.buckets
+        self._publish(Manifest(version, df.schema, list(self.partition_by), buckets, live, batches))
 
     def _written(self, folder: str, depth: int) -> list[str]:
         found = [""]
@@ -236,7 +242,11 @@ class VersionedTable:
         old = self.manifest()
         if self._seen(old, batch):
             return
-        staged = stage(self._placed(df, old.buckets if old else self.buckets), "replace")
+        placed = self._placed(df, old.buckets if old else self.buckets)
+        if old is None:
+            self._commit(placed, None, None, batch)
+            return
+        staged = stage(placed, "replace")
         self._commit(staged, old, self._partitions_of(staged), batch)
 
     def merge(
@@ -290,15 +300,12 @@ class VersionedTable:
         if self._seen(old, batch):
             return
         placed = self._placed(new, old.buckets if old else self.buckets)
-        if old is not None:
-            self._same_schema(old, placed)
-            placed = placed.select(*old.schema.names)
-        # Read three times below: once for the partitions, once for the ids, once for the rows.
-        staged = stage(placed, "batch")
         if old is None:
-            if not staged.isEmpty():
-                self._commit(staged, None, None, batch)
+            self._commit(placed, None, None, batch)
             return
+        self._same_schema(old, placed)
+        # Read three times below: once for the partitions, once for the ids, once for the rows.
+        staged = stage(placed.select(*old.schema.names), "batch")
         if BUCKET in self.partition_by and set(on) != set(self.keys):
             # Rows with the incoming ids may sit in any bucket.
             touched = sorted({*old.partitions, *self._partitions_of(staged)})
@@ -319,7 +326,7 @@ class VersionedTable:
         used = {f"_version={v}/{p}" for m in kept for p, v in m.partitions.items()}
         used_versions = {u.split("/", 1)[0] for u in used}
         for name in self._names(f"{self.path}/data"):
-            if name not in used_versions and int(name.split("=")[1]) < versions[-1]:
+            if name not in used_versions and int(name.split("=")[1].split("-")[0]) < versions[-1]:
                 self._fs.delete(self._new_path(f"{self.path}/data/{name}"), True)
         for v in versions[:-keep]:
             self._fs.delete(self._new_path(f"{self.path}/_manifests/{v:010d}.json"), False)

@@ -73,6 +73,8 @@ class EntryAssembler:
         self.open_entries.merge(
             entries.join(last, PLACE, "left_semi").select("stream", "text"), batch=(self.name, batch_id)
         )
+        # A repeated batch needs the version before its own; older ones are dropped.
+        self.open_entries.expire(keep=5)
         return entries.join(last, PLACE, "left_anti").withColumn("text", strip(F.col("text")))
 
     def _before(self, batch_id: int) -> DataFrame | None:

@@ -64,7 +64,7 @@ def test_only_touched_buckets_are_rewritten(spark, folder):
     t = VersionedTable(spark, f"{folder}/t", ("id",), buckets=8)
     t.merge(spark.range(200))
     t.merge(spark.range(1))
-    assert sorted(t.manifest().partitions.values()) == [1] * 7 + [2]
+    assert sorted(int(v.split("-")[0]) for v in t.manifest().partitions.values()) == [1] * 7 + [2]
     assert t.rows().count() == 200
 
 
