@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from annalist.operators.shapes import most_frequent_with_rows
 from annalist.plans.ingest import Ingest
 from annalist.plans.registered import registered, table
-from annalist.plans.registered.logs import EVENT, as_files, event_lines, event_rows, event_start, turn_lines
+from annalist.plans.registered.logs import (
+    EVENT, as_files, event_lines, event_rows, event_start, nanoseconds, turn_lines,
+)
 from annalist.plans.registered.questions import MOST_SQL
 from annalist.plans.registered.records import LAST_EVENT_SQL
 from annalist.operators.entries import log_records
@@ -24,9 +28,7 @@ def ask_ingested_log(spark, sf_dir):
     ingest.files(as_files(spark, event_lines(spark, sf_dir)))
     stored = ingest.table_of(EVENT).rows()
     found = most_frequent_with_rows(stored, "user_id", "ts_text", event_type="purchase")
-    return found.select("user_id", "n", "latest", "event_id", "value").withColumn(
-        "latest", F.col("latest")
-    )
+    return found.select("user_id", "n", "latest", "event_id", "value")
 
 
 @registered(
@@ -60,17 +62,11 @@ def ingest_routes(spark, sf_dir):
 @registered("stream_ingest", LAST_EVENT_SQL)
 def stream_ingest(spark, sf_dir):
     """Events as label-stream responses in several files, ingested by a stream, keyed by user."""
-    spec = EntitySpec(
-        "LastEvent",
-        tuple(f if f.name != "event_id" else f.__class__("event_id", int) for f in EVENT.fields if f.name != "user_id")
-        + (EVENT.fields[1].__class__("user_id", int, key=True),),
-        "web",
-    )
-    lines = log_records(
-        event_rows(spark, sf_dir), spec, event_start(), ["event_id", "ts"]
-    )
+    by_user = tuple(replace(f, key=f.name == "user_id") for f in EVENT.fields)
+    spec = EntitySpec("LastEvent", by_user, "web")
+    lines = log_records(event_rows(spark, sf_dir), spec, event_start(), ["event_id", "ts"])
     labels = F.create_map(F.lit("app"), F.lit("web"), F.lit("pod"), F.lit("collector"))
-    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    ns = nanoseconds("ts") + F.col("event_id") % 1000
     folder = scratch_path(spark, "responses")
     responses = to_responses(lines.withColumn("ns", ns), labels, F.col("ns"), F.col("value"))
     responses.write.text(folder)

@@ -63,6 +63,12 @@ def as_files(spark: SparkSession, lines: DataFrame) -> str:
     return path
 
 
+def nanoseconds(ts: str) -> Column:
+    """Nanoseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz")) * 1000
+
+
 def parsed_file(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """Lines written as log files, read back, assembled and parsed."""
     return parse_entries(assemble_files(read_log_lines(spark, as_files(spark, lines))))
@@ -223,7 +229,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_responses(spark, sf_dir):
     """Saved responses of a label-stream service, read back and parsed per value."""
     events = labelled(spark, sf_dir)
-    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    ns = nanoseconds("ts")
     msg = F.concat(F.lit("id="), F.col("event_id").cast("string"))
     path = scratch_path(spark, "responses")
     to_responses(events, F.col("labels"), ns, msg).write.text(path)
