@@ -73,7 +73,7 @@ def stream_ingest(spark, sf_dir):
     ingest = Ingest(spark, scratch_path(spark, "ingest"), Registry([spec]), buckets=4)
     state = scratch_path(spark, "state")
     query = start_ingest(
-        read_responses_stream(spark, folder), ingest, state, scratch_path(spark, "checkpoint"), dedup=None
+        read_responses_stream(spark, folder), ingest, state, scratch_path(spark, "checkpoint")
     )
     query.awaitTermination()
     finish_ingest(ingest, state)

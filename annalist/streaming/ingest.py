@@ -94,13 +94,15 @@ class EntryAssembler:
 
 
 def start_ingest(
-    lines: DataFrame, ingest: Ingest, state_path: str, checkpoint: str, dedup: str | None = "10 minutes",
+    lines: DataFrame, ingest: Ingest, state_path: str, checkpoint: str, dedup: str | None = None,
     name: str = "ingest", **trigger,
 ) -> StreamingQuery:
     """Run the whole ingestion continuously over lines (labels, ns, ts, position, msg).
 
-    Polling the same lines again adds nothing: repeated lines are dropped
-    within ``dedup``, and every table ignores a batch it already has.
+    Every line is used, and every table ignores a batch it already has. Set
+    ``dedup`` to a time span when the source polls overlapping windows: lines
+    seen before within that span are dropped, but so are lines that come later
+    than the span behind the newest one, so choose it longer than any delay.
     """
     keyed = lines.withColumn("stream", stream_name(F.col("labels")))
     if dedup:
