@@ -52,6 +52,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         self.cache: dict[str, bytes] = {}
+        self.piece = PIECE if self.library([" "])[0] else re.compile(f"[^{PLAIN}]+")
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -65,7 +66,7 @@ class Encoder:
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        cut = [None if ODD.search(t) else PIECE.findall(t) for t in texts]
+        cut = [None if ODD.search(t) else self.piece.findall(t) for t in texts]
         if len(self.cache) > CACHED:
             self.cache = {}
         known = self.cache
@@ -122,7 +123,7 @@ def kind(c: str) -> str:
     return c0 if c0 in "LN" else "S" if c.isspace() else "O"
 
 
-def cut_near(text: str, middle: int, encoder: Encoder, reach: int = 4096) -> tuple[int, bool] | None:
+def cut_near(text: str, middle: int, encoder: Encoder, inside: bool, reach: int = 4096) -> tuple[int, bool] | None:
     """A place to cut near the middle, and whether tokens can run across it.
 
     Clean cuts stand before plain white space after something else. Failing
@@ -133,19 +134,19 @@ def cut_near(text: str, middle: int, encoder: Encoder, reach: int = 4096) -> tup
     for at in sorted(range(low, high), key=lambda x: abs(x - middle)):
         if text[at] in PLAIN and not text[at - 1].isspace() and not ODD.match(text[at - 1]):
             return at, False
-    for at in range(middle, high):
+    for at in range(middle, high if inside else middle):
         if len({kind(c) for c in text[at - 4 : at + 4]}) == 1 and not encoder.holds_special(text, at):
             return at, True
     return None
 
 
-def halves(text: str, encoder: Encoder, leaf: int) -> list[tuple[str, bool]]:
+def halves(text: str, encoder: Encoder, leaf: int, inside: bool) -> list[tuple[str, bool]]:
     """Leaves of a text with, for each, whether its start is inside an unsplit run."""
     done: list[tuple[str, bool]] = []
     todo = [(text, False)]
     while todo:
         part, joined = todo.pop()
-        cut = cut_near(part, len(part) // 2, encoder) if len(part) > leaf else None
+        cut = cut_near(part, len(part) // 2, encoder, inside) if len(part) > leaf else None
         if cut is None:
             done.append((part, joined))
         else:
@@ -184,11 +185,12 @@ def join_tree(parts: list[tuple[np.ndarray, bool]], table: list[bytes], encoder:
     return parts[0][0]
 
 
-def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, inside: bool = True) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens`` of each row.
 
-    ``vocabulary`` is a byte-level file of the tokenizers library, at a path every
-    worker has. The ids are those of the library without special tokens added. A
+    ``vocabulary`` is a file of the tokenizers library, at a path every worker
+    has. ``inside`` allows cuts inside unsplit runs; only byte-level vocabularies,
+    whose tokens are the text's own bytes, can join those. The ids are those of the library without special tokens added. A
     null text is empty, an empty text has no ids; rows with the same or a null
     ``doc_id`` are encoded each for itself. A text that is longer than ``leaf``
     and has no allowed cut is encoded as one leaf.
@@ -209,7 +211,7 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF) -> DataFrame:
         e = encoder(vocabulary)
         for batch in batches:
             for n in range(batch.num_rows):
-                parts = halves(batch.column("text")[n].as_py(), e, leaf)
+                parts = halves(batch.column("text")[n].as_py(), e, leaf, inside)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "row": pa.array([batch.column("row")[n].as_py()] * len(parts), pa.int64()),

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe
-from annalist.session import ship_package
+from annalist.llm import bpe, packing, tokens
+from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +33,17 @@ def op1_bpe_round_trip(spark, docs):
     return both.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256")
     )
+
+
+@registered
+def op2_token_files(spark, docs):
+    """All documents as token files, and what the files hold."""
+    folder = scratch_path(spark, "tokens")
+    tokens.write_tokens(bpe.encode(docs, WORD_BPE, inside=False), folder, end_id=2)
+    return tokens.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@registered
+def op8_packing(spark, docs):
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(bpe.encode(docs, BYTE_BPE), end_id=1).drop("ids")
