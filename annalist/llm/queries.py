@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, packing, tokens
+from annalist.llm import bpe, packing, simhash, tokens
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,10 @@ def op2_token_files(spark, docs):
 def op8_packing(spark, docs):
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(bpe.encode(docs, BYTE_BPE), end_id=1).drop("ids")
+
+
+@registered
+def op10_simhash(spark, docs):
+    """The fingerprint and component of every document."""
+    found = simhash.near_duplicates(docs, shingle=3, most=3, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
