@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, packing, simhash, tokens
+from annalist.llm import bpe, packing, simhash, suffix, tokens
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,10 @@ def op10_simhash(spark, docs):
     """The fingerprint and component of every document."""
     found = simhash.near_duplicates(docs, shingle=3, most=3, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@registered
+def op3_repeated_strings(spark, docs):
+    """What is left of every document without the 100-byte strings that also start earlier."""
+    found = suffix.remove_repeats(docs, length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
