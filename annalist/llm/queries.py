@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, packing, simhash, suffix, tokens
+from annalist.llm import bpe, ctw, packing, simhash, suffix, tokens
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op3_repeated_strings(spark, docs):
     """What is left of every document without the 100-byte strings that also start earlier."""
     found = suffix.remove_repeats(docs, length=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registered
+def op4_context_tree(spark, docs):
+    """Scores of all documents by a context-tree model and by a unigram base."""
+    return ctw.score(docs)
