@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, ctw, packing, simhash, suffix, tokens
+from annalist.llm import bpe, ctw, outliers, packing, simhash, suffix, tokens
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,11 @@ def op3_repeated_strings(spark, docs):
 def op4_context_tree(spark, docs):
     """Scores of all documents by a context-tree model and by a unigram base."""
     return ctw.score(docs)
+
+
+@registered
+def op5_outliers(spark, docs):
+    """Statistics of all documents and whether they are kept."""
+    found = outliers.judge(docs)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "kept", "distance2")
