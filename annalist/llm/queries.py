@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, ctw, outliers, packing, simhash, suffix, tokens
+from annalist.llm import bpe, ctw, langid, outliers, packing, pii, simhash, suffix, tokens
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,22 @@ def op5_outliers(spark, docs):
     found = outliers.judge(docs)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("doc_id", *counts, "base_failed", "kept", "distance2")
+
+
+@registered
+def op6_language(spark, docs):
+    """The predicted language of all documents, by a model of those that are not held out."""
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.filter(~held).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+@registered
+def op7_personal_data(spark, docs):
+    """All spans of personal data in all documents."""
+    found = pii.find(docs, pii.fit(docs))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    base = F.filter("spans", lambda s: s["base"])
+    count_of = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("bigint")
+    counts = [count_of(k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
