@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, ctw, langid, outliers, packing, pii, simhash, suffix, tokens
+from annalist.llm import bpe, ctw, langid, outliers, packing, pii, search, simhash, suffix, tokens
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ def op7_personal_data(spark, docs):
     count_of = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("bigint")
     counts = [count_of(k).alias(f"n_{k}") for k in pii.KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@registered
+def op9_bm25_search(spark, docs):
+    """The ten best documents for every document whose id is divisible by 100, as a query by its whole text."""
+    queries = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(docs, queries, k=10)
