@@ -176,26 +176,37 @@ def fit(labelled: DataFrame) -> Model:
     return Model(languages, weights, bias, temperature)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` appended (columns of these names are replaced).
-
-    Only ``text`` is looked at. Null texts, texts without a letter, and every text if no language was learned are ``und``, with score 0.
-    """
+def judged(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """``docs`` with a column, of a name not taken yet, that holds the language and its score."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by features and languages
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, score double")
     def run(texts):
         import pandas as pd
 
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    kept = docs.drop("lang_pred", "score")
     own = "found"
-    while own.lower() in (c.lower() for c in kept.columns):
+    while own in (c.lower() for c in docs.columns):
         own += "_"
-    found = kept.withColumn(own, run.asNondeterministic()("text"))
-    return found.select(*[F.col(f"`{c}`") for c in kept.columns], f"{own}.lang_pred", f"{own}.score")
+    return docs.withColumn(own, run.asNondeterministic()("text")), own
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` appended (columns of these names are replaced).
+
+    Only ``text`` is looked at. Null texts, texts without a letter, and every text if no language was learned are ``und``, with score 0.
+    """
+    kept = docs.drop("lang_pred", "score")
+    found, own = judged(kept, model)
+    return found.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"{own}.lang").alias("lang_pred"), f"{own}.score")
+
+
+def known(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``."""
+    found, own = judged(docs, model)
+    return found.filter((F.col(f"{own}.lang") != UNKNOWN) & (F.col(f"{own}.score") >= least)).drop(own)
 
 
 def held_out(doc_id: Column, parts: int = 5) -> Column:

@@ -101,3 +101,13 @@ def op9_bm25_search(spark, docs):
     """The ten best documents for every document whose id is divisible by 100, as a query by its whole text."""
     queries = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return search.search(docs, queries, k=10)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

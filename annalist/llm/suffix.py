@@ -332,6 +332,20 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
     return copies.unionByName(merged).unionByName(common)
 
 
+def kept_bytes(text: bytes, ranges: list | None) -> tuple[bytes, int, int]:
+    """What is left of a text, the bytes removed, and the number of removed runs."""
+    parts, at, end, runs, removed = [], 0, -1, 0, 0
+    for start, stop in sorted((r["start"], r["end"]) for r in (() if ranges is None else ranges)):
+        if start > end:
+            parts.append(text[at:start])
+            runs += 1
+            removed += stop - start
+        elif stop > end:
+            removed += stop - end
+        at = end = max(end, stop)
+    return b"".join([*parts, text[at:]]), removed, runs
+
+
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of each row.
 
@@ -345,28 +359,49 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, counts = [], []
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-                parts, at, spans_, removed = [], 0, 0, 0
-                end = -1
-                for start, stop in sorted((r["start"], r["end"]) for r in wanted or ()):
-                    if start > end:
-                        parts.append(text[at:start])
-                        spans_ += 1
-                        removed += stop - start
-                    elif stop > end:
-                        removed += stop - end
-                    at = end = max(end, stop)
-                parts.append(text[at:])
-                kept.append(b"".join(parts))
-                counts.append((len(text), removed, spans_))
+            texts = batch.column("text").to_pylist()
+            found = [kept_bytes(t, r) for t, r in zip(texts, batch.column("ranges").to_pylist())]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id")}
-                | {c: pa.array([x[k] for x in counts], pa.int64()) for k, c in enumerate(("n_bytes", "n_removed", "n_spans"))}
-                | {"kept": pa.array(kept, pa.binary())}
+                {
+                    "doc_id": batch.column("doc_id"), "n_bytes": pa.array(map(len, texts), pa.int64()),
+                    "n_removed": pa.array([f[1] for f in found], pa.int64()), "n_spans": pa.array([f[2] for f in found], pa.int64()),
+                    "kept": pa.array([f[0] for f in found], pa.binary()),
+                }
             )
 
     id_type = dict(rows.dtypes)["doc_id"]
     return rows.join(ranges, "ord", "left").select("doc_id", "text", "ranges").mapInArrow(
         cut, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with the repeated strings cut out of ``text``, and ``n_chars``, if there, counted anew.
+
+    Characters of which only some bytes are left go too; null texts stay null. ``doc_id`` must be unique and not null
+    for rows to keep their other columns; otherwise all columns come from a copy that is numbered in its order.
+    """
+    bounded_batches(docs.sparkSession)
+    doubled = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
+    own, used = "ord", {c.lower() for c in docs.columns}
+    while own in used or f"{own}_ranges" in used:
+        own += "_"
+    if doubled:
+        ordered = docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+        docs_, ord_ = stage(ordered.withColumn(own, F.monotonically_increasing_id()), "numbered"), F.col(own)
+    else:
+        docs_, ord_ = docs.withColumn(own, F.col("doc_id").cast("bigint")), F.col(own)
+    rows = docs_.select(ord_.alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    ranges = repeats(rows, length).groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias(f"{own}_ranges")).withColumnRenamed("ord", own)
+
+    @F.pandas_udf("string")
+    def cut(texts, found):
+        import pandas as pd
+
+        return pd.Series([None if t is None else kept_bytes(t.encode(), r)[0].decode(errors="ignore") for t, r in zip(texts, found)], dtype=object)
+
+    names = docs.columns
+    joined = docs_.join(ranges, own, "left").withColumn("text", cut.asNondeterministic()("text", f"{own}_ranges"))
+    if "n_chars" in names:
+        joined = joined.withColumn("n_chars", F.length("text").cast("bigint"))
+    return joined.select(*[F.col(f"`{c}`") for c in names])
