@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,12 +31,20 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from annalist.llm.common import bounded_batches, texts_of
 
+#: Fixed value: how byte-level vocabularies split a text.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Stands for the end of a word where tokens tell it.
+WORD_END = "\0"
 #: Characters of a leaf. Longer texts are halved.
 LEAF = 1 << 16
 #: Pieces kept by the cache of one worker, and the longest piece kept.
-CACHED, CACHED_CHARS = 400_000, 48
+CACHED, CACHED_CHARS = 250_000, 48
 PLAIN = " \t\n\v\f\r"
-PIECE = re.compile(f"[{PLAIN}]*[^{PLAIN}]+|[{PLAIN}]+")
+#: Letters and marks whose kind all engines agree on. Words of these letters are pieces apart from marks after them.
+LETTERS, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", ".,!?;:*#$%&|"
+WORD = f"[{LETTERS}]++(?=[{MARKS}]*+(?:[{PLAIN}]|\\Z))|[{MARKS}]++(?=[{PLAIN}]|\\Z)"
+PIECE = re.compile(f"[{PLAIN}]*+{WORD}|[{PLAIN}]*+[^{PLAIN}]+|[{PLAIN}]+")
+SIMPLE = re.compile(f"[{LETTERS}]+")
 #: White space on which pattern engines differ: texts with it are not cut into pieces.
 ODD_CODES = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 ODD = re.compile("[" + "".join(map(chr, ODD_CODES)) + "]")
@@ -50,33 +59,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
-        self.cache: dict[str, bytes] = {}
-        self.piece = PIECE if self.library([" "])[0] else re.compile(f"[^{PLAIN}]+")
+            data = json.load(file)
+        self.special = [t["content"] for t in data["added_tokens"]]
+        self.any_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.fast = ranked(data, path)
+        self.piece = PIECE if self.library([" "])[0] else re.compile(f"{WORD}|[^{PLAIN}]+")
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the cache does not hold."""
+        if self.fast is None:
+            return dict(zip(pieces, self.library(pieces)))
+        ranks, ids = self.fast
+        encode = ranks.encode_ordinary
+        if ids is None:
+            return {p: array("I", encode(p)).tobytes() for p in pieces}
+        simple = SIMPLE.fullmatch
+        out = {p: ids[encode(p.lower() + WORD_END)].tobytes() for p in pieces if simple(p)}
+        others = [p for p in pieces if p not in out]
+        return out | dict(zip(others, self.library(others)))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for start in range(0, len(texts), 128):
-            out += self._ids(texts[start : start + 128])
+        for start in range(0, len(texts), 64):
+            out += self._ids(texts[start : start + 64])
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        cut = [None if ODD.search(t) else self.piece.findall(t) for t in texts]
-        if len(self.cache) > CACHED:
-            self.cache = {}
-        known = self.cache
-        unknown = {p for pieces in cut if pieces for p in pieces if p not in known}
-        fresh = list(unknown)
-        now = dict(zip(fresh, self.library(fresh)))
-        long = {p: ids for p, ids in now.items() if len(p) > CACHED_CHARS}
-        known.update((p, ids) for p, ids in now.items() if p not in long)
-        look = known.__getitem__ if not long else lambda p: long[p] if p in long else known[p]
-        return [self.library([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, cut)]
+        whole = [bool(ODD.search(t) or self.any_special.search(t)) for t in texts]
+        cut = [None if w else self.piece.findall(t) for w, t in zip(whole, texts)]
+        if len(self.known) > CACHED:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        missing = {p for pieces in cut if pieces for p in pieces if p not in known}
+        again = missing & old.keys()
+        known.update((p, old[p]) for p in again)
+        now = self.fresh(list(missing - again))
+        long = {p for p in now if len(p) > CACHED_CHARS}
+        known.update(now)
+        look = known.__getitem__
+        out = [self.library([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, cut)]
+        for p in long:
+            del known[p]
+        return out
 
     def encode_run(self, run: bytes) -> np.ndarray:
         """Ids of a text that starts and ends at a character border."""
@@ -87,6 +118,50 @@ class Encoder:
         return any(s in text[max(0, at - len(s) + 1) : at + len(s) - 1] for s in self.special)
 
 
+def ranked(data: dict, path: str):
+    """The same encoding of single pieces by ranks, which is faster: an encoding, and the id of each rank unless they are the same.
+
+    None for vocabularies of another make. Where tokens tell the end of a word, the pieces are
+    simple words, and a character that is in none of them stands for the end; joining it to the last byte comes first.
+    """
+    import tiktoken
+
+    model, special = data["model"], {t["id"] for t in data["added_tokens"]}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in pairs]
+    if order != sorted(set(order)) or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    split, end = data["pre_tokenizer"] or {}, model.get("end_of_word_suffix")
+    if end:
+        kinds = [n["type"] for n in (data["normalizer"] or {}).get("normalizers", [])]
+        levels = split.get("pretokenizers", [])
+        if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in levels] != ["Split", "ByteLevel"] or r"[\p{L}]+" not in levels[0]["pattern"].get("Regex", ""):
+            return None
+        back = byte_alphabet()
+        shown = {b: c for c, b in back.items()}
+        plain = lambda token: bytes(back[c] for c in token.removesuffix(end)) + WORD_END.encode() * token.endswith(end)
+        tokens = [bytes([b]) for b in range(256)] + [bytes([b]) + WORD_END.encode() for b in range(256)] + [plain(a + b) for a, b in pairs]
+        names = [shown[b] for b in range(256)] + [shown[b] + end for b in range(256)] + [a + b for a, b in pairs]
+        if len(set(tokens)) != len(tokens):
+            return None
+        ranks = tiktoken.Encoding("ranked", pat_str=r"[\s\S]+", mergeable_ranks={t: n for n, t in enumerate(tokens)}, special_tokens={})
+        return ranks, np.array([model["vocab"][n] for n in names], dtype="<u4")
+    if split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or data["normalizer"]:
+        return None
+    table = token_bytes(path)
+    if len(order) + 256 + len(special) != len(table):
+        return None
+    ranks = {b: n for n, b in enumerate(table) if n not in special}
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}), None
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -97,10 +172,7 @@ def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary; special tokens are their text."""
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
-    # The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others follow from 256 on.
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    back = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+    back = byte_alphabet()
     vocabulary = data["model"]["vocab"]
     special = {t["id"]: t["content"].encode() for t in data["added_tokens"]}
     out = [b""] * (1 + max([*vocabulary.values(), *special]))
