@@ -18,6 +18,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Keep the batches sent to Python small, so that long texts fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # Results of a step are staged, so its shuffle files can go when it has ended.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -19,7 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from annalist.llm.common import bounded_batches, byte_columns, slices, stage
 #: Preceding bytes of the deepest context.
 DEPTH = 5
 #: Bytes of text in a chunk, and grams that a task turns into probabilities at once.
-CHUNK, AT_ONCE = 24 << 20, 400_000
+CHUNK, AT_ONCE = 40 << 20, 400_000
 #: The end of a text, a byte that UTF-8 never uses. It also stands before every text.
 END = b"\xff"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -184,6 +185,37 @@ def whole_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[
         yield grams, np.concatenate(held_counts)
 
 
+def unpacked(column: pa.Array) -> pa.Array:
+    return pa.array(map(decompress, column.to_pylist()), pa.large_binary())
+
+
+def packed(rows: DataFrame, pack: Callable[[pa.Table], bytes]) -> DataFrame:
+    """``chunk``, ``n`` and ``blob`` for parts of the rows of each chunk, so that few rows are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                yield from blobs(held)
+                held, size = [], 0
+        if size:
+            yield from blobs(held)
+
+    def blobs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        table = table.take(pa.array(np.argsort(table.column("chunk").to_numpy(), kind="stable"))).combine_chunks()
+        chunks = table.column("chunk").to_numpy()
+        first = np.flatnonzero(np.diff(chunks, prepend=chunks[0] - 1))
+        parts = [table.slice(a, b - a) for a, b in zip(first, [*first[1:], len(chunks)])]
+        yield pa.RecordBatch.from_pydict(
+            {"chunk": pa.array(chunks[first]), "n": pa.array(map(len, parts), pa.int64()), "blob": pa.array(map(pack, parts), pa.binary())}
+        )
+
+    return rows.mapInArrow(run, "chunk bigint, n bigint, blob binary")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Scores of each row by models of the rows that are not held out.
 
@@ -209,7 +241,7 @@ def score(docs: DataFrame) -> DataFrame:
                 size += len(t) + 1
                 labels.append(chunk)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "held": batch.column("held"), "chunk": pa.array(labels, pa.int64()), "text": pa.array(texts, pa.binary())}
+                {"doc_id": batch.column("doc_id"), "held": batch.column("held"), "chunk": pa.array(labels, pa.int64()), "text": pa.array([compress(t, 1) for t in texts], pa.binary())}
             )
 
     dealt = stage(rows.mapInArrow(deal, f"doc_id {id_type}, held boolean, chunk bigint, text binary"), "chunks")
@@ -229,7 +261,7 @@ def score(docs: DataFrame) -> DataFrame:
             for chunk, h, part in runs(batch):
                 for old in [c for c in open_ if c != chunk]:
                     yield gram_rows(old, *open_.pop(old))
-                raw, offsets = byte_columns(part.column("text"))
+                raw, offsets = byte_columns(unpacked(part.column("text")))
                 for a, b in slices(offsets, 4 << 20):
                     grams, n = np.unique(grams_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), return_counts=True)
                     n = n * (not h)
@@ -249,7 +281,7 @@ def score(docs: DataFrame) -> DataFrame:
                 for old in [c for c in open_ if c != chunk]:
                     yield word_rows(old, open_.pop(old))
                 words = open_.setdefault(chunk, Counter())
-                for text in part.column("text").to_pylist():
+                for text in map(decompress, part.column("text").to_pylist()):
                     # The empty word stands for the end.
                     found = [*text.split(b" "), b""] if text else [b""]
                     if h:
@@ -297,32 +329,43 @@ def score(docs: DataFrame) -> DataFrame:
     words = word_pairs.groupBy("word").agg(F.sum("n").alias("c"))
     n_all, v_all = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, True))).first()
     n_all, v_all = n_all or 0, v_all or 0
-    asked_grams = gram_pairs.select("gram", "chunk").join(gram_p, "gram").select("chunk", F.col("gram").alias("gram"), "p", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("bigint").alias("c"))
-    asked_words = word_pairs.select("word", "chunk").join(words, "word").select("chunk", F.lit(0).cast("bigint").alias("gram"), F.lit(0.0).alias("p"), "word", "c")
-    asked = asked_grams.unionByName(asked_words)
+    def pack_grams(part: pa.Table) -> bytes:
+        return part.column("gram").to_numpy().tobytes() + part.column("p").to_numpy().astype("<f4").tobytes()
+
+    def pack_words(part: pa.Table) -> bytes:
+        return part.column("c").to_numpy().tobytes() + b" ".join(part.column("word").to_pylist())
+
+    asked_grams = packed(gram_pairs.select("gram", "chunk").join(gram_p, "gram").select("chunk", "gram", "p"), pack_grams)
+    asked_words = packed(word_pairs.select("word", "chunk").join(words, "word").select("chunk", "word", "c"), pack_words)
+    asked = stage(asked_grams, "asked-grams").withColumn("words", F.lit(False)).unionByName(stage(asked_words, "asked-words").withColumn("words", F.lit(True)))
 
     def score_chunk(texts: pa.Table, model: pa.Table) -> pa.Table:
-        is_word = model.column("word").is_valid()
-        known = model.filter(is_word)
-        count = dict(zip(known.column("word").to_pylist(), known.column("c").to_pylist()))
-        base_of = {w: math.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1))) for w, c in count.items()}
-        grams_ = model.filter(pa.compute.invert(is_word))
-        keys, p = grams_.column("gram").to_numpy().view(np.uint64), grams_.column("p").to_numpy()
+        base_of: dict[bytes, float] = {}
+        known, keys, p = set(), [], []
+        for n, blob, is_words in zip(*(model.column(c).to_pylist() for c in ("n", "blob", "words"))):
+            if is_words:
+                found, c = blob[8 * n :].split(b" "), np.frombuffer(blob[: 8 * n], "<i8")
+                known.update(w for w, x in zip(found, c.tolist()) if x)
+                base_of.update(zip(found, np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1))).tolist()))
+            else:
+                keys.append(np.frombuffer(blob[: 8 * n], "<u8"))
+                p.append(np.frombuffer(blob[8 * n :], "<f4").astype(np.float64))
+        keys, p = np.concatenate(keys), np.concatenate(p)
         order = np.argsort(keys)
         keys, p = keys[order], p[order]
         tokens, seen, base, scores, sizes = [], [], [], [], []
         for batch in texts.combine_chunks().to_batches():
-            raw, offsets = byte_columns(batch.column("text"))
+            raw, offsets = byte_columns(unpacked(batch.column("text")))
             for a, b in slices(offsets, 2 << 20):
                 cut = offsets[a : b + 1] - offsets[a]
                 found = p[np.searchsorted(keys, grams_of(raw[offsets[a] : offsets[b]], cut))]
                 scores.append(np.add.reduceat(found, cut[:-1] + np.arange(b - a)))
                 sizes.append(np.diff(cut) + 1)
-            for text in batch.column("text").to_pylist():
+            for text in map(decompress, batch.column("text").to_pylist()):
                 found = [*text.split(b" "), b""] if text else [b""]
                 tokens.append(len(found))
-                seen.append(sum(count[w] > 0 for w in found))
-                base.append(math.fsum(base_of[w] for w in found))
+                seen.append(sum(map(known.__contains__, found)))
+                base.append(math.fsum(map(base_of.__getitem__, found)))
         scores, sizes = np.concatenate(scores), np.concatenate(sizes)
         return pa.table(
             {
