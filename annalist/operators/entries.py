@@ -82,7 +82,7 @@ def routed_rows(parsed: DataFrame, registry: Registry) -> DataFrame:
     """
     good = F.col("problem").isNull()
     item = F.posexplode_outer(F.when(good, F.col("objects"))).alias("item", "record")
-    rows = parsed.select(*PLACE, "module_name", "content", "text", "problem", item)
+    rows = parsed.select(*PLACE, "date", "module_name", "content", "text", "problem", item)
     namespace, kind = type_tags(F.col("record"))
     known = F.coalesce(registry.is_known(F.col("namespace"), F.col("type")), F.lit(False))
     rows = rows.withColumns({"namespace": namespace, "type": kind}).withColumn(
@@ -96,6 +96,7 @@ def routed_rows(parsed: DataFrame, registry: Registry) -> DataFrame:
     problem = F.coalesce("problem", F.when(is_kind("dead"), F.lit("unknown type")))
     return rows.select(
         *PLACE,
+        "date",
         "item",
         "kind",
         F.when(is_kind("record"), F.col("namespace")).alias("namespace"),
@@ -120,7 +121,7 @@ class Routed:
 def by_kind(rows: DataFrame) -> Routed:
     of = lambda k: rows.filter(F.col("kind") == k)
     return Routed(
-        of("record").select(*PLACE, "item", "namespace", "type", "record"),
+        of("record").select(*PLACE, "date", "item", "namespace", "type", "record"),
         of("text").select(*PLACE, "module_name", "name", "text"),
         of("dead").select(*PLACE, "text", "problem"),
     )

@@ -76,13 +76,18 @@ class Ingest:
         self._texts(routed, batch)
 
     def _records(self, routed: Routed, batch: tuple[str, int] | None) -> None:
-        place = [*PLACE, "item"]
+        # By the time that an entry names, then by its stream: the same however entries are cut into batches.
+        place = ["date", *PLACE, "item"]
         bad = routed.dead
+        present = {(r["namespace"], r["type"]) for r in routed.records.select("namespace", "type").distinct().collect()}
         for spec in self.registry:
+            if (spec.namespace, spec.name) not in present:
+                continue
             # Each type has its own folder among the routed rows, so its merge reads no other.
             typed = records_of(routed.records, spec, keep=place)
             good = typed.filter(F.size("problems") == 0)
-            self.table_of(spec).merge(good, F.struct(*place), batch, columns=spec.columns)
+            moment = F.concat_ws("\x00", "date", "stream")
+            self.table_of(spec).merge(good, F.struct(*place), batch, columns=spec.columns, stored_seq=moment)
             failed = typed.filter(F.size("problems") > 0).select(
                 *PLACE,
                 F.to_json(F.struct(*spec.columns)).alias("text"),

@@ -26,6 +26,8 @@ from annalist.operators.merge import keep_last, merge_fields, without_keys
 from annalist.session import scratch_path, stage
 
 BUCKET = "bucket"
+#: Stored beside the rows of tables whose merges are ordered across batches.
+SEQUENCE = "_seq"
 
 
 class ConcurrentWrite(RuntimeError):
@@ -139,9 +141,9 @@ class VersionedTable:
         return None if manifest is None else self._read(manifest, list(manifest.partitions))
 
     def rows(self) -> DataFrame | None:
-        """The table's rows without the bucket column."""
+        """The table's rows without the bucket and sequence columns."""
         df = self.df()
-        return None if df is None else df.drop(BUCKET)
+        return None if df is None else df.drop(BUCKET, SEQUENCE)
 
     def _read(self, manifest: Manifest, partitions: list[str]) -> DataFrame:
         if not partitions:
@@ -157,12 +159,12 @@ class VersionedTable:
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Rows of the keys in a small DataFrame of the key columns, reading their buckets only."""
         manifest = self.manifest()
-        wanted = keys.select(*self.keys, self._bucket(manifest.buckets).alias(BUCKET))
-        touched = [r[0] for r in wanted.select(BUCKET).distinct().collect()]
-        live = [p for p in (f"{BUCKET}={b}" for b in touched) if p in manifest.partitions]
-        return self._read(manifest, live).join(
-            wanted.distinct(), [BUCKET, *self.keys], "left_semi"
-        ).drop(BUCKET)
+        wanted = keys.select(*self.keys).distinct()
+        live = list(manifest.partitions)
+        if self.partition_by == (BUCKET,):
+            touched = wanted.select(self._bucket(manifest.buckets).alias(BUCKET)).distinct().collect()
+            live = [p for p in (f"{BUCKET}={r[0]}" for r in touched) if p in manifest.partitions]
+        return self._read(manifest, live).join(wanted, list(self.keys), "left_semi").drop(BUCKET, SEQUENCE)
 
     # -- writing -----------------------------------------------------------
 
@@ -172,10 +174,14 @@ class VersionedTable:
     def _placed(self, df: DataFrame, buckets: int) -> DataFrame:
         return df.withColumn(BUCKET, self._bucket(buckets)) if BUCKET in self.partition_by else df
 
-    def _partitions_of(self, df: DataFrame) -> list[str]:
-        """Partition folders of a staged batch; as many values as the table has partitions."""
-        rows = df.select(*self.partition_by).distinct().collect()
-        return ["/".join(f"{c}={_folder(r[c])}" for c in self.partition_by) for r in rows]
+    def _staged(self, df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+        """A batch written once as the table would write it, and the partition folders that Spark gave it.
+
+        Read back, partition values are those that a reader of the table gets: an empty one is null.
+        """
+        path = scratch_path(self.spark, name)
+        df.write.partitionBy(*self.partition_by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), self._written(path, len(self.partition_by))
 
     def _commit(
         self, df: DataFrame, old: Manifest | None, replaced: list[str] | None, batch: tuple[str, int] | None
@@ -246,8 +252,8 @@ class VersionedTable:
         if old is None:
             self._commit(placed, None, None, batch)
             return
-        staged = stage(placed, "replace")
-        self._commit(staged, old, self._partitions_of(staged), batch)
+        staged, touched = self._staged(placed, "replace")
+        self._commit(staged, old, touched, batch)
 
     def merge(
         self,
@@ -255,14 +261,19 @@ class VersionedTable:
         seq: str | Column | None = None,
         batch: tuple[str, int] | None = None,
         columns: tuple[str, ...] | None = None,
+        stored_seq: Column | None = None,
     ) -> None:
         """Existing rows, then new rows, unique on the key, keeping the last.
 
         Within the batch "last" means the greatest ``seq``; a null key counts
         as one value. ``columns`` names the ones to store when ``df`` has more.
-        Existing rows are not shuffled again unless the batch is too large to
-        broadcast its keys.
+        ``stored_seq`` (text) is kept with each row: a stored row with a greater
+        one is not replaced, so the result does not depend on how rows are cut
+        into batches. The rows of touched partitions are written anew.
         """
+        if stored_seq is not None:
+            columns = (*(columns or df.columns), SEQUENCE)
+            df = df.withColumn(SEQUENCE, stored_seq)
         self._add(keep_last(df, self.keys, seq, columns), self.keys, batch)
 
     def upsert(
@@ -288,9 +299,12 @@ class VersionedTable:
         if old is None:
             columns = [c for c in df.columns if c not in (present, seq)]
             return self.merge(merge_fields(None, df, self.keys, seq, present).select(columns), batch=batch)
-        staged = stage(df, "update")
-        touched_rows = staged.select(self._bucket(old.buckets).alias(BUCKET))
-        touched = self._partitions_of(touched_rows)
+        if self.partition_by != (BUCKET,):
+            # A record with the key may sit in any partition.
+            staged, touched = stage(df, "update"), list(old.partitions)
+        else:
+            staged, touched = self._staged(self._placed(df, old.buckets), "update")
+            staged = staged.drop(BUCKET)
         current = self._read(old, [p for p in touched if p in old.partitions]).drop(BUCKET)
         merged = merge_fields(current, staged, self.keys, seq, present)
         self._commit(self._placed(merged, old.buckets), old, touched, batch)
@@ -304,20 +318,24 @@ class VersionedTable:
             self._commit(placed, None, None, batch)
             return
         self._same_schema(old, placed)
-        # Read three times below: once for the partitions, once for the ids, once for the rows.
-        staged = stage(placed.select(*old.schema.names), "batch")
+        # Read twice below: once for the ids, once for the rows.
+        staged, touched = self._staged(placed.select(*old.schema.names), "batch")
         if BUCKET in self.partition_by and set(on) != set(self.keys):
             # Rows with the incoming ids may sit in any bucket.
-            touched = sorted({*old.partitions, *self._partitions_of(staged)})
+            touched = sorted({*old.partitions, *touched})
             same = on
         else:
-            touched = self._partitions_of(staged)
             same = (*self.partition_by, *on)
         if not touched:
             return
         current = self._read(old, [p for p in touched if p in old.partitions])
-        kept = without_keys(current, staged, same)
-        self._commit(kept.unionByName(staged), old, touched, batch)
+        if SEQUENCE in staged.columns:
+            # The greater sequence wins; of equal ones the row that came later.
+            both = current.withColumn("_new", F.lit(0)).unionByName(staged.withColumn("_new", F.lit(1)))
+            rows = keep_last(both, same, F.struct(SEQUENCE, "_new"), tuple(staged.columns))
+        else:
+            rows = without_keys(current, staged, same).unionByName(staged)
+        self._commit(rows, old, touched, batch)
 
     def expire(self, keep: int = 1) -> list[int]:
         """Delete data that none of the newest ``keep`` versions uses; returns dropped versions."""
@@ -333,14 +351,6 @@ class VersionedTable:
         return versions[:-keep]
 
 
-def _folder(value) -> str:
-    """A partition value as Spark writes it in a folder name."""
-    if value is None or value == "":
-        return "__HIVE_DEFAULT_PARTITION__"
-    special = set('"#%\'*/:=?\\\x7f{[]^') | {chr(i) for i in range(1, 32)}
-    return "".join(f"%{ord(c):02X}" if c in special else c for c in str(value))
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL with a strict schema check by name."""
     first = set(frames[0].columns)

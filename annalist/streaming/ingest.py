@@ -84,6 +84,12 @@ class EntryAssembler:
                 return self.open_entries.df(version).drop("bucket")
         return None
 
+    def clear(self) -> None:
+        """Forget the open entries; the batches seen stay known."""
+        rows = self.open_entries.df()
+        if rows is not None:
+            self.open_entries.overwrite(rows.drop("bucket").limit(0))
+
     def flush(self) -> DataFrame | None:
         """The entries that are still open, for the end of a stream or a time-out."""
         df = self.open_entries.rows()
@@ -121,7 +127,14 @@ def start_ingest(
 
 
 def finish_ingest(ingest: Ingest, state_path: str, name: str = "ingest") -> None:
-    """Ingest the entries that were open when the stream stopped."""
-    left = EntryAssembler(ingest.spark, state_path, name).flush()
+    """Ingest the entries that are open: at the end of a stream, or after a quiet time.
+
+    They are then open no more, so a second call finds nothing, and a line that
+    still comes for one of them starts no entry. Safe to repeat if it was interrupted: the batch
+    is numbered by the state it flushes.
+    """
+    assembler = EntryAssembler(ingest.spark, state_path, name)
+    left = assembler.flush()
     if left is not None:
-        ingest.entries(left)
+        ingest.entries(left, batch=(f"{name}-flush", assembler.open_entries.versions()[-1]))
+        assembler.clear()
