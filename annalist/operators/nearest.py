@@ -22,18 +22,21 @@ from annalist.session import scratch_path, stage
 METRICS = ("l2sq", "l2", "cosine")
 # Queries are sent to every task in tiles of at most this many bytes.
 TILE_BYTES = 64 << 20
-# Centroids are sent to every task; an index may not have more than this.
-CENTROID_BYTES = 256 << 20
+# Centroids are sent to every task; an index has at most so many bytes of them.
+CENTROID_BYTES = 64 << 20
+# Bytes of distances that assignment holds at once.
+BLOCK_BYTES = 32 << 20
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column that have the right width, and which rows these are."""
+    """Rows of a list column that have the right width and only finite numbers, and which rows these are."""
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     good = np.flatnonzero(lengths == width)
     if len(good) < len(column):
         column = column.take(pa.array(good))
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(good), width), good
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), width)
+    finite = np.isfinite(values).all(axis=1)
+    return values[finite], good[finite]
 
 
 def _pair_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -57,10 +60,19 @@ def _block_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 
 def _candidates(x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """(row, query) pairs that may be among the k nearest of the block, all ties included."""
-    d = _block_distance(x, q, metric)
-    kth = np.partition(d, min(k, len(x)) - 1, axis=0)[min(k, len(x)) - 1]
-    slack = 1e-9 * (1 + np.abs(d).max(axis=0))
-    return np.nonzero(d <= kth + slack)
+    if metric == "cosine":
+        scale = 4.0
+    else:
+        # Differences do not change, and the product rounds less around the middle of the block.
+        middle = x.mean(axis=0)
+        x, q = x - middle, q - middle
+        scale = (x * x).sum(1).max() + (q * q).sum(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = _block_distance(x, q, metric)
+        kth = np.partition(d, min(k, len(x)) - 1, axis=0)[min(k, len(x)) - 1]
+        # Beyond what the product, in sums of this length and size, can be wrong. Overflown ones stay candidates.
+        slack = 8 * np.finfo(np.float64).eps * (x.shape[1] + 4) * scale
+        return np.nonzero(~(d > kth + 2 * slack))
 
 
 def nearest(
@@ -69,9 +81,12 @@ def nearest(
 ) -> DataFrame:
     """The k rows nearest to one vector: id, ``columns`` and ``_distance``, nearest first.
 
-    Ties go to the smaller id. Rows without a vector of the query's width are left out.
+    Ties go to the smaller id. Rows without a vector of the query's width, or with
+    a number in it that is not finite, are left out.
     """
     target = np.asarray(query, np.float64)[None, :]
+    if not np.isfinite(target).all():
+        raise ValueError("the query has a number that is not finite")
     names = [id_column, *[c for c in columns if c in df.columns and c != id_column]]
     picked = df.select(*names, vector)
 
@@ -223,37 +238,46 @@ class ClusteredIndex:
         self.table = VersionedTable(spark, f"{self.path}/cells", (id_column,), partition_by=("cell",))
         self._centroids: np.ndarray | None = None
 
-    def build(self, df: DataFrame, cells: int | None = None, train_rows: int = 1_000_000, seed: int = 7) -> "ClusteredIndex":
-        """Train centroids and store every row in the cell of its nearest one.
+    def build(self, df: DataFrame, cells: int | None = None, train_rows: int | None = None, seed: int = 7) -> "ClusteredIndex":
+        """Train centroids and store every row that has a vector in the cell of its nearest one.
 
-        Training looks at about ``train_rows`` rows, which affects how good the
-        cells are but never which rows are stored.
+        Training looks at all rows, or at about ``train_rows`` if given, which
+        affects how good the cells are but never which rows are stored. There are the square root of
+        the rows in cells by default, as far as ``CENTROID_BYTES`` allows; a cell may be
+        of any size. Rows without a vector of the common width, or with numbers that are not finite, are not stored.
         """
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        n = df.count()
-        cells = cells or max(1, int(math.sqrt(n)))
+        finite = F.forall(self.vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+        df = df.filter(F.col(self.vector).isNotNull() & finite)
+        n, width = df.agg(F.count("*"), F.mode(F.size(self.vector))).first()
+        df = df.filter(F.size(self.vector) == (width or 0))
+        most = max(1, CENTROID_BYTES // (8 * max(1, width or 1)))
+        cells = cells or max(1, min(int(math.sqrt(n)), most))
+        if cells > most:
+            raise ValueError(f"{cells} centroids are too large to send to every task")
         training = df.select(self.id_column, F.col(self.vector).cast("array<double>").alias("v"))
-        if n > train_rows:
+        if train_rows is not None and n > train_rows:
             training = training.filter(key_hash(self.id_column, seed=seed) < int(train_rows / n * 2**32))
         model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(
             training.select(array_to_vector("v").alias("features"))
         )
         centroids = np.array([list(map(float, c)) for c in model.clusterCenters()])
-        if centroids.nbytes > CENTROID_BYTES:
-            raise ValueError(f"{len(centroids)} centroids are too large to send to every task")
         rows = [(i, c.tolist()) for i, c in enumerate(centroids)]
+        # Beside those of the version that readers still use; publishing the cells switches both.
+        version = (self.table.versions() or [0])[-1] + 1
         self.spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode(
             "overwrite"
-        ).parquet(f"{self.path}/centroids")
+        ).parquet(f"{self.path}/centroids/version={version}")
         self._centroids = centroids
         self.table.overwrite(self.assign(df))
         return self
 
     def centroids(self) -> np.ndarray:
         if self._centroids is None:
-            rows = self.spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()
+            version = self.table.versions()[-1]
+            rows = self.spark.read.parquet(f"{self.path}/centroids/version={version}").orderBy("cell").collect()
             self._centroids = np.array([r["centroid"] for r in rows])
         return self._centroids
 
@@ -263,8 +287,10 @@ class ClusteredIndex:
 
         @F.pandas_udf("int")
         def _cell(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy()).astype(np.float64)
-            return pd.Series(_block_distance(x, shared.value, "l2sq").argmin(axis=1))
+            x, centers = np.stack(vectors.to_numpy()).astype(np.float64), shared.value
+            step = max(1, BLOCK_BYTES // (8 * len(centers)))
+            cells = [_block_distance(x[a : a + step], centers, "l2sq").argmin(axis=1) for a in range(0, len(x), step)]
+            return pd.Series(np.concatenate(cells))
 
         return df.withColumn("cell", _cell(self.vector))
 
