@@ -36,10 +36,8 @@ def rate(
         df = df.withWatermark(time, watermark)
     window = F.window(time, width, slide) if slide else F.window(time, width)
     counts = df.groupBy(window.alias("w"), *by).agg(F.count("*").alias("n"))
-    seconds = (
-        F.col("w.end").cast("timestamp").cast("double")
-        - F.col("w.start").cast("timestamp").cast("double")
-    )
+    # The width itself: the ends of a window, converted in a zone that changes its clocks, can lie further apart.
+    seconds = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL '{width}') / 1e6D")
     return counts.select(
         F.col("w.start").alias("window_start"), *by, "n", (F.col("n") / seconds).alias("rate")
     )

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from annalist.functions.text import strip
 
-# Lists given by the caller are joined as a broadcast up to this many keys.
-SMALL_KEYS = 100_000
-
 
 def clean_keys(text: Column) -> Column:
     """Keys of a comma list: whitespace, then ``"``, then ``'`` are cut off the ends."""
@@ -27,17 +24,8 @@ def literal_keys(spark: SparkSession, keys: str | list[str]) -> DataFrame:
     return keys_of(spark.createDataFrame([(t,) for t in texts], "t string"), "t").distinct()
 
 
-def fetch(keys: DataFrame, table: DataFrame, key: str, small: bool = False) -> DataFrame:
-    """Every requested key with its record, nulls where it is unknown.
-
-    ``small`` says that the keys were typed by a caller (see ``SMALL_KEYS``):
-    they are broadcast to cut the table down before the left join, so the table
-    is scanned but not shuffled.
-    """
-    if small:
-        if keys.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
-            only = F.broadcast(keys.select(F.col("key").alias(key)).distinct())
-            table = table.join(only, key, "left_semi")
+def fetch(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Every requested key with its record, nulls where it is unknown."""
     renamed = table.withColumnRenamed(key, "_key")
     return keys.join(renamed, F.col("key") == F.col("_key"), "left").drop("_key")
 

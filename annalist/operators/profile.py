@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+#: Of so many equal parts of the hash range, the first pass looks at one.
+PARTS = 4096
+
 
 def enumerated_columns(
     df: DataFrame, threshold: int = 200, max_length: int = 100, omit: list[str] = []
@@ -15,10 +18,10 @@ def enumerated_columns(
     and it has fewer than ``threshold`` distinct values, null counting as one.
     All-null columns do not qualify.
 
-    Pass 1 is one map-side aggregate over the text columns; its sketch rules
-    out columns far above the threshold (four times, which at five percent
-    error is beyond doubt). Pass 2 counts the rest exactly; what it shuffles is
-    a few hundred values per column.
+    Pass 1 looks at the values whose hash falls into one of ``PARTS`` equal
+    parts: a column that has ``threshold`` different ones there certainly has
+    too many. Pass 2 counts the rest exactly, so both passes shuffle a bounded
+    number of values per column and task.
     """
     names = [
         f.name for f in df.schema if isinstance(f.dataType, StringType) and f.name not in omit
@@ -26,30 +29,27 @@ def enumerated_columns(
     empty = df.sparkSession.createDataFrame([], "column string, value string")
     if not names:
         return empty
-    facts = df.agg(
-        *[F.avg(F.octet_length(c)).alias(f"len_{c}") for c in names],
-        *[F.approx_count_distinct(c).alias(f"n_{c}") for c in names],
-    ).first()
-    likely = [
-        c
-        for c in names
-        if facts[f"len_{c}"] is not None
-        and facts[f"len_{c}"] <= max_length
-        and facts[f"n_{c}"] < 4 * max(threshold, 25)
-    ]
+    facts = df.agg(*[F.avg(F.octet_length(c)).alias(f"len_{c}") for c in names]).first()
+    short = [c for c in names if facts[f"len_{c}"] is not None and facts[f"len_{c}"] <= max_length]
+    if not short:
+        return empty
+    part = _pairs(df, short).filter(F.pmod(F.xxhash64("value"), F.lit(PARTS)) == 0).distinct()
+    many = {r["column"] for r in part.groupBy("column").agg(F.count("*").alias("n")).filter(F.col("n") >= threshold).collect()}
+    likely = [c for c in short if c not in many]
     if not likely:
         return empty
-    pairs = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in likely])
-        ).alias("p")
-    )
-    values = pairs.select("p.*").distinct()
+    values = _pairs(df, likely).distinct()
     few = values.groupBy("column").agg(F.count("*").alias("n")).filter(F.col("n") < threshold)
     # At most one row per text column of the table.
     return values.join(F.broadcast(few), "column").select("column", "value")
 
 
+def _pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value) of some text columns."""
+    both = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names]
+    return df.select(F.explode(F.array(*both)).alias("p")).select("p.*")
+
+
 def enum_lists(df: DataFrame, **options) -> dict[str, list[str | None]]:
     """The same as a dict of lists; at most ``threshold`` values per column."""
     out: dict[str, list[str | None]] = {}

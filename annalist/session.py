@@ -53,11 +53,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` decides. Only when it is unset (a local test) a
-    fresh temporary folder is made, and the session is told about it.
+    ``spark.checkpoint.dir`` decides. Only where it is unset and driver and
+    executors are one process a fresh temporary folder is made, and the session
+    is told about it; a cluster without the setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="annalist-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)

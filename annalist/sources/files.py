@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from annalist.functions.records import coerce_columns
 from annalist.specs import EntitySpec
@@ -59,14 +59,28 @@ def read_typed(spark: SparkSession, uri: str, spec: EntitySpec, **options) -> Da
 
 
 def read_csv(spark: SparkSession, uri: str, schema: StructType | str, encoding: str = "UTF-8", skip_bad: bool = True) -> DataFrame:
-    """CSV with a header; malformed lines are skipped unless ``skip_bad`` is off."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("encoding", encoding)
-        .option("mode", "DROPMALFORMED" if skip_bad else "FAILFAST")
-        .csv(uri)
+    """CSV with a header; malformed lines are skipped unless ``skip_bad`` is off.
+
+    A line is malformed if it has another number of fields or a field that is not of its type. Which
+    lines are skipped does not depend on the columns that are used later: every line is parsed
+    whole, and the mark of a bad one is one of the filters.
+    """
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    reader = spark.read.option("header", True).option("encoding", encoding)
+    if not skip_bad:
+        return reader.schema(schema).option("mode", "FAILFAST").csv(uri)
+    bad = "_bad"
+    while bad in schema.names:
+        bad += "_"
+    marked = StructType([*schema.fields, StructField(bad, StringType())])
+    rows = (
+        reader.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+        .option("columnPruning", False).option("enforceSchema", True).csv(uri)
     )
+    # The filter needs every column, so none is pruned before the check.
+    whole = F.struct(*[F.col(f"`{c}`") for c in schema.names], F.col(bad))
+    return rows.filter(F.when(whole.isNotNull(), F.col(bad).isNull())).drop(bad)
 
 
 def write_extract(df: DataFrame, uri: str) -> None:

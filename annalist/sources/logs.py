@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# The labels a stream may carry; "instance" may be missing.
-STREAM_LABELS = [
-    "app", "container", "filename", "instance", "job", "namespace", "node_name", "pod", "stream",
-]
 RESPONSE_SCHEMA = (
     "result array<struct<stream: map<string,string>, values: array<array<string>>>>"
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import types
+import typing
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -38,9 +41,18 @@ def spark_type(kind: Any) -> T.DataType:
         return kind.schema
     if isinstance(kind, str):
         return T.StructType.fromDDL(f"x {kind}")[0].dataType
-    if kind.__class__.__name__ == "type" and kind.__name__ == "datetime":
-        return T.TimestampType()
-    return SPARK_TYPES[kind]
+    if kind in (datetime.datetime, datetime.date):
+        return T.TimestampType() if kind is datetime.datetime else T.DateType()
+    inner = [a for a in typing.get_args(kind) if a is not type(None)]
+    origin = typing.get_origin(kind)
+    if origin in (typing.Union, types.UnionType) and len(inner) == 1:
+        return spark_type(inner[0])
+    if kind not in SPARK_TYPES and origin is list and len(inner) == 1:
+        # Lists of numbers written List[float] mean the same as list[float].
+        return SPARK_TYPES.get(list[inner[0]]) or T.ArrayType(spark_type(inner[0]))
+    if kind not in SPARK_TYPES and origin is dict and len(inner) == 2:
+        return T.MapType(spark_type(inner[0]), spark_type(inner[1]))
+    return SPARK_TYPES[list if kind is typing.List else dict if kind is typing.Dict else kind]
 
 
 @dataclass(frozen=True)
