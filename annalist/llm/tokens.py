@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from annalist.llm.common import bounded_batches, stage
+from annalist.llm.common import bounded_batches, byte_columns, stage
 
 #: Byte lengths of the four ids that a control byte stands for.
 LENGTHS = np.array([[1 + (c >> 2 * n & 3) for n in range(4)] for c in range(256)], dtype=np.uint8)
@@ -55,10 +54,10 @@ def frequency_order(encoded: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                one = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total)) if ids.is_valid else total[:0]
-                one[: len(total)] += total[: len(one)]
-                total = one if len(one) else total
+            raw, _ = byte_columns(batch.column("ids"))
+            one = np.bincount(np.frombuffer(raw.tobytes(), "<u4"), minlength=len(total))
+            one[: len(total)] += total
+            total = one
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
@@ -85,31 +84,28 @@ def write_tokens(encoded: DataFrame, folder: str, end_id: int | None = None) ->
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, file = 0, TaskContext.get().partitionId()
         for batch in batches:
             ids = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
             coded = [pack_ranks(rank_of[x]) for x in ids]
+            n = np.array([len(x) for x in ids], dtype=np.int64)
+            ends = before + np.cumsum(n)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id"), "n_tokens": pa.array(map(len, ids), pa.int64()),
+                    "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n),
                     "control": pa.array([c for c, _ in coded], pa.binary()), "data": pa.array([d for _, d in coded], pa.binary()),
+                    "file": pa.array(np.full(len(n), file, np.int32)), "place": pa.array(ends - n),
                 }
             )
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, file = 0, TaskContext.get().partitionId()
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            ends = before + np.cumsum(n)
-            yield batch.append_column("file", pa.array(np.full(len(n), file, np.int32))).append_column("place", pa.array(ends - n, pa.int64()))
             before = int(ends[-1]) if len(n) else before
 
     id_type = dict(encoded.dtypes)["doc_id"]
-    coded = staged.mapInArrow(code, f"doc_id {id_type}, n_tokens bigint, control binary, data binary")
-    coded = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    placed = StructType([*coded.schema.fields, StructField("file", IntegerType()), StructField("place", LongType())])
+    # Coded after the sort, since the sort by ranges reads its input twice.
+    ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    coded = ordered.mapInArrow(code, f"doc_id {id_type}, n_tokens bigint, control binary, data binary, file int, place bigint")
     spark = encoded.sparkSession
-    coded.mapInArrow(place, placed).write.option("compression", "none").parquet(f"{folder}/documents")
-    files = spark.read.schema(placed).parquet(f"{folder}/documents").groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"))
+    coded.write.option("compression", "none").parquet(f"{folder}/documents")
+    files = spark.read.schema(coded.schema).parquet(f"{folder}/documents").groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"))
     # One row per file, so a single window over them stays small.
     start = F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     files.select("file", "n_tokens", F.coalesce(start, F.lit(0)).alias("start")).write.parquet(f"{folder}/files")
