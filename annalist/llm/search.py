@@ -108,7 +108,7 @@ class Opened:
         self.runs = -(-len(self.ids) // RUN)
         self.bounds = np.zeros((len(sizes), self.runs), dtype=np.float32)
         term = np.repeat(np.arange(len(sizes)), sizes)
-        cell = term * self.runs + self.doc // RUN
+        self.cell = cell = term * self.runs + self.doc // RUN
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         if len(first):
             # Rounded up, so that a bound is never too low.
@@ -140,28 +140,23 @@ class Opened:
         return ids, scores
 
     def open(self, own: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of the runs that hold a term, with their scores."""
-        begin, end = self.begin[own], self.end[own]
-        if 3 * len(runs) < self.runs:
-            # Only the postings inside the runs.
-            parts = []
-            for run in np.sort(runs):
-                for a, b in zip(begin, end):
-                    x, y = a + np.searchsorted(self.doc[a:b], [run * RUN, (run + 1) * RUN])
-                    if y > x:
-                        parts.append((x, y))
-            parts.sort()
+        """Documents of the runs that hold a term, with their scores, added up in the order of ``own``."""
+        few = 3 * len(runs) < self.runs
+        if few:
+            # Only the postings inside the runs: those of a term and run stand together.
+            cells = (own[:, None] * self.runs + runs).ravel()
+            begin, end = np.searchsorted(self.cell, cells), np.searchsorted(self.cell, cells, side="right")
         else:
-            parts = list(zip(begin, end))
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        doc = np.concatenate([self.doc[x:y] for x, y in parts])
-        score = np.concatenate([self.score[x:y] for x, y in parts])
-        total = np.bincount(doc, score, len(self.ids))
-        inside = np.zeros(self.runs, dtype=bool)
-        inside[runs] = True
-        hit = np.unique(doc)
-        hit = hit[inside[hit // RUN]]
+            begin, end = self.begin[own], self.end[own]
+        sizes = end - begin
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(begin - ends + sizes, sizes)
+        total = np.bincount(self.doc[at], self.score[at], len(self.ids))
+        hit = np.flatnonzero(total)  # every posting scores above zero
+        if not few:
+            inside = np.zeros(self.runs, dtype=bool)
+            inside[runs] = True
+            hit = hit[inside[hit // RUN]]
         return hit, total[hit]
 
 
