@@ -215,7 +215,7 @@ def covered(span: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarr
     new = np.ones(len(span), dtype=bool)
     new[1:] = (span[1:] != span[:-1]) | (offset[1:] != offset[:-1] + 1)
     first = np.nonzero(new)[0]
-    last = np.append(first[1:], len(span)) - 1
+    last = np.append(first, len(span))[1:] - 1
     return span[first], offset[first], offset[last] + length
 
 
