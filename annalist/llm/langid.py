@@ -152,7 +152,8 @@ def fit(labelled: DataFrame) -> Model:
             for lang, h, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text"))):
                 at, count = np.unique(features(text), return_counts=True)
                 if len(at):
-                    drawn.append((h, number[lang], at, count / count.sum() * idf[at]))
+                    # Narrow numbers: the whole sample is held at once.
+                    drawn.append((h, number[lang], at.astype(np.int32), (count / count.sum() * idf[at]).astype(np.float32)))
         drawn.sort(key=lambda r: (r[0], r[1]))
         w, bias, temperature = train([r[1:] for r in drawn], len(languages))
         at = np.flatnonzero(np.abs(w).sum(axis=1))

@@ -35,7 +35,7 @@ STEP = 10
 #: Windows of a span at most, and different spans of a key that one task settles at most.
 SPAN, HOT = 400, 8000
 #: Bytes hashed at once, symbols merged at once, and shards of a merge.
-CHUNK, MERGE, SHARDS = 1 << 21, 1 << 20, 4
+CHUNK, MERGE, SHARDS = 1 << 19, 1 << 20, 4
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
