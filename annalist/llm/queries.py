@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, ctw, langid, outliers, packing, pii, search, simhash, suffix, tokens
+from annalist.llm import bpe, ctw, langid, outliers, packing, pii, search, simhash, suffix, tokens, trie
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,13 +17,19 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
-def registered(query):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
-        return query(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def registered_on(table: str):
+    def register(query):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return query(spark, spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
-    QUERIES[query.__name__] = run
-    return query
+        QUERIES[query.__name__] = run
+        return query
+
+    return register
+
+
+registered = registered_on("documents")
 
 
 @registered
@@ -103,6 +109,50 @@ def op9_bm25_search(spark, docs):
     return search.search(docs, queries, k=10)
 
 
+@registered_on("conversations")
+def op11_prefix_trie(spark, turns):
+    """The prefix trie of conversations that share their first turns within families of five."""
+    shared = F.crc32(F.encode(F.col("conv_id").cast("string"), "utf-8")) % 9
+    return trie.prefix_trie(trie.branched(trie.numbered(turns), family=5, shared=shared, most=8))
+
+
+SQL["op11_prefix_trie"] = """
+WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(
+               strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT c, list({'role': role, 'text': text} ORDER BY pos) AS turns,
+           xor(list_reduce(
+               list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                        lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))
+           ), 4294967295::BIGINT) % 9 AS h
+    FROM turns GROUP BY c
+), rebuilt AS (
+    SELECT own.c, list_concat(coalesce(base.turns, [])[1:own.h], own.turns[own.h + 1:]) AS turns
+    FROM own LEFT JOIN own AS base ON base.c = own.c - own.c % 5
+), nodes AS (
+    SELECT d, turns[1:d] AS node, min(c) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(turns) = d), '')) AS ends_sha256
+    FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt) GROUP BY 1, 2
+), below AS (
+    SELECT unnest(range(0, d + 1)) AS up, node, d, (n_convs - 1) * strlen(coalesce(node[d].text, '')) AS saved,
+           NOT EXISTS (FROM nodes AS child WHERE child.d = nodes.d + 1 AND child.node[1:nodes.d] = nodes.node) AS leaf
+    FROM nodes
+), sums AS (
+    SELECT up AS d, node[1:up] AS node, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves,
+           count(*) FILTER (d = up + 1) AS n_children
+    FROM below GROUP BY 1, 2
+)
+SELECT nodes.conv_id, nodes.d AS depth, parent.conv_id AS parent_conv_id, nodes.n_convs, sums.n_children, sums.n_leaves,
+       sums.saved_tokens::BIGINT AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sums ON sums.d = nodes.d AND sums.node = nodes.node
+LEFT JOIN nodes AS parent ON parent.d = nodes.d - 1 AND parent.node = nodes.node[1:nodes.d - 1]
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     from corpus_pipeline import run
