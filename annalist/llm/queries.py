@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, ctw, langid, outliers, packing, pii, search, simhash, suffix, tokens, trie
+from annalist.llm import bpe, ctw, langid, outliers, packing, pii, search, simhash, suffix, tokens, trie, whitening
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,13 @@ LEFT JOIN nodes AS parent ON parent.d = nodes.d - 1 AND parent.node = nodes.node
 """
 
 
+@registered_on("embeddings")
+def op13_whitening(spark, vectors):
+    """All embeddings, whitened on their 32 largest components."""
+    rows = whitening.quantised(vectors, "embedding", scale=64, offset=1_000_000)
+    return whitening.whiten(rows, whitening.fit(rows, most=32))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     from corpus_pipeline import run
