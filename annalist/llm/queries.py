@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, ctw, langid, outliers, packing, pii, search, simhash, suffix, tokens, trie, whitening
+from annalist.llm import bpe, ctw, langid, outliers, packing, pii, search, secret_scan, simhash, suffix, tokens, trie, whitening
 from annalist.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,16 @@ LEFT JOIN nodes AS parent ON parent.d = nodes.d - 1 AND parent.node = nodes.node
 """
 
 
+@registered
+def op12_secret_scan(spark, docs):
+    """All spans of secrets in all documents."""
+    found = secret_scan.find(docs, secret_scan.fit(docs))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @registered_on("embeddings")
 def op13_whitening(spark, vectors):
     """All embeddings, whitened on their 32 largest components."""
