@@ -68,24 +68,24 @@ def secular_roots(d: np.ndarray, z2: np.ndarray) -> tuple[np.ndarray, np.ndarray
         gap = delta - r[:, None]
         terms = z2 / gap
         f = 1 + terms.sum(axis=1)
-        if (np.abs(f) <= 4 * EPS * k * (1 + np.abs(terms).sum(axis=1))).all():
+        slopes = terms / gap
+        slope = slopes.sum(axis=1)
+        # Roots stay once they are as near as the rounding of the terms and of the root itself allows.
+        open_ = np.abs(f) > 4 * EPS * (k * (1 + np.abs(terms).sum(axis=1)) + np.abs(r) * slope)
+        if not open_.any():
             break
         low, high = np.where(f < 0, r, low), np.where(f < 0, high, r)
-        slopes = terms / gap
         before = np.where(up_to, slopes, 0.0).sum(axis=1)
-        after = slopes.sum(axis=1) - before
+        after = slope - before
         g1, g2 = gap[rows, rows], far - r
-        a, b = (g1 + g2) * f - g1 * g2 * (before + after), g1 * g2 * f
+        a, b = (g1 + g2) * f - g1 * g2 * slope, g1 * g2 * f
         c = f - g1 * before - g2 * after
         with np.errstate(all="ignore"):
             root = np.sqrt(np.maximum(a * a - 4 * b * c, 0))
             step = np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
         new = r + step
         inside = (new > low) & (new < high)
-        new = np.where(inside, new, (low + high) / 2)
-        if (new == r).all():
-            break
-        r = new
+        r = np.where(open_, np.where(inside, new, (low + high) / 2), r)
     return origin + r, delta - r[:, None]
 
 
