@@ -159,7 +159,8 @@ def op12_secret_scan(spark, docs):
     found = secret_scan.find(docs, secret_scan.fit(docs))
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    count_of = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("bigint")
+    counts = [count_of(k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
