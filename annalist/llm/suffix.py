@@ -4,8 +4,8 @@ A byte is removed if a string of ``length`` bytes that covers it also starts
 earlier (a smaller document, or the same one further left). Windows of that
 length are brought together by content: each belongs to the smallest hash of its
 ``GRAM``-byte parts, so equal windows have equal keys wherever they stand.
-Consecutive windows with one key are a span. Spans that are equal as a whole are
-settled by their first place. The different spans of a key go to one task, many
+Consecutive windows with one key are a span. Of spans whose key occurs again, those that are equal as a whole (by
+a 128-bit BLAKE2 digest of their bytes) are settled by their first place. The different spans of a key go to one task, many
 keys at a time. There they are cut into shards, each shard's suffixes are sorted
 to the depth needed, and the transforms of the shards are merged: only the
 interleave of the shards is kept and refined, by a stable pass over the symbols
@@ -16,12 +16,14 @@ compared with one of another shard.
 
 The transforms use symbols of ``STEP`` bytes, so each pass refines by that much.
 A key with more than ``HOT`` different spans (a common line with changing
-surroundings) is settled by grouping its windows by content instead.
+surroundings) is settled by grouping its windows by digest instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,15 @@ STEP = 10
 SPAN, HOT = 400, 8000
 #: Bytes hashed at once, symbols merged at once, and shards of a merge.
 CHUNK, MERGE, SHARDS = 1 << 19, 1 << 20, 4
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
+
+
+def digest(part: bytes) -> bytes:
+    return blake2b(part, digest_size=16).digest()
 
 
 class Powers:
-    """Prefix hashes of byte arrays, modulo 2^64."""
+    """Prefix hashes of byte arrays, modulo 2^64. They only choose keys: windows with one key need not be equal."""
 
     def __init__(self, base: int):
         self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
@@ -79,11 +85,11 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray, length: int, one: Powers, two: Powers):
-    """(document, start, windows, key, content hash, repeats inside) of all spans of some documents, one after another."""
+def spans(raw: np.ndarray, offsets: np.ndarray, length: int, one: Powers):
+    """(document, start, windows, key, repeats inside) of all spans of some documents, one after another."""
     width = length - GRAM + 1
     if len(raw) < length:
-        return [np.zeros(0, dtype=np.int64)] * 6
+        return [np.zeros(0, dtype=np.int64)] * 5
     sums, at = one.prefix(raw), np.arange(len(raw) - GRAM + 1)
     grams = one.between(sums, at, at + GRAM)
     key = sliding(grams, width, np.minimum)  # by window start
@@ -104,9 +110,8 @@ def spans(raw: np.ndarray, offsets: np.ndarray, length: int, one: Powers, two: P
     start = np.nonzero((run % SPAN == 0) & inside)[0]
     # A span ends before the next one, and before windows that would leave the document.
     end = np.minimum(np.append(start[1:], len(key)), offsets[document[start] + 1] - length + 1)
-    content = two.between(two.prefix(raw), start, end + length - 1)
     again = np.isin(key[start], np.unique(np.concatenate(twice))) if twice else np.zeros(len(start), bool)
-    return document[start], start - offsets[document[start]], end - start, key[start], content, again
+    return document[start], start - offsets[document[start]], end - start, key[start], again
 
 
 def ranks_of(keys: np.ndarray) -> np.ndarray:
@@ -219,6 +224,24 @@ def covered(span: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarr
     return span[first], offset[first], offset[last] + length
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Byte ranges of runs of windows that come sorted by ``ord`` and ``start``; a run may go on in the next batch."""
+    names = ("ord", "start", "end")
+    last: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        doc, start = (batch.column(c).to_numpy() for c in ("ord", "start"))
+        doc, start, end = (np.concatenate([a, b]) for a, b in zip(last, (doc, start, start + length)))
+        if not len(doc):
+            continue
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])]
+        first = np.flatnonzero(new)
+        found = [doc[first], start[first], np.maximum.reduceat(end, first)]
+        yield pa.RecordBatch.from_pydict({n: pa.array(v[:-1]) for n, v in zip(names, found)})
+        last = [v[-1:] for v in found]
+    if len(last[0]):
+        yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in zip(names, last)})
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``ord`` (unique, in the order of ``doc_id``), ``doc_id`` and ``text`` of each row."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -235,24 +258,35 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
         raise ValueError(f"the length must be a multiple of {STEP} and above {GRAM}")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Powers(BASES[0]), Powers(BASES[1])
+        one = Powers(BASE)
         for batch in batches:
             raw, offsets = byte_columns(batch.column("text"))
             ids = batch.column("ord").to_numpy()
             for a, b in slices(offsets, CHUNK):
-                doc, start, n, key, content, again = spans(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, one, two)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": pa.array(key.view(np.int64)), "content": pa.array(content.view(np.int64)), "ord": pa.array(ids[a + doc]),
-                        # Start, windows and whether it can repeat itself, in one number.
-                        "place": pa.array(start * 1024 + n * 2 + again),
-                    }
-                )
-
-    found = rows.select("ord", "text").mapInArrow(find, "key bigint, content bigint, ord bigint, place bigint")
+                doc, start, n, key, again = spans(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, one)
+                # Start, windows and whether it can repeat itself, in one number.
+                places = pa.array(start * 1024 + n * 2 + again)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "ord": pa.array(ids[a + doc]), "place": places})
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ord_, text, wanted in zip(*(batch.column(c) for c in ("ord", "text", "spans"))):
+                text, wanted = text.as_py(), wanted.values
+                place = wanted.field("place").to_numpy()
+                start = place // 1024
+                parts = zip(start.tolist(), (start + place // 2 % 512 + length - 1).tolist())
+                yield pa.RecordBatch.from_pydict({
+                    "key": wanted.field("key"), "content": pa.array([digest(text[a:b]) for a, b in parts], pa.binary()),
+                    "ord": pa.array(np.full(len(place), ord_.as_py())), "place": pa.array(place),
+                })
+
+    # Narrow, and computed once: all spans are read twice, for the keys that occur again and for their spans.
+    found = stage(rows.select("ord", "text").mapInArrow(find, "key bigint, ord bigint, place bigint"), "all-spans")
     own = F.max(F.col("place") % 2)
     keys = found.groupBy("key").agg(F.count("*").alias("n"), own.alias("again")).filter("n > 1 OR again = 1").select("key")
-    shared = stage(found.join(keys, "key"), "spans")
+    lists = found.join(keys, "key").groupBy("ord").agg(F.collect_list(F.struct("key", "place")).alias("spans"))
+    bodies = rows.select("ord", F.col("text").cast("binary").alias("text"))
+    shared = stage(bodies.join(lists, "ord").mapInArrow(contents, "key bigint, content binary, ord bigint, place bigint"), "spans")
     first = shared.groupBy("key", "content").agg(F.min(F.struct("ord", "place")).alias("first"))
     first = stage(first.select("key", "content", F.col("first.ord").alias("ord"), F.col("first.place").alias("place")), "first-spans")
     start, windows = F.floor(F.col("place") / 1024), F.floor(F.col("place") / 2) % 512
@@ -275,8 +309,7 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
                 {k: pa.array(v, pa.binary() if k == "text" else pa.int64()) for k, v in out.items()}
             )
 
-    texts = rows.select("ord", F.col("text").cast("binary").alias("text")).join(open_spans, "ord")
-    texts = stage(texts.mapInArrow(extract, "key bigint, n bigint, ord bigint, start bigint, text binary"), "span-texts")
+    texts = stage(bodies.join(open_spans, "ord").mapInArrow(extract, "key bigint, n bigint, ord bigint, start bigint, text binary"), "span-texts")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -317,18 +350,16 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
     merged = grouped.mapInArrow(merge, ranges)
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Powers(BASES[0]), Powers(BASES[1])
         for batch in batches:
             for ord_, start, text in zip(*(batch.column(c).to_pylist() for c in ("ord", "start", "text"))):
-                raw = np.frombuffer(text, np.uint8)
-                at = np.arange(len(raw) - length + 1)
-                a, b = (p.between(p.prefix(raw), at, at + length).view(np.int64) for p in (one, two))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "ord": pa.array(np.full(len(at), ord_)), "start": pa.array(start + at)})
-
-    hot = texts.filter(F.col("n") > HOT).mapInArrow(windows_of, "a bigint, b bigint, ord bigint, start bigint")
-    firsts = hot.groupBy("a", "b").agg(F.min(F.struct("ord", "start")).alias("first"))
-    common = hot.join(firsts, ["a", "b"]).filter(F.struct("ord", "start") != F.col("first"))
-    common = common.select("ord", "start", (F.col("start") + length).alias("end"))
+                at = np.arange(len(text) - length + 1)
+                same = pa.array([digest(text[k : k + length]) for k in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_pydict({"content": same, "ord": pa.array(np.full(len(at), ord_)), "start": pa.array(start + at)})
+
+    hot = texts.filter(F.col("n") > HOT).mapInArrow(windows_of, "content binary, ord bigint, start bigint")
+    firsts = hot.groupBy("content").agg(F.min(F.struct("ord", "start")).alias("first"))
+    common = hot.join(firsts, "content").filter(F.struct("ord", "start") != F.col("first")).select("ord", "start")
+    common = common.repartition("ord").sortWithinPartitions("ord", "start").mapInArrow(partial(runs_of, length=length), ranges)
     return copies.unionByName(merged).unionByName(common)
 
 

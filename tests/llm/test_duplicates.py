@@ -44,7 +44,8 @@ def test_repeats(spark, monkeypatch, hot):
 
 
 def test_repeats_odd_rows(spark):
-    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(400))
     df = spark.createDataFrame([(1, text), (1, text), (None, text[:200]), (0, None)], "doc_id long, text string")
     got = suffix.remove_repeats(df).collect()
     # The row without an id comes first, then both equal rows in turn.
@@ -54,6 +55,32 @@ def test_repeats_odd_rows(spark):
     assert sorted((str(r.doc_id), r.ord, r.n_chars) for r in kept) == [("0", "k", None), ("1", "k", 0), ("1", "k", 200), ("None", "k", 200)]
 
 
+# Texts of 102 bytes that share their last 53 only, yet hash alike under any polynomial modulo 2^64.
+ALIKE = (
+    r"""2i-A0`Z]e;-_$RhnQ!ZCtl'I$#Zt2"ixSWO$z=]`g>Y>y=[F$zssnbloagjwwuard jqxkyrusrjqnr qntusjojeqoseryfiuanxv""",
+    r"""3i)A2`f]Q;1_:R<nv!rC(l_I$#"t~"Qx.W{$d=Y`{>M>w=_F#zssnbloagjwwuard jqxkyrusrjqnr qntusjojeqoseryfiuanxv""",
+)
+
+
+@pytest.mark.parametrize("hot", [8000, 0])
+def test_repeats_look_at_the_bytes(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rows = [(1, ALIKE[0]), (2, ALIKE[1]), (3, ALIKE[0] + ALIKE[1])]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == removed(rows)
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 204}
+
+
+def test_runs_of_windows():
+    import pyarrow as pa
+
+    windows = [(1, 5), (1, 6), (1, 100), (2, 101), (2, 102), (2, 112), (2, 113), (3, 0)]
+    for cut in range(len(windows) + 1):
+        parts = [pa.RecordBatch.from_pydict({"ord": pa.array([o for o, _ in w], pa.int64()), "start": pa.array([s for _, s in w], pa.int64())}) for w in (windows[:cut], windows[cut:])]
+        got = [tuple(r.values()) for b in suffix.runs_of(iter(parts), 10) for r in b.to_pylist()]
+        assert got == [(1, 5, 16), (1, 100, 110), (2, 101, 123), (3, 0, 10)]
+
+
 def fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
