@@ -118,13 +118,33 @@ def test_languages(spark, sf):
     assert all(0 < r.score <= 1 for r in found)
 
 
+def test_features_do_not_depend_on_parts(monkeypatch):
+    text = "Ab-c déf  \u0301x 12 ß.y! İz"
+    whole = np.sort(np.concatenate(list(langid.features(text))))
+    spaced = " " + re.sub(r"[^\w\u0300-\u0307]+|[0-9]+", " ", text.lower()) + " "
+    assert len(whole) == sum(len(re.sub(" +", " ", spaced)) - n + 1 for n in langid.ORDERS)
+    for part in (1, 2, 3, 5, 7):
+        monkeypatch.setattr(langid, "PART", part)
+        assert (np.sort(np.concatenate(list(langid.features(text)))) == whole).all()
+    assert not list(langid.features("12 \u0301")) and not list(langid.features(""))
+
+
+def test_many_languages_and_long_texts(spark):
+    rows = [(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k % 7)} " * 9 + "common words", f"l{k:03d}") for k in range(450) for _ in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 450
+    two = langid.fit(spark.createDataFrame([("un deux trois " * 20, "fr"), ("one two three " * 20, "en")] * 3, "text string, lang string"))
+    long = spark.createDataFrame([(1, "deux un " * 200_000), (1, "deux un " * 200_000)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(long, two).collect()] == ["fr", "fr"]
+
+
 def test_languages_odd_rows(spark):
-    rows = spark.createDataFrame([(1, None), (2, "123 !?"), (3, ""), (3, "hello there")], "doc_id long, text string").selectExpr("*", "9 AS score", "'q' AS found")
+    rows = spark.createDataFrame([(1, None), (2, "123 !? \u0301\u0300"), (3, ""), (3, "hello there")], "doc_id long, text string").selectExpr("*", "9 AS score", "'q' AS found")
     nothing = langid.fit(spark.createDataFrame([], "text string, lang string"))
     got = langid.predict(rows, nothing)
     assert {(r.lang_pred, r.score) for r in got.collect()} == {("und", 0.0)} and "found" in got.columns
     one = langid.fit(spark.createDataFrame([("hello there", "en"), (None, "fr"), ("hallo", None)], "text string, lang string"))
-    assert {r.doc_id: r.lang_pred for r in langid.known(rows, one, 0.0).collect()} == {3: "en"}
+    assert [(r.doc_id, r.text) for r in langid.known(rows, one, 0.0).collect()] == [(3, "hello there")]
     assert langid.known(rows, one, 0.0).columns == rows.columns
 
 
