@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -59,17 +60,22 @@ def ingest_routes(spark, sf_dir):
     )
 
 
-@registered("stream_ingest", LAST_EVENT_SQL)
-def stream_ingest(spark, sf_dir):
-    """Events as label-stream responses in several files, ingested by a stream, keyed by user."""
+def event_stream(spark, sf_dir) -> tuple[EntitySpec, str]:
+    """Events as label-stream responses in several files, and their type, keyed by user."""
     by_user = tuple(replace(f, key=f.name == "user_id") for f in EVENT.fields)
     spec = EntitySpec("LastEvent", by_user, "web")
     lines = log_records(event_rows(spark, sf_dir), spec, event_start(), ["event_id", "ts"])
     labels = F.create_map(F.lit("app"), F.lit("web"), F.lit("pod"), F.lit("collector"))
     ns = nanoseconds("ts") + F.col("event_id") % 1000
     folder = scratch_path(spark, "responses")
-    responses = to_responses(lines.withColumn("ns", ns), labels, F.col("ns"), F.col("value"))
-    responses.write.text(folder)
+    to_responses(lines.withColumn("ns", ns), labels, F.col("ns"), F.col("value")).write.text(folder)
+    return spec, folder
+
+
+@registered("stream_ingest", LAST_EVENT_SQL)
+def stream_ingest(spark, sf_dir):
+    """Events ingested by a stream, its last entry by a call at the end."""
+    spec, folder = event_stream(spark, sf_dir)
     ingest = Ingest(spark, scratch_path(spark, "ingest"), Registry([spec]), buckets=4)
     state = scratch_path(spark, "state")
     query = start_ingest(
@@ -78,3 +84,19 @@ def stream_ingest(spark, sf_dir):
     query.awaitTermination()
     finish_ingest(ingest, state)
     return ingest.table_of(spec).rows().select("user_id", "event_id", "event_type", "value")
+
+
+@registered("stream_timeout", LAST_EVENT_SQL)
+def stream_timeout(spark, sf_dir):
+    """Events ingested by a stream that lets out its last entry by itself, a minute after the last line by the clock of the ticks."""
+    spec, folder = event_stream(spark, sf_dir)
+    clock = scratch_path(spark, "ticks")
+    for minute in range(3):
+        spark.sql(f"SELECT timestamp '2024-01-01 00:0{minute}:00' AS tick").coalesce(1).write.json(f"{clock}/at={minute}")
+    ticks = spark.readStream.schema("tick timestamp").option("maxFilesPerTrigger", 1).json(f"{clock}/at=*")
+    ingest = Ingest(spark, scratch_path(spark, "ingest"), Registry([spec]), buckets=4)
+    start_ingest(
+        read_responses_stream(spark, folder), ingest, scratch_path(spark, "state"), scratch_path(spark, "checkpoint"),
+        quiet=timedelta(minutes=1), ticks=ticks,
+    ).awaitTermination()
+    return ingest.table_of(spec).rows().select("user_id", "event_id", "event_type", "value")

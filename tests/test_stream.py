@@ -1,4 +1,6 @@
+import json
 import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -99,3 +101,50 @@ def test_rate_in_a_stream(spark, folder):
     )
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, batch.collect()))
     assert batch.agg(F.sum("n")).first()[0] == len(rows)
+
+
+def ticks_of(spark, folder, seconds):
+    """A clock that is set by hand: one file, and so one batch, per time."""
+    for i, second in enumerate(seconds):
+        (folder / f"{i:03d}.json").write_text(json.dumps({"tick": f"2024-01-01T00:{second // 60:02d}:{second % 60:02d}Z"}))
+    return spark.readStream.schema("tick timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def test_quiet_streams_time_out(spark, tmp_path):
+    rows = [(pod, k, f"2024-01-01 00:00:{k:02d}.000 | EVENT    | app:save:{k} - ***{pod}{k}***") for k, pod in enumerate(["a", "b", "a", "b"])]
+    later = [("b", 8, "  goes on"), ("b", 9, "2024-01-01 00:00:09.000 | EVENT    | app:save:9 - ***b9***")]
+    ingest = Ingest(spark, f"{tmp_path}/root", Registry([SPEC]), buckets=2)
+    (tmp_path / "ticks").mkdir()
+
+    def go(seconds):
+        ticks = ticks_of(spark, tmp_path / "ticks", seconds)
+        lines = read_responses_stream(spark, f"{tmp_path}/part=*", files_per_batch=1)
+        start_ingest(lines, ingest, f"{tmp_path}/state", f"{tmp_path}/checkpoint", quiet=timedelta(seconds=30), ticks=ticks).awaitTermination()
+        return sorted(map(tuple, ingest.text_table().rows().select("name", "text").collect()))
+
+    responses(spark, rows).coalesce(1).write.text(f"{tmp_path}/part=000")
+    # At first the last entry of both streams is open; nothing comes for 29 seconds.
+    assert [n for n, _ in go([0, 29])] == ["a0", "b1"]
+    responses(spark, later[:1]).coalesce(1).write.text(f"{tmp_path}/part=001")
+    # At 40 a line came for b, so only a is over; at 69 b is not, at 70 it is, with that line.
+    assert [n for n, _ in go([0, 29, 40])] == ["a0", "a2", "b1"]
+    assert [n for n, _ in go([0, 29, 40, 69])] == ["a0", "a2", "b1"]
+    out = go([0, 29, 40, 69, 70, 200, 300])
+    assert [n for n, _ in out] == ["a0", "a2", "b1", "b3"] and out[-1][1].endswith("goes on")
+    responses(spark, later[1:]).coalesce(1).write.text(f"{tmp_path}/part=002")
+    assert [n for n, _ in go([0, 29, 40, 69, 70, 200, 300, 301, 331])] == ["a0", "a2", "b1", "b3", "b9"]
+    state = EntryAssembler(spark, f"{tmp_path}/state", "ingest")
+    assert state.flush().count() == 0
+    assert ingest.text_table().rows().count() == 5
+
+
+def test_repeated_batch_times_out_alike(spark, folder):
+    assembler = EntryAssembler(spark, f"{folder}/open", quiet=timedelta(seconds=10))
+    schema, at = "stream string, ns long, position int, msg string", datetime(2024, 1, 1)
+    lines = spark.createDataFrame([("s", 1, 0, "2024-01-01 00:00:00.001 | EVENT    | p:f:1 - a")], schema)
+    none = lines.limit(0)
+    assert assembler.assemble(lines, 0).count() == 0  # no clock yet
+    assert assembler.assemble(none, 1, at).count() == 0
+    for _ in range(2):
+        assert [r.text for r in assembler.assemble(none, 2, at + timedelta(seconds=10)).collect()] == ["2024-01-01 00:00:00.001 | EVENT    | p:f:1 - a"]
+    assert assembler.assemble(none, 3, at + timedelta(seconds=99)).count() == 0
