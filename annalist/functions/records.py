@@ -110,9 +110,25 @@ def _coerced(value: Column, field: FieldSpec) -> Column:
     return F.trim(value).try_cast(kind)
 
 
-def _problem(record: Column, field: FieldSpec, typed: Column) -> Column:
+def _converted(value: Column, source: T.DataType, field: FieldSpec) -> Column:
+    """A column of a known type as the field's type; equal types pass through, so filters on them reach the file."""
+    kind = field.data_type
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    if source.simpleString() == kind.simpleString():
+        return value
+    if isinstance(source, T.BinaryType) and isinstance(kind, T.StringType):
+        return F.try_validate_utf8(value.cast("string"))
+    if isinstance(source, T.NumericType) and isinstance(kind, T.NumericType) or (
+        isinstance(source, (T.DateType, T.TimestampType)) and isinstance(kind, (T.DateType, T.TimestampType))
+    ):
+        return value.try_cast(kind)
+    if isinstance(source, T.BinaryType):
+        return _coerced(F.try_validate_utf8(value.cast("string")), field)
+    return _coerced(F.to_json(value) if isinstance(source, nested) else value.cast("string"), field)
+
+
+def _problem(value: Column, field: FieldSpec, typed: Column) -> Column:
     """Why this field is unusable, or null."""
-    value = record[field.name]
     missing = F.lit(f"missing {field.name}")
     bad = F.lit(f"bad {field.name}")
     checks = F.when(value.isNotNull() & typed.isNull(), bad)
@@ -134,15 +150,23 @@ def typed_records(df: DataFrame, record: str, spec: EntitySpec, keep: list[str]
     """
     rec = F.col(record)
     typed = {f.name: _coerced(rec[f.name], f) for f in spec.fields}
+    values = {f.name: rec[f.name] for f in spec.fields}
+    absent = {f.name: ~F.map_contains_key(rec, F.lit(f.name)) for f in spec.fields}
+    return _checked(df, spec, values, typed, absent, keep)
+
+
+def _checked(
+    df: DataFrame, spec: EntitySpec, values: dict[str, Column], typed: dict[str, Column], absent: dict[str, Column], keep: list[str],
+) -> DataFrame:
+    """The typed columns, defaults for absent fields, ``problems``, derived columns and cleaners."""
     problems = F.filter(
-        F.array(*[_problem(rec, f, typed[f.name]) for f in spec.fields]), lambda p: p.isNotNull()
+        F.array(*[_problem(values[f.name], f, typed[f.name]) for f in spec.fields]), lambda p: p.isNotNull()
     )
     columns = []
     for f in spec.fields:
         value = typed[f.name]
-        if f.default is not None:
-            absent = ~F.map_contains_key(rec, F.lit(f.name))
-            value = F.when(absent, F.lit(f.default).cast(f.data_type)).otherwise(value)
+        if f.default is not None and f.name in absent:
+            value = F.when(absent[f.name], F.lit(f.default).cast(f.data_type)).otherwise(value)
         columns.append(value.alias(f.name))
     out = df.select(*keep, *columns, problems.alias("problems"))
     return apply_cleaners(out, spec)
@@ -158,21 +182,16 @@ def apply_cleaners(df: DataFrame, spec: EntitySpec) -> DataFrame:
 
 
 def coerce_columns(df: DataFrame, spec: EntitySpec) -> DataFrame:
-    """Read rows of an existing table as the type: cast columns, report what fails."""
-    record = F.create_map(
-        *[
-            part
-            for f in spec.fields
-            if f.name in df.columns
-            for part in (
-                F.lit(f.name),
-                F.to_json(f.name)
-                if isinstance(df.schema[f.name].dataType, (T.ArrayType, T.MapType, T.StructType))
-                else F.col(f.name).cast("string"),
-            )
-        ]
-    )
-    return typed_records(df.select(record.alias("_record")), "_record", spec)
+    """Read rows of an existing table as the type: convert columns by their types, report what fails.
+
+    A column that has the field's type already is passed through as it is: bytes keep their values, and filters on it reach the file. A column that
+    is missing is an absent field.
+    """
+    there = {f.name: F.col(f"`{f.name}`") for f in spec.fields if f.name in df.columns}
+    values = {f.name: there.get(f.name, F.lit(None).cast(f.data_type)) for f in spec.fields}
+    typed = {f.name: _converted(there[f.name], df.schema[f.name].dataType, f) if f.name in there else values[f.name] for f in spec.fields}
+    absent = {f.name: F.lit(True) for f in spec.fields if f.name not in there}
+    return _checked(df, spec, values, typed, absent, [])
 
 
 def record_text(df: DataFrame, spec: EntitySpec) -> Column:

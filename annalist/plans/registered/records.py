@@ -11,7 +11,7 @@ from annalist.operators.entries import log_stream, parse_entries, preamble, reco
 from annalist.plans.registered import registered, table
 from annalist.plans.registered.logs import EVENT, event_lines
 from annalist.session import scratch_path
-from annalist.sources.files import append_dated, list_files, query_from_root, read_csv, read_dataset, write_extract
+from annalist.sources.files import append_dated, list_files, query_from_root, read_csv, read_dataset, read_typed, write_extract
 from annalist.sources.tables import VersionedTable, union_all
 from annalist.specs import EntitySpec, FieldSpec, text_entry
 
@@ -266,6 +266,57 @@ def csv_bad_lines(spark, sf_dir):
     return read_csv(spark, path, "p_partkey bigint, p_name string, p_retailprice double", "ISO-8859-1")
 
 
+@registered(
+    "csv_bad_lines_counted",
+    """
+    SELECT 'rows' AS way, count(*) AS n FROM part WHERE p_size <= 40 AND p_size <> 7
+    UNION ALL SELECT 'count', count(*) FROM part WHERE p_size <= 40 AND p_size <> 7
+    UNION ALL SELECT 'names', count(DISTINCT p_name || '\n"é"') FROM part WHERE p_size <= 40 AND p_size <> 7
+    UNION ALL SELECT 'filtered', count(*) FROM part WHERE p_size <= 40 AND p_size <> 7 AND p_retailprice > 1000
+    """,
+)
+def csv_bad_lines_counted(spark, sf_dir):
+    """CSV with lines of too few fields, of too many, of a wrong type, and quoted line feeds, counted and projected in several ways."""
+    part = table(spark, sf_dir, "part").filter("p_name IS NOT NULL")
+    quoted = F.concat(F.lit('"'), F.replace(F.concat("p_name", F.lit('\n"é"')), F.lit('"'), F.lit('""')), F.lit('"'))
+    price = F.col("p_retailprice").cast("string")
+    line = F.when(F.col("p_size") == 7, F.concat_ws(",", F.lit("n/a"), quoted, price))
+    line = line.when(F.col("p_size") > 45, F.concat_ws(",", F.col("p_partkey").cast("string"), quoted))
+    line = line.when(F.col("p_size") > 40, F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, price, F.lit("more")))
+    line = line.otherwise(F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, price))
+    path = scratch_path(spark, "lines-csv")
+    # Several files, each with its header as its first record.
+    body = part.select(line.alias("value")).groupBy((F.xxhash64("value") % 4).alias("part")).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+    body.select("part", F.concat(F.lit("p_partkey,p_name,p_retailprice\n"), F.col("value"))).write.partitionBy("part").text(path)
+    rows = read_csv(spark, f"{path}/part=*", "p_partkey bigint, p_name string, p_retailprice double", multi_line=True)
+    ways = {
+        "rows": rows.select(F.count(F.struct("*"))), "count": rows.agg(F.count("*")), "names": rows.select("p_name").agg(F.count_distinct("p_name")),
+        "filtered": rows.filter("p_retailprice > 1000").agg(F.count("*")),
+    }
+    return union_all([df.toDF("n").select(F.lit(way).alias("way"), "n") for way, df in ways.items()])
+
+
+@registered(
+    "typed_file_values",
+    """
+    SELECT c_custkey, hex(encode(c_name)) AS raw, c_nationkey::DOUBLE AS nation, c_acctbal::BIGINT - CASE WHEN c_acctbal::BIGINT::DOUBLE > c_acctbal AND c_acctbal > 0
+           THEN 1 WHEN c_acctbal::BIGINT::DOUBLE < c_acctbal AND c_acctbal < 0 THEN -1 ELSE 0 END AS balance
+    FROM customer WHERE c_nationkey = 3
+    """,
+)
+def typed_file_values(spark, sf_dir):
+    """A stored file read as a type: keys and bytes pass through, numbers are converted, and a filter on the key reaches the file."""
+    path = scratch_path(spark, "typed") + ".parquet"
+    customer = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("c_custkey"), F.col("c_name").cast("binary").alias("raw"), F.col("c_nationkey").cast("bigint").alias("nation"),
+        F.col("c_acctbal").cast("double").alias("balance"),
+    )
+    customer.write.parquet(path)
+    spec = EntitySpec("Customer", (FieldSpec("c_custkey", int, key=True), FieldSpec("raw", bytes), FieldSpec("nation", float), FieldSpec("balance", int)))
+    rows = read_typed(spark, path, spec)
+    return rows.filter((F.size("problems") == 0) & (F.col("nation") == 3)).drop("problems").withColumn("raw", F.hex("raw"))
+
+
 @registered(
     "typed_file_rows",
     "SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part",

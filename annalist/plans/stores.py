@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from annalist.functions.records import apply_cleaners
@@ -22,17 +23,70 @@ from annalist.specs import EntitySpec
 ROW_CAP = 200  # Fixed value: rows an ad-hoc question returns at most.
 
 
+class NotAllowed(ValueError):
+    """The question reads something else than the store, or calls a function that is not for questions."""
+
+
+#: What a word may not be taken from: literals, quoted names, comments; then the words that are replaced.
+_WORDS = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|\bTABLE\b|\b(CURRENT_DATE)\b(?!\s*\()""", re.S)
+#: Groups of built-in functions that questions may not use: those that reach into the process or its files.
+CLOSED_GROUPS = {"misc_funcs", ""}
+CATALYST = "org.apache.spark.sql.catalyst"
+
+
 def clean_sql(text: str, view: str) -> str:
     """SQL as people and models write it: fences, a leading tag, TABLE for the store."""
     if "```" in text:
         text = re.sub(r"^\s*sql\b", "", text.split("```")[1], flags=re.I)
-    text = re.sub(r"\bTABLE\b", f"`{view}`", text.strip().rstrip(";"))
-    return re.sub(r"\bCURRENT_DATE\b(?!\s*\()", "CURRENT_DATE()", text)
+    replaced = lambda m: m[0] if m[1] else "CURRENT_DATE()" if m[2] else f"`{view}`"
+    return _WORDS.sub(replaced, text.strip().rstrip(";"))
+
+
+def _items(seq) -> list:
+    """Items of a Scala sequence."""
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def check_question(spark: SparkSession, sql: str, view: str) -> None:
+    """Raise unless the parsed plan reads only ``view`` and calls only built-in functions of open groups.
+
+    The plan is looked at before it is resolved, so nothing that it names is opened or called.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    registry = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    todo, names, reads, calls = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)], {view.lower()}, [], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            reads.append(_items(node.multipartIdentifier()))
+        elif kind == "UnresolvedFunction":
+            calls.append(_items(node.nameParts()))
+        elif kind == "UnresolvedGenerator":
+            calls.append([node.name().funcName()])
+        elif kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedInsertStatement"):
+            raise NotAllowed("table functions are not for questions")
+        elif kind == "UnresolvedWith":
+            names |= {c._1().lower() for c in _items(node.cteRelations())}
+        todo += _items(node.children())
+        if is_instance_of(gateway, node, f"{CATALYST}.plans.logical.LogicalPlan"):
+            todo += _items(node.expressions()) + _items(node.innerChildren())
+        elif is_instance_of(gateway, node, f"{CATALYST}.expressions.SubqueryExpression"):
+            todo.append(node.plan())
+    for read in reads:
+        if len(read) != 1 or read[0].lower() not in names:
+            raise NotAllowed(f"a question may only read {view}, not {'.'.join(read)}")
+    for call in calls:
+        found = registry.lookupFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(call[-1].lower()))
+        if len(call) != 1 or found.isEmpty() or found.get().getGroup() in CLOSED_GROUPS:
+            raise NotAllowed(f"{'.'.join(call)} is not for questions")
 
 
 def guarded_sql(spark: SparkSession, text: str, view: str, limit: int | None = ROW_CAP) -> DataFrame:
-    """Run one SELECT; anything that is not a query does not parse inside the parentheses."""
-    df = spark.sql(f"({clean_sql(text, view)}\n)")
+    """Run one SELECT over ``view``; anything that is not a query does not parse inside the parentheses."""
+    sql = f"({clean_sql(text, view)}\n)"
+    check_question(spark, sql, view)
+    df = spark.sql(sql)
     return df if limit is None else df.limit(limit)
 
 
