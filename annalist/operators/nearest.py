@@ -227,7 +227,8 @@ class ClusteredIndex:
     """Vectors stored by nearest centroid; a search reads only the closest cells.
 
     ``path`` holds ``centroids/`` and a versioned table partitioned by ``cell``.
-    A cell of any size is spread over many files, and searched by many tasks.
+    A cell of any size is spread over many files, and searched by many tasks. Beside its vector each row has a ``code``, its entries
+    rounded to 255 steps, an eighth of the bytes. Rows are added without training anew; a cell that has grown too large is split by itself.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_column: str = "id", vector: str = "vector"):
@@ -236,7 +237,10 @@ class ClusteredIndex:
         self.spark, self.path = spark, path.rstrip("/")
         self.id_column, self.vector = id_column, vector
         self.table = VersionedTable(spark, f"{self.path}/cells", (id_column,), partition_by=("cell",))
-        self._centroids: np.ndarray | None = None
+        self._known: tuple[str, np.ndarray, np.ndarray] | None = None
+
+    def exists(self) -> bool:
+        return self.table.exists()
 
     def build(self, df: DataFrame, cells: int | None = None, train_rows: int | None = None, seed: int = 7) -> "ClusteredIndex":
         """Train centroids and store every row that has a vector in the cell of its nearest one.
@@ -246,13 +250,8 @@ class ClusteredIndex:
         the rows in cells by default, as far as ``CENTROID_BYTES`` allows; a cell may be
         of any size. Rows without a vector of the common width, or with numbers that are not finite, are not stored.
         """
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        finite = F.forall(self.vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-        df = df.filter(F.col(self.vector).isNotNull() & finite)
-        n, width = df.agg(F.count("*"), F.mode(F.size(self.vector))).first()
-        df = df.filter(F.size(self.vector) == (width or 0))
+        n, width = df.filter(self._finite()).agg(F.count("*"), F.mode(F.size(self.vector))).first()
+        df = self._usable(df, width or 0)
         most = max(1, CENTROID_BYTES // (8 * max(1, width or 1)))
         cells = cells or max(1, min(int(math.sqrt(n)), most))
         if cells > most:
@@ -260,47 +259,119 @@ class ClusteredIndex:
         training = df.select(self.id_column, F.col(self.vector).cast("array<double>").alias("v"))
         if train_rows is not None and n > train_rows:
             training = training.filter(key_hash(self.id_column, seed=seed) < int(train_rows / n * 2**32))
-        model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(
-            training.select(array_to_vector("v").alias("features"))
-        )
-        centroids = np.array([list(map(float, c)) for c in model.clusterCenters()])
-        rows = [(i, c.tolist()) for i, c in enumerate(centroids)]
-        # Beside those of the version that readers still use; publishing the cells switches both.
+        # Codes go as far as the vectors of the build; entries beyond are cut, which only the first choice of a refined search sees.
+        reach = training.select(F.array_max(F.transform("v", F.abs)).alias("m")).agg(F.max("m")).first()[0] or 1.0
+        self._publish(self._trained(training, cells, seed), reach, lambda: self.table.overwrite(self.assign(df)))
+        return self
+
+    def _finite(self):
+        finite = F.forall(self.vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+        return F.col(self.vector).isNotNull() & finite
+
+    def _usable(self, df: DataFrame, width: int) -> DataFrame:
+        return df.filter(self._finite() & (F.size(self.vector) == width))
+
+    def _trained(self, training: DataFrame, cells: int, seed: int) -> np.ndarray:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(training.select(array_to_vector("v").alias("features")))
+        return np.array([list(map(float, c)) for c in model.clusterCenters()])
+
+    def _publish(self, centroids: np.ndarray, reach: float, commit: Callable[[], None]) -> None:
+        """Write centroids beside those that readers still use, then the cells; the version of the cells that names the folder switches both."""
+        rows = [(i, c.tolist(), reach) for i, c in enumerate(centroids)]
         version = (self.table.versions() or [0])[-1] + 1
-        self.spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode(
+        self.spark.createDataFrame(rows, "cell int, centroid array<double>, reach double").coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{self.path}/centroids/version={version}")
-        self._centroids = centroids
-        self.table.overwrite(self.assign(df))
-        return self
+        self._known = (version, centroids, np.float64(reach))
+        commit()
+
+    def _trained_state(self) -> tuple[np.ndarray, float]:
+        """Centroids and reach of the newest version that has them; batches added since belong to them."""
+        names = self.table._names(f"{self.path}/centroids")
+        current = max(v for v in (int(n.split("=")[1]) for n in names) if v <= self.table.versions()[-1])
+        if self._known is None or self._known[0] != current:
+            rows = self.spark.read.parquet(f"{self.path}/centroids/version={current}").orderBy("cell").collect()
+            self._known = (current, np.array([r["centroid"] for r in rows]), rows[0]["reach"])
+        return self._known[1], float(self._known[2])
 
     def centroids(self) -> np.ndarray:
-        if self._centroids is None:
-            version = self.table.versions()[-1]
-            rows = self.spark.read.parquet(f"{self.path}/centroids/version={version}").orderBy("cell").collect()
-            self._centroids = np.array([r["centroid"] for r in rows])
-        return self._centroids
-
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Add the cell of the nearest centroid to every row."""
-        shared = self.spark.sparkContext.broadcast(self.centroids())
-
-        @F.pandas_udf("int")
-        def _cell(vectors: pd.Series) -> pd.Series:
-            x, centers = np.stack(vectors.to_numpy()).astype(np.float64), shared.value
-            step = max(1, BLOCK_BYTES // (8 * len(centers)))
-            cells = [_block_distance(x[a : a + step], centers, "l2sq").argmin(axis=1) for a in range(0, len(x), step)]
-            return pd.Series(np.concatenate(cells))
-
-        return df.withColumn("cell", _cell(self.vector))
-
-    def search(self, query: list[float], k: int = 3, probes: int = 20, columns: tuple[str, ...] = ("text",), metric: str = "l2sq") -> DataFrame:
+        return self._trained_state()[0]
+
+    def assign(self, df: DataFrame, among: list[int] | None = None) -> DataFrame:
+        """Add the cell of the nearest centroid (of ``among``, if given), and the code, to every row."""
+        _, centroids, reach = self._known
+        chosen = np.arange(len(centroids)) if among is None else np.array(among)
+        shared = self.spark.sparkContext.broadcast(centroids[chosen])  # at most CENTROID_BYTES
+
+        @F.pandas_udf("cell int, code binary")
+        def _cell(vectors: pd.Series) -> pd.DataFrame:
+            centers, cells, codes = shared.value, [], []
+            step = max(1, BLOCK_BYTES // (8 * max(len(centers), 1)))
+            for a in range(0, len(vectors), step):
+                x = np.stack(vectors.iloc[a : a + step].to_numpy()).astype(np.float64)
+                cells.append(chosen[_block_distance(x, centers, "l2sq").argmin(axis=1)])
+                codes += [c.tobytes() for c in np.rint(np.clip(x / reach, -1, 1) * 127).astype(np.int8)]
+            return pd.DataFrame({"cell": np.concatenate(cells) if cells else [], "code": codes})
+
+        found = "_cell"
+        while found in df.columns:
+            found += "_"
+        named = df.drop("cell", "code").withColumn(found, _cell.asNondeterministic()(self.vector))
+        return named.withColumns({"cell": F.col(f"{found}.cell"), "code": F.col(f"{found}.code")}).drop(found)
+
+    def add(self, df: DataFrame, most_rows: int | None = None) -> None:
+        """Put rows into the cells of the trained centroids; a row whose id is there already takes its place.
+
+        Only the new rows and delete marks for ids that change their cell are written. With ``most_rows`` cells that
+        have grown beyond it are split.
+        """
+        centroids, _ = self._trained_state()
+        rows = stage(self.assign(self._usable(df, centroids.shape[1])), "added")
+        old = self.table.df().select(self.id_column, "cell")
+        moved = rows.select(F.col(self.id_column).alias("_id"), F.col("cell").alias("_cell"))
+        gone = old.join(moved, F.col(self.id_column).eqNullSafe(F.col("_id")), "inner").filter("cell <> _cell")
+        self.table.remove(stage(gone.select(self.id_column, "cell"), "moved"))
+        self.table.upsert(rows.select(*[c for c in self.table.schema().names]), self.id_column)
+        if most_rows:
+            self.split(most_rows)
+
+    def split(self, most_rows: int, seed: int = 7) -> None:
+        """Split each cell of more than ``most_rows`` rows by centroids of its own; no other cell is read or written."""
+        centroids, reach = self._trained_state()
+        sizes = self.table.df().groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows).collect()
+        for r in sorted(sizes, key=lambda r: r["cell"]):
+            own = self.table.df().filter(F.col("cell") == r["cell"]).drop("cell", "code")
+            training = own.select(F.col(self.vector).cast("array<double>").alias("v"))
+            parts = self._trained(training, math.ceil(r["n"] / most_rows), seed)
+            if len(parts) < 2:  # equal vectors stay together
+                continue
+            among = [r["cell"], *range(len(centroids), len(centroids) + len(parts) - 1)]
+            centroids = np.concatenate([centroids, parts[1:]])
+            centroids[r["cell"]] = parts[0]
+            if centroids.nbytes > CENTROID_BYTES:
+                raise ValueError(f"{len(centroids)} centroids are too large to send to every task")
+            old = self.table.manifest()
+            names = self.table.schema().names
+            self._publish(centroids, reach, lambda: self.table._commit(self.assign(own, among).select(*names), old, [f"cell={r['cell']}"], None))
+
+    def search(
+        self, query: list[float], k: int = 3, probes: int = 20, columns: tuple[str, ...] = ("text",), metric: str = "l2sq", refine: int | None = None,
+    ) -> DataFrame:
         """Nearest rows among the ``probes`` closest cells; partition pruning skips the others.
 
-        Probing every cell gives the exact answer.
+        Probing every cell gives the exact answer. With ``refine`` the codes choose ``k * refine`` rows first, and only of those the vectors
+        are read and compared.
         """
-        d = _block_distance(np.asarray(query, np.float64)[None, :], self.centroids(), "l2sq")[0]
+        centroids, reach = self._trained_state()
+        d = _block_distance(np.asarray(query, np.float64)[None, :], centroids, "l2sq")[0]
         cells = [int(c) for c in np.argsort(d, kind="stable")[:probes]]
-        return nearest(
-            self.table.df().filter(F.col("cell").isin(cells)), query, k, self.id_column, self.vector, columns, metric
-        )
+        rows = self.table.df().filter(F.col("cell").isin(cells))
+        if refine:
+            entries = F.pandas_udf(lambda codes: codes.map(lambda c: np.frombuffer(c, np.int8).astype(np.float64) * (reach / 127)), "array<double>")
+            near = nearest(rows.select(self.id_column, entries("code").alias("near")), query, k * refine, self.id_column, "near", (), metric)
+            ids = [r[0] for r in near.select(self.id_column).collect()]  # k * refine
+            rows = rows.filter(F.col(self.id_column).isin(ids))
+        return nearest(rows, query, k, self.id_column, self.vector, columns, metric)

@@ -7,11 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from annalist.sources.files import list_files
 from annalist.sources.tables import VersionedTable
 from annalist.specs import EntitySpec, FieldSpec, text_entry
 
-STORE_MODES = ("columnar", "vector")
+STORE_MODES = ("columnar", "entity", "vector")
 
 
 @dataclass(frozen=True)
@@ -81,20 +80,25 @@ def replace_window(table: VersionedTable, df: DataFrame, time: str) -> None:
 
 
 def store_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """(mode, namespace, name) of the stores under ``<root>/<mode>/v0/<namespace>/<name>/``."""
-    relative = F.split(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), "/")
-    return (
-        list_files(spark, root, "parquet")
-        .select(relative.alias("p"))
-        .filter(F.size("p") > 4)
-        .select(
-            F.get("p", F.lit(0)).alias("mode"),
-            F.get("p", F.lit(2)).alias("namespace"),
-            F.get("p", F.lit(3)).alias("name"),
-        )
-        .filter(F.col("mode").isin(*STORE_MODES))
-        .distinct()
-    )
+    """(mode, namespace, name) of the stores under ``<root>/<mode>/v0/<namespace>/<name>/``.
+
+    Folders are listed down to the manifests; no data file is. A store counts from its first commit on, also an empty one.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(folder: str) -> list[str]:
+        return [f.getPath().getName() for f in fs.listStatus(path(folder)) if f.isDirectory()] if fs.exists(path(folder)) else []
+
+    top = root.rstrip("/")
+    found = [
+        (mode, space, name)
+        for mode in STORE_MODES
+        for space in names(f"{top}/{mode}/v0")
+        for name in names(f"{top}/{mode}/v0/{space}")
+        if "_manifests" in names(f"{top}/{mode}/v0/{space}/{name}")
+    ]
+    return spark.createDataFrame(found, "mode string, namespace string, name string")
 
 
 def usage_edges(events: DataFrame, source: str = "source_node_id", target: str = "target_node_id", confidence: str = "confidence") -> DataFrame:

@@ -115,6 +115,25 @@ def clustered_search(spark, sf_dir):
     return found.select("id", F.round("_distance", 6).alias("distance"))
 
 
+@registered(
+    "clustered_after_changes",
+    f"""
+    WITH now AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings)
+    SELECT vec_id AS id, {L2SQ.format(a='embedding', b=FIRST)} AS distance
+    FROM now ORDER BY list_distance(embedding::DOUBLE[], {FIRST}::DOUBLE[]), vec_id LIMIT 10
+    """,
+)
+def clustered_after_changes(spark, sf_dir):
+    """An index trained on half of the rows, to which the others and changed vectors are added, its large cells split; probing every cell is exact."""
+    rows = vectors(spark, sf_dir)
+    index = ClusteredIndex(spark, scratch_path(spark, "index")).build(rows.filter("id % 2 = 0"), cells=8)
+    index.add(rows.filter("id % 2 = 1"))
+    turned = rows.filter("id % 10 = 3").withColumn("vector", F.transform("vector", lambda x: -x))
+    index.add(turned, most_rows=rows.count() // 4)
+    found = index.search(first_vector(spark, sf_dir), 10, probes=len(index.centroids()), columns=())
+    return found.select("id", F.round("_distance", 6).alias("distance"))
+
+
 def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "text"

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from annalist.functions.records import apply_cleaners
 from annalist.functions.vectors import Embedder, HashingEmbedder, embed, with_vectors
 from annalist.operators import lookup
-from annalist.operators.nearest import nearest, nearest_join
+from annalist.operators.nearest import ClusteredIndex, nearest, nearest_join
 from annalist.operators.profile import enum_lists, enumerated_columns
+from annalist.session import stage
 from annalist.sources.files import read_typed
 from annalist.sources.tables import VersionedTable
 from annalist.specs import EntitySpec
@@ -164,6 +165,7 @@ class VectorStore(_Store):
         embedder: Callable[[], Embedder] | None = None, buckets: int = 16,
     ):
         super().__init__(spark, root, spec, buckets)
+        self.cells = ClusteredIndex(spark, f"{self.path}/_index")
         width = next((f.width for f in spec.fields if f.name == "vector"), None) or 64
         self.embedder = embedder or (lambda: HashingEmbedder(width))
 
@@ -185,9 +187,21 @@ class VectorStore(_Store):
         rows = self.embedded(df)
         if plan:
             return rows
+        if not self.cells.exists():
+            self.table.upsert(rows, "id", batch)
+            return None
+        rows = stage(rows, "embedded")  # embedded once for both
         self.table.upsert(rows, "id", batch)
+        self.cells.add(rows.select(*self.INDEXED))
         return None
 
+    #: Columns that the index keeps.
+    INDEXED = ("id", "text", "vector")
+
+    def index(self, cells: int | None = None, train_rows: int | None = None) -> None:
+        """Cluster the stored rows, so that searches can probe cells; rows added later go into the index too."""
+        self.cells.build(self.load().select(*self.INDEXED), cells, train_rows)
+
     def query(self, sql: str, name: str | None = None) -> DataFrame:
         """Any SQL over the store's columns, registered as ``dataset``."""
         return super().query(sql, name or "dataset")
@@ -195,9 +209,15 @@ class VectorStore(_Store):
     def vector_of(self, question: str) -> list[float]:
         return self.embedder()([question])[0].tolist()
 
-    def search(self, question: str, limit: int = 3, metric: str = "l2sq") -> DataFrame:
-        """id, text and ``_distance`` of the nearest rows, nearest first."""
-        return nearest(self.load(), self.vector_of(question), limit, metric=metric)
+    def search(self, question: str, limit: int = 3, metric: str = "l2sq", probes: int | None = None, refine: int | None = None) -> DataFrame:
+        """id, text and ``_distance`` of the nearest rows, nearest first.
+
+        Without ``probes`` all rows are compared; with it those of so many cells of the index (see ``index``), of which
+        ``refine`` compares only ``limit * refine`` by their full vectors.
+        """
+        if probes is None:
+            return nearest(self.load(), self.vector_of(question), limit, metric=metric)
+        return self.cells.search(self.vector_of(question), limit, probes, metric=metric, refine=refine)
 
     def search_many(self, questions: DataFrame, text: str, key: str, limit: int = 3) -> DataFrame:
         """The nearest rows of every question in a DataFrame."""

@@ -5,11 +5,13 @@ Layout of one table::
     <path>/data/_version=<n>-<id>/<partition>=<value>/part-*.parquet
     <path>/_manifests/<n>.json
 
-A commit writes the touched partitions under a new ``_version=`` folder and then
-creates the manifest, which maps every live partition to the folder that holds
-it. Readers follow the newest manifest, so they never see half a commit, and a
-merge rewrites only the partitions it touches. A table has one writer at a
-time; a writer whose version was published by another meanwhile gets an error.
+A commit writes its rows under a new ``_version=`` folder and then
+creates the manifest, which maps every live partition to the folders that hold
+it: a base, in which keys are settled, and batches appended since. Readers follow the newest manifest, so they never
+see half a commit. A merge or upsert writes its own rows and nothing else: a reader takes the rows of a key from the last
+batch that has it, a batch of delete marks (its folder ends with ``-gone``) takes them away. ``compact`` makes a partition's folders one
+base again, and a commit does so itself once a partition has ``FOLD`` of them, so what is rewritten stays in proportion to what came in.
+A table has one writer at a time; a writer whose version was published by another meanwhile gets an error.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from annalist.operators.merge import keep_last, merge_fields, without_keys
 from annalist.session import scratch_path, stage
@@ -28,6 +30,8 @@ from annalist.session import scratch_path, stage
 BUCKET = "bucket"
 #: Stored beside the rows of tables whose merges are ordered across batches.
 SEQUENCE = "_seq"
+#: Folders of a partition at which a commit makes them one, and how folders of delete marks end.
+FOLD, GONE = 16, "-gone"
 
 
 class ConcurrentWrite(RuntimeError):
@@ -40,7 +44,7 @@ class Manifest:
     schema: StructType
     partition_by: list[str]
     buckets: int
-    partitions: dict[str, str] = field(default_factory=dict)
+    partitions: dict[str, list[str]] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
@@ -49,6 +53,8 @@ class Manifest:
     @classmethod
     def from_json(cls, text: str) -> "Manifest":
         values = json.loads(text)
+        # A single folder is how tables without appended batches were written once.
+        values["partitions"] = {p: [v] if isinstance(v, str) else v for p, v in values["partitions"].items()}
         return cls(**{**values, "schema": StructType.fromJson(values["schema"])})
 
 
@@ -57,9 +63,8 @@ class VersionedTable:
 
     Without ``partition_by`` rows are placed in ``buckets`` by the hash of the
     key, so a row with a known key is found in one partition. The bucket count
-    is fixed when the table is created; pick it so that one bucket is a few GB,
-    and merge batches that are large against a bucket, since a touched bucket is
-    rewritten. ``partition_by`` may name ``bucket`` after other columns.
+    is fixed when the table is created; pick it so that one bucket is a few GB.
+    ``partition_by`` may name ``bucket`` after other columns.
     """
 
     def __init__(
@@ -146,15 +151,38 @@ class VersionedTable:
         return None if df is None else df.drop(BUCKET, SEQUENCE)
 
     def _read(self, manifest: Manifest, partitions: list[str]) -> DataFrame:
-        if not partitions:
-            return self.spark.createDataFrame([], manifest.schema)
-        paths = [f"{self.path}/data/_version={manifest.partitions[p]}/{p}" for p in partitions]
-        return (
-            self.spark.read.schema(manifest.schema)
-            .option("basePath", f"{self.path}/data")
-            .parquet(*paths)
-            .drop("_version")
-        )
+        """Rows of some partitions, each key from the last batch that has it."""
+        single = [f"{v[0]}/{p}" for p in partitions if len(v := manifest.partitions[p]) == 1]
+        bases = [f"{v[0]}/{p}" for p in partitions if len(v := manifest.partitions[p]) > 1]
+        added = [f"{f}/{p}" for p in partitions for f in manifest.partitions[p][1:]]
+        rows = self._files(manifest, single).drop("_version")
+        return rows.unionByName(self._settled(manifest, bases, added)) if added else rows
+
+    def _files(self, manifest: Manifest, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], StructType([*manifest.schema.fields, StructField("_version", StringType())]))
+        schema = StructType([*manifest.schema.fields, StructField("_version", StringType())])
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/data")
+        return reader.parquet(*[f"{self.path}/data/_version={p}" for p in paths])
+
+    def _settled(self, manifest: Manifest, bases: list[str], added: list[str]) -> DataFrame:
+        """What is left of bases and the batches appended to them."""
+        on = tuple(dict.fromkeys((*self.partition_by, *self.keys)))
+        names = manifest.schema.names
+        number = F.substring_index("_version", "-", 1).cast("bigint")
+        place = F.struct(number.alias("n"), (~F.col("_version").endswith(GONE)).alias("alive"))
+        base, batches = self._files(manifest, bases).drop("_version"), self._files(manifest, added).withColumn("_at", place).drop("_version")
+        if SEQUENCE in names:
+            # The greater sequence wins, of equal ones the later batch.
+            first = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("alive"))
+            both = base.withColumn("_at", first).unionByName(batches)
+            return keep_last(both, on, F.struct(SEQUENCE, "_at"), (*names, "_at")).filter("_at.alive").drop("_at")
+        # Only what came in since is grouped; the base loses the keys that came again.
+        last = batches.groupBy(*on).agg(F.max("_at").alias("_last"))
+        renamed = last.select(*[F.col(c).alias(f"_in_{c}") for c in on], "_last")
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in on], F.col("_at") == F.col("_last"))
+        fresh = batches.filter("_at.alive").join(renamed, same, "left_semi").select(*names)
+        return without_keys(base, last.select(*on), on).select(*names).unionByName(fresh)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Rows of the keys in a small DataFrame of the key columns, reading their buckets only."""
@@ -184,30 +212,34 @@ class VersionedTable:
         return self.spark.read.schema(df.schema).parquet(path), self._written(path, len(self.partition_by))
 
     def _commit(
-        self, df: DataFrame, old: Manifest | None, replaced: list[str] | None, batch: tuple[str, int] | None
+        self, df: DataFrame, old: Manifest | None, replaced: list[str] | None, batch: tuple[str, int] | None,
+        append: bool = False, gone: bool = False,
     ) -> None:
-        """Write ``df`` as the new content of ``replaced`` (None: of the whole table).
+        """Write ``df`` as the new content of ``replaced`` (None: of the whole table), or append it as a batch, or one of delete marks.
 
         A table that does not exist yet is not created by an empty ``df``.
         """
         version = (self.versions() or [0])[-1] + 1
         # The folder is this commit's own, so a writer that loses the race destroys nothing.
-        name = f"{version}-{uuid.uuid4().hex[:12]}"
+        name = f"{version}-{uuid.uuid4().hex[:12]}{GONE if gone else ''}"
         folder = f"{self.path}/data/_version={name}"
         # Rebalancing keeps files near the advisory size even when one partition is huge.
         df.hint("rebalance", *self.partition_by).write.partitionBy(*self.partition_by).parquet(folder)
         written = self._written(folder, len(self.partition_by))
-        if old is None and not written:
+        if not written and (old is None or append):
             return
-        live = dict(old.partitions) if old and replaced is not None else {}
+        live = dict(old.partitions) if old and (append or replaced is not None) else {}
         for p in replaced or []:
             live.pop(p, None)
-        live.update(dict.fromkeys(written, name))
+        live.update({p: [*(live.get(p, []) if append else []), name] for p in written if not gone or p in live})
         batches = dict(old.batches) if old else {}
         if batch:
             batches[batch[0]] = batch[1]
         buckets = old.buckets if old else self.buckets
-        self._publish(Manifest(version, df.schema, list(self.partition_by), buckets, live, batches))
+        schema = old.schema if old and append else df.schema
+        self._publish(Manifest(version, schema, list(self.partition_by), buckets, live, batches))
+        if append:
+            self.compact(FOLD)
 
     def _written(self, folder: str, depth: int) -> list[str]:
         found = [""]
@@ -269,7 +301,7 @@ class VersionedTable:
         as one value. ``columns`` names the ones to store when ``df`` has more.
         ``stored_seq`` (text) is kept with each row: a stored row with a greater
         one is not replaced, so the result does not depend on how rows are cut
-        into batches. The rows of touched partitions are written anew.
+        into batches. Only the rows of the batch are written.
         """
         if stored_seq is not None:
             columns = (*(columns or df.columns), SEQUENCE)
@@ -309,6 +341,25 @@ class VersionedTable:
         merged = merge_fields(current, staged, self.keys, seq, present)
         self._commit(self._placed(merged, old.buckets), old, touched, batch)
 
+    def remove(self, keys: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Take away the rows of some keys (a DataFrame of key and partition columns, ``bucket`` excepted), by delete marks."""
+        old = self.manifest()
+        if old is None or self._seen(old, batch):
+            return
+        if SEQUENCE in old.schema.names:
+            raise ValueError("rows that are kept by a sequence are not removed by their keys alone")
+        given = [c for c in dict.fromkeys((*self.partition_by, *self.keys)) if c != BUCKET]
+        marks = self._placed(keys.select(*given).distinct(), old.buckets)
+        nulls = {f.name: F.lit(None).cast(f.dataType) for f in old.schema if f.name not in marks.columns}
+        self._commit(marks.withColumns(nulls).select(*old.schema.names), old, None, batch, append=True, gone=True)
+
+    def compact(self, most: int = 2) -> None:
+        """Make the folders of each partition that has at least ``most`` of them one base of settled rows."""
+        old = self.manifest()
+        many = [p for p, folders in old.partitions.items() if len(folders) >= max(most, 2)] if old else []
+        if many:
+            self._commit(self._read(old, many), old, many, None)
+
     def _add(self, new: DataFrame, on: tuple[str, ...], batch: tuple[str, int] | None) -> None:
         old = self.manifest()
         if self._seen(old, batch):
@@ -318,31 +369,20 @@ class VersionedTable:
             self._commit(placed, None, None, batch)
             return
         self._same_schema(old, placed)
-        # Read twice below: once for the ids, once for the rows.
-        staged, touched = self._staged(placed.select(*old.schema.names), "batch")
-        if BUCKET in self.partition_by and set(on) != set(self.keys):
-            # Rows with the incoming ids may sit in any bucket.
-            touched = sorted({*old.partitions, *touched})
-            same = on
-        else:
-            same = (*self.partition_by, *on)
-        if not touched:
+        placed = placed.select(*old.schema.names)
+        if set(on) == set(self.keys):
+            self._commit(placed, old, None, batch, append=True)
             return
-        current = self._read(old, [p for p in touched if p in old.partitions])
-        if SEQUENCE in staged.columns:
-            # The greater sequence wins; of equal ones the row that came later.
-            both = current.withColumn("_new", F.lit(0)).unionByName(staged.withColumn("_new", F.lit(1)))
-            rows = keep_last(both, same, F.struct(SEQUENCE, "_new"), tuple(staged.columns))
-        else:
-            rows = without_keys(current, staged, same).unionByName(staged)
-        self._commit(rows, old, touched, batch)
+        # Other columns than the table's keys name the rows to replace: they may sit in any partition.
+        staged, _ = self._staged(placed, "batch")
+        rows = without_keys(self._read(old, list(old.partitions)), staged, on).unionByName(staged)
+        self._commit(rows, old, list(old.partitions), batch)
 
     def expire(self, keep: int = 1) -> list[int]:
         """Delete data that none of the newest ``keep`` versions uses; returns dropped versions."""
         versions = self.versions()
         kept = [self.manifest(v) for v in versions[-keep:]]
-        used = {f"_version={v}/{p}" for m in kept for p, v in m.partitions.items()}
-        used_versions = {u.split("/", 1)[0] for u in used}
+        used_versions = {f"_version={f}" for m in kept for folders in m.partitions.values() for f in folders}
         for name in self._names(f"{self.path}/data"):
             if name not in used_versions and int(name.split("=")[1].split("-")[0]) < versions[-1]:
                 self._fs.delete(self._new_path(f"{self.path}/data/{name}"), True)

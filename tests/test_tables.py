@@ -60,12 +60,61 @@ def test_table_merge_is_idempotent_and_versioned(spark, folder):
     assert t.expire() == [1, 2] and t.rows().count() == 3
 
 
-def test_only_touched_buckets_are_rewritten(spark, folder):
+def written_by(table, version):
+    """Rows in the files of one commit."""
+    return sum(table.spark.read.parquet(f"{table.path}/data/{n}").count() for n in table._names(f"{table.path}/data") if n.startswith(f"_version={version}-"))
+
+
+def test_a_merge_writes_only_its_batch(spark, folder):
     t = VersionedTable(spark, f"{folder}/t", ("id",), buckets=8)
-    t.merge(spark.range(200))
-    t.merge(spark.range(1))
-    assert sorted(int(v.split("-")[0]) for v in t.manifest().partitions.values()) == [1] * 7 + [2]
-    assert t.rows().count() == 200
+    t.merge(spark.range(20_000).select("id", F.lit("old").alias("v")))
+    t.merge(spark.range(0, 20_000, 500).select("id", F.lit("new").alias("v")))
+    assert written_by(t, 2) == 40 and t.versions() == [1, 2]
+    assert rows(t.rows().groupBy("v").count(), "v", "count") == [("new", 40), ("old", 19_960)]
+    # A bucket that the batch does not touch is read as it is.
+    t.merge(spark.range(1).select("id", F.lit("one").alias("v")))
+    assert sorted(len(f) for f in t.manifest().partitions.values())[-1] == 3
+    assert rows(t.lookup(spark.range(2)), "id", "v") == [(0, "one"), (1, "old")]
+    before = rows(t.rows(), "id", "v")
+    t.compact()
+    assert {len(f) for f in t.manifest().partitions.values()} == {1} and rows(t.rows(), "id", "v") == before
+    assert t.expire() == [1, 2, 3] and rows(t.rows(), "id", "v") == before
+
+
+def test_upserts_and_removals_append_marks(spark, folder):
+    t = VersionedTable(spark, f"{folder}/t", ("id",), buckets=2)
+    kind = "id string, v int"
+    t.upsert(spark.createDataFrame([("a", 1), ("", 2), (None, 3), ("b", 4), ("b", 5)], kind))
+    t.upsert(spark.createDataFrame([("", 20), ("", 21), (None, 30), ("b", 6)], kind))
+    assert rows(t.rows(), "id", "v") == sorted([("a", 1), ("", 20), ("", 21), (None, 30), ("b", 6)], key=str)
+    t.remove(spark.createDataFrame([("",), (None,), ("unknown",)], "id string"))
+    assert rows(t.rows(), "id", "v") == [("a", 1), ("b", 6)]
+    assert written_by(t, 3) == 3
+    t.upsert(spark.createDataFrame([("", 9)], kind))
+    for _ in range(2):
+        assert rows(t.rows(), "id", "v") == sorted([("a", 1), ("b", 6), ("", 9)], key=str)
+        t.compact()
+
+
+def test_many_batches_fold(spark, folder, monkeypatch):
+    monkeypatch.setattr("annalist.sources.tables.FOLD", 3)
+    t = VersionedTable(spark, f"{folder}/t", ("k",), buckets=1)
+    for n in range(5):
+        t.merge(spark.createDataFrame([("a", n, n), (f"b{n}", n, n)], ROW), batch=("q", n))
+    assert rows(t.rows(), "k", "x") == [("a", 4), *[(f"b{n}", n) for n in range(5)]]
+    assert max(len(f) for f in t.manifest().partitions.values()) < 3 and t.manifest().batches == {"q": 4}
+
+
+def test_stored_sequence_over_appended_batches(spark, folder):
+    t = VersionedTable(spark, f"{folder}/t", ("k",), buckets=2)
+    batch = lambda *r: spark.createDataFrame(r, ROW)
+    moment = F.lpad(F.col("s").cast("string"), 5, "0")
+    t.merge(batch(("a", 1, 5), ("b", 1, 1)), "s", stored_seq=moment)
+    t.merge(batch(("a", 2, 4), ("b", 2, 1), ("c", 3, 9)), "s", stored_seq=moment)
+    t.merge(batch(("c", 4, 8)), "s", stored_seq=moment)
+    for _ in range(2):
+        assert rows(t.rows(), "k", "x") == [("a", 1), ("b", 2), ("c", 3)]
+        t.compact()
 
 
 def test_repeated_batch_is_ignored_and_conflict_raises(spark, folder):
