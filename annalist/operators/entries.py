@@ -180,19 +180,31 @@ def log_texts(df: DataFrame, name: str, text: str, start: Column, keep: list[str
     )
 
 
+@dataclass(frozen=True)
+class SideOutput:
+    """Texts logged after a random share of the records: ``sections`` (name, text) that meet the records on the column ``topic``."""
+
+    sections: DataFrame
+    topic: str
+    start: Column
+    share: float = 0.2
+    seed: int = 0
+
+
 def log_stream(
-    records: DataFrame, spec: EntitySpec, key: str, start: Column, sections: DataFrame, topic: str,
-    section_start: Column, share: float = 0.2, seed: int = 0, limit: int | None = None,
+    records: DataFrame, spec: EntitySpec, key: str, start: Column, *sides: SideOutput, limit: int | None = None,
 ) -> DataFrame:
-    """A typed table as a log: one line per record, and for a random share also texts about its topic.
+    """A typed table as a log: one line per record, and after it the texts of each side output that drew the record.
 
-    ``records`` and ``sections`` (name, text) meet on the column ``topic``.
-    Result: key, position (0 for the record) and value, in which order they
+    Each side output draws for itself, so a record may get the texts of several or of none; give them different
+    seeds. Result: key, position (0 for the record, then the number of the side output) and value, in which order they
     are to be written. ``limit`` keeps the first records by key.
     """
     if limit is not None:
         records = records.orderBy(key).limit(limit)
-    own = log_records(records, spec, start, [key]).select(key, F.lit(0).alias("position"), "value")
-    told = hash_share(records.select(key, topic), [key], share, seed).join(sections, topic)
-    texts = log_texts(told, "name", "text", section_start, [key]).select(key, F.lit(1).alias("position"), "value")
-    return own.unionByName(texts)
+    lines = log_records(records, spec, start, [key]).select(key, F.lit(0).alias("position"), "value")
+    for number, side in enumerate(sides, 1):
+        told = hash_share(records.select(key, side.topic), [key], side.share, side.seed).join(side.sections, side.topic)
+        texts = log_texts(told, "name", "text", side.start, [key])
+        lines = lines.unionByName(texts.select(key, F.lit(number).alias("position"), "value"))
+    return lines

@@ -46,6 +46,12 @@ class Ingest:
             partition_by=("module_name", "bucket"), buckets=self.buckets,
         )
 
+    def expire(self, keep: int) -> None:
+        """Drop all but the newest ``keep`` versions of every table."""
+        for table in (*map(self.table_of, self.registry), self.text_table()):
+            if table.exists():
+                table.expire(keep)
+
     def dead_letters(self) -> DataFrame:
         return self.spark.read.schema(
             "stream string, run bigint, entry bigint, text string, problem string, batch string"

@@ -42,5 +42,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load() -> None:
     """Import the modules that register queries."""
     from annalist.plans.registered import (  # noqa: F401
-        ingestion, logs, pages, prepare, questions, records, spaces, vectors,
+        ingestion, logs, pages, prepare, questions, records, spaces, stores, vectors,
     )

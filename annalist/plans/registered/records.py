@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from annalist.functions.records import coerce_columns, json_object, shape_id, type_tags
 from annalist.functions.text import fenced_blocks, first_of_list_literal, header
 from annalist.operators.merge import keep_last, merge_fields, upsert
-from annalist.operators.entries import log_stream, parse_entries, preamble, records_of
+from annalist.operators.entries import SideOutput, log_stream, parse_entries, preamble, records_of
 from annalist.plans.registered import registered, table
 from annalist.plans.registered.logs import EVENT, event_lines
 from annalist.session import scratch_path
@@ -380,10 +380,13 @@ def anonymous_list_items(spark, sf_dir):
     UNION ALL
     SELECT 'text', c_custkey, length(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey
     WHERE ('0x' || substr(sha256('0|' || c_custkey), 1, 8))::BIGINT < 858993459
+    UNION ALL
+    SELECT 'text', c_custkey, length(r_name) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    WHERE ('0x' || substr(sha256('1|' || c_custkey), 1, 8))::BIGINT < 1288490188
     """,
 )
 def emit_log_stream(spark, sf_dir):
-    """Customers as log lines, a fifth of them followed by a text about their nation; then parsed back."""
+    """Customers as log lines, a fifth of them followed by a text about their nation, three tenths by one about its region; then parsed back."""
     spec = EntitySpec("Customer", (FieldSpec("c_custkey", int, key=True), FieldSpec("c_name", str)), "trade")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("topic"))
     sections = table(spark, sf_dir, "nation").select(
@@ -391,7 +394,10 @@ def emit_log_stream(spark, sf_dir):
     )
     start = preamble(F.lit("2024-01-01 00:00:00.000"), "app", "customers", 1)
     told = preamble(F.lit("2024-01-01 00:00:00.000"), "app", "topics", 2)
-    lines = log_stream(customer, spec, "c_custkey", start, sections, "topic", told)
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = places.select(F.col("n_nationkey").alias("topic"), F.col("r_name").alias("name"), F.lit("a region").alias("text"))
+    sides = SideOutput(sections, "topic", told), SideOutput(regions, "topic", told, share=0.3, seed=1)
+    lines = log_stream(customer, spec, "c_custkey", start, *sides)
     parsed = parse_entries(lines, "value")
     record = F.get("objects", F.lit(0))
     return parsed.select(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,14 +75,36 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/annalist/{spark.sparkContext.applicationId}"
 
 
+_scopes = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else uses."""
-    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in getattr(_scopes, "open", []):
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is staged within (by this thread) is deleted at its end, so results built on it must be written by then."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        *_scopes.open, staged = _scopes.open
+        for path in staged:
+            _delete(spark, path)
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete what this application staged. Call it when no result built on it is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    _delete(spark, _scratch_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -24,7 +24,7 @@ from annalist.functions.text import strip
 from annalist.operators.assemble import assemble_streams
 from annalist.operators.entries import PLACE
 from annalist.plans.ingest import Ingest
-from annalist.session import stage
+from annalist.session import scratch_scope, stage
 from annalist.sources.logs import RESPONSE_SCHEMA, stream_values
 from annalist.sources.tables import VersionedTable
 
@@ -132,12 +132,13 @@ def _alone(rows: DataFrame) -> DataFrame:
 
 def start_ingest(
     lines: DataFrame, ingest: Ingest, state_path: str, checkpoint: str, dedup: str | None = None,
-    name: str = "ingest", quiet: timedelta | None = None, ticks: DataFrame | None = None, **trigger,
+    name: str = "ingest", quiet: timedelta | None = None, ticks: DataFrame | None = None, keep_versions: int | None = None, **trigger,
 ) -> StreamingQuery:
     """Run the whole ingestion continuously over lines (labels, ns, ts, position, msg).
 
     With ``quiet`` the open entry of a stream is ingested once no line came for that time by the clock of
-    ``ticks`` (a stream of ``tick`` timestamps; ``read_ticks`` by default).
+    ``ticks`` (a stream of ``tick`` timestamps; ``read_ticks`` by default). ``keep_versions`` keeps the newest so many
+    versions of each table; older ones go after each batch, so choose it larger than the batches that a reader may lag behind.
 
     Every line is used, and every table ignores a batch it already has. Set
     ``dedup`` to a time span when the source polls overlapping windows: lines
@@ -158,7 +159,10 @@ def start_ingest(
         if quiet is not None:
             clock = batch.agg(F.max("tick")).first()[0]
             batch = batch.filter("tick IS NULL")
-        ingest.entries(assembler.assemble(batch, batch_id, clock), batch=(name, batch_id))
+        with scratch_scope(ingest.spark):  # what the batch staged goes once its tables are committed
+            ingest.entries(assembler.assemble(batch, batch_id, clock), batch=(name, batch_id))
+        if keep_versions:
+            ingest.expire(keep_versions)
 
     return (
         keyed.writeStream.foreachBatch(one_batch)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import sequential
 from annalist.operators import labels
 from annalist.plans.ingest import Ingest
+from annalist.session import scratch_path
 from annalist.sources.logs import stream_values, to_responses
 from annalist.specs import EntitySpec, FieldSpec, Registry
 from annalist.streaming.ingest import EntryAssembler, finish_ingest, read_responses_stream, start_ingest
@@ -148,3 +149,34 @@ def test_repeated_batch_times_out_alike(spark, folder):
     for _ in range(2):
         assert [r.text for r in assembler.assemble(none, 2, at + timedelta(seconds=10)).collect()] == ["2024-01-01 00:00:00.001 | EVENT    | p:f:1 - a"]
     assert assembler.assemble(none, 3, at + timedelta(seconds=99)).count() == 0
+
+
+def test_folders_do_not_grow_with_batches(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr("annalist.sources.tables.FOLD", 2)
+    rows = log_lines(15, random.Random(3))
+    for i in range(5):
+        responses(spark, rows[i * len(rows) // 5 : (i + 1) * len(rows) // 5]).coalesce(1).write.text(f"{tmp_path}/part={i:03d}")
+    ingest, scratch = Ingest(spark, f"{tmp_path}/root", Registry([SPEC]), buckets=1), scratch_path(spark, "x").rsplit("/", 1)[0]
+    folders = lambda top: sum(len(d) for _, d, _ in os.walk(top))
+    seen, staged = [], len(os.listdir(scratch)) if os.path.exists(scratch) else 0
+    expire = Ingest.expire
+
+    def counted(self, keep):
+        expire(self, keep)
+        seen.append(folders(f"{self.root}/columnar"))
+
+    monkeypatch.setattr(Ingest, "expire", counted)
+    lines = read_responses_stream(spark, f"{tmp_path}/part=*", files_per_batch=1)
+    start_ingest(lines, ingest, f"{tmp_path}/state", f"{tmp_path}/checkpoint", keep_versions=2).awaitTermination()
+    assert len(seen) == 5 and max(seen[3:]) <= max(seen[:3])
+    assert len(os.listdir(scratch)) == staged
+    once = Ingest(spark, f"{tmp_path}/once", Registry([SPEC]), buckets=1)
+    expire(once, 1)
+    start_ingest(read_responses_stream(spark, f"{tmp_path}/part=*"), once, f"{tmp_path}/state1", f"{tmp_path}/checkpoint1").awaitTermination()
+    assert rows_of(ingest) == rows_of(once)
+
+
+def rows_of(ingest):
+    return sorted(map(tuple, ingest.table_of(SPEC).rows().select("code", "n").collect()))
