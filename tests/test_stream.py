@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -107,7 +108,10 @@ def test_rate_in_a_stream(spark, folder):
 def ticks_of(spark, folder, seconds):
     """A clock that is set by hand: one file, and so one batch, per time."""
     for i, second in enumerate(seconds):
-        (folder / f"{i:03d}.json").write_text(json.dumps({"tick": f"2024-01-01T00:{second // 60:02d}:{second % 60:02d}Z"}))
+        file = folder / f"{i:03d}.json"
+        if not file.exists():
+            file.write_text(json.dumps({"tick": f"2024-01-01T00:{second // 60:02d}:{second % 60:02d}Z"}))
+            os.utime(file, (1_700_000_000 + i,) * 2)  # files are taken by their time
     return spark.readStream.schema("tick timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
 
 
@@ -152,8 +156,6 @@ def test_repeated_batch_times_out_alike(spark, folder):
 
 
 def test_folders_do_not_grow_with_batches(spark, tmp_path, monkeypatch):
-    import os
-
     monkeypatch.setattr("annalist.sources.tables.FOLD", 2)
     rows = log_lines(15, random.Random(3))
     for i in range(5):
