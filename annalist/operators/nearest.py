@@ -17,62 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from annalist.functions.text import key_hash
-from annalist.session import scratch_path, stage
+from annalist.operators.blocks import BLOCK_BYTES, block_distance, candidates, matrix, pair_distance
+from annalist.operators.cell_join import cell_join
+from annalist.session import stage
 
 METRICS = ("l2sq", "l2", "cosine")
-# Queries are sent to every task in tiles of at most this many bytes.
+# Queries are sent to every task up to this many bytes; more are joined through cells, in rings of so many bytes.
 TILE_BYTES = 64 << 20
 # Centroids are sent to every task; an index has at most so many bytes of them.
 CENTROID_BYTES = 64 << 20
-# Bytes of distances that assignment holds at once.
-BLOCK_BYTES = 32 << 20
-
-
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column that have the right width and only finite numbers, and which rows these are."""
-    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    good = np.flatnonzero(lengths == width)
-    if len(good) < len(column):
-        column = column.take(pa.array(good))
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), width)
-    finite = np.isfinite(values).all(axis=1)
-    return values[finite], good[finite]
-
-
-def _pair_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of row i of ``x`` to row i of ``q``."""
-    if metric == "cosine":
-        norms = np.linalg.norm(x, axis=1) * np.linalg.norm(q, axis=1)
-        return 1 - np.einsum("ij,ij->i", x, q) / np.where(norms == 0, 1, norms)
-    gap = x - q
-    squared = np.einsum("ij,ij->i", gap, gap)
-    return np.sqrt(squared) if metric == "l2" else squared
-
-
-def _block_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """All distances by one matrix product; exact only up to rounding (used to preselect)."""
-    if metric == "cosine":
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        return 1 - x @ q.T
-    return (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (x @ q.T)
-
-
-def _candidates(x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """(row, query) pairs that may be among the k nearest of the block, all ties included."""
-    if metric == "cosine":
-        scale = 4.0
-    else:
-        # Differences do not change, and the product rounds less around the middle of the block.
-        middle = x.mean(axis=0)
-        x, q = x - middle, q - middle
-        scale = (x * x).sum(1).max() + (q * q).sum(1)
-    with np.errstate(over="ignore", invalid="ignore"):
-        d = _block_distance(x, q, metric)
-        kth = np.partition(d, min(k, len(x)) - 1, axis=0)[min(k, len(x)) - 1]
-        # Beyond what the product, in sums of this length and size, can be wrong. Overflown ones stay candidates.
-        slack = 8 * np.finfo(np.float64).eps * (x.shape[1] + 4) * scale
-        return np.nonzero(~(d > kth + 2 * slack))
 
 
 def nearest(
@@ -93,12 +46,12 @@ def nearest(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            x, good = _matrix(batch.column(len(names)), target.shape[1])
+            x, good = matrix(batch.column(len(names)), target.shape[1])
             if not len(good):
                 continue
-            rows, _ = _candidates(x, target, k, metric)
+            rows, _ = candidates(x, target, k, metric)
             found = pa.table(batch).select(names).take(pa.array(good[rows]))
-            distance = _pair_distance(x[rows], np.broadcast_to(target, (len(rows), target.shape[1])), metric)
+            distance = pair_distance(x[rows], np.broadcast_to(target, (len(rows), target.shape[1])), metric)
             found = found.append_column("_distance", pa.array(distance))
             best = found if best is None else pa.concat_tables([best, found])
             best = best.take(
@@ -125,16 +78,16 @@ def _tile_search(
         best = None
         step = max(1, (32 << 20) // (8 * max(1, len(query_ids))))  # rows per block of 32 MB
         for batch in batches:
-            x, good = _matrix(batch.column(1), queries.shape[1])
+            x, good = matrix(batch.column(1), queries.shape[1])
             row_ids = batch.column(0).take(pa.array(good)).to_pandas()
             for start in range(0, len(x), step):
                 block = x[start : start + step]
-                rows, cols = _candidates(block, queries, room, metric)
+                rows, cols = candidates(block, queries, room, metric)
                 found = pd.DataFrame(
                     {
                         "query": cols,
                         "id": row_ids.iloc[start + rows].to_numpy(),
-                        "d": _pair_distance(block[rows], queries[cols], metric),
+                        "d": pair_distance(block[rows], queries[cols], metric),
                     }
                 )
                 at = pa.array(good[start + rows])
@@ -166,18 +119,14 @@ def nearest_join(
 ) -> DataFrame:
     """For every query the k nearest base rows: query_id, id, ``_distance``, ``columns``, rank.
 
-    The size of the query side is counted first. Up to ``tile_bytes`` it is
-    sent to all tasks; a larger one is cut into tiles by hash, and each tile
-    scans the base (id, vector and ``columns``) once, its result being written to the
-    shared folder. Nothing quadratic is ever shuffled: a task emits k rows per query.
+    The size of the query side is counted first. Up to ``tile_bytes`` it is sent to all tasks, and each keeps its best k rows
+    per query. A larger one is joined through cells (``cell_join``), without a loop over parts of it. Both are exact.
     """
-    spark = base.sparkSession
     usable = queries.filter(F.col(query_vector).isNotNull())
     facts = usable.agg(
         F.count("*").alias("n"), F.max(F.size(query_vector)).alias("width")
     ).first()
     width = facts["width"] or 1
-    tiles = max(1, math.ceil(facts["n"] * width * 8 / tile_bytes))
     name = id_column if id_column != "query_id" else "base_id"
     schema = StructType(
         [
@@ -188,21 +137,13 @@ def nearest_join(
         ]
     )
     wanted = usable.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
-
-    def search(part: DataFrame) -> DataFrame:
-        table = part.toArrow()
-        q, good = _matrix(table["v"].combine_chunks(), width)
+    if facts["n"] * width * 8 <= tile_bytes:
+        table = wanted.toArrow()
+        q, good = matrix(table["v"].combine_chunks(), width)
         ids = table["q"].take(pa.array(good)).to_pylist()
-        return _tile_search(base, ids, q, k, id_column, vector, columns, metric, exclude_self, schema)
-
-    if tiles == 1:
-        found = search(wanted)
+        found = _tile_search(base, ids, q, k, id_column, vector, columns, metric, exclude_self, schema)
     else:
-        tiled = stage(wanted.withColumn("tile", key_hash("q") % tiles), "tiles", ("tile",))
-        path = scratch_path(spark, "nearest")
-        for tile in range(tiles):
-            search(tiled.filter(F.col("tile") == tile).drop("tile")).write.mode("append").parquet(path)
-        found = spark.read.schema(schema).parquet(path)
+        found = cell_join(wanted, base.select(id_column, vector, *columns), k, width, metric, exclude_self, tile_bytes, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("_distance", name))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -312,7 +253,7 @@ class ClusteredIndex:
             step = max(1, BLOCK_BYTES // (8 * max(len(centers), 1)))
             for a in range(0, len(vectors), step):
                 x = np.stack(vectors.iloc[a : a + step].to_numpy()).astype(np.float64)
-                cells.append(chosen[_block_distance(x, centers, "l2sq").argmin(axis=1)])
+                cells.append(chosen[block_distance(x, centers, "l2sq").argmin(axis=1)])
                 codes += [c.tobytes() for c in np.rint(np.clip(x / reach, -1, 1) * 127).astype(np.int8)]
             return pd.DataFrame({"cell": np.concatenate(cells) if cells else [], "code": codes})
 
@@ -366,7 +307,7 @@ class ClusteredIndex:
         are read and compared.
         """
         centroids, reach = self._trained_state()
-        d = _block_distance(np.asarray(query, np.float64)[None, :], centroids, "l2sq")[0]
+        d = block_distance(np.asarray(query, np.float64)[None, :], centroids, "l2sq")[0]
         cells = [int(c) for c in np.argsort(d, kind="stable")[:probes]]
         rows = self.table.df().filter(F.col("cell").isin(cells))
         if refine:

@@ -84,7 +84,7 @@ def knn_join(spark, sf_dir):
 
 @registered("knn_join_tiled", KNN_JOIN_SQL)
 def knn_join_tiled(spark, sf_dir):
-    """The same with the query side cut into tiles, as for one too large to send to every task."""
+    """The same through cells, as for a query side too large to send to every task."""
     rows = vectors(spark, sf_dir)
     found = nearest_join(rows, rows, 3, exclude_self=True, tile_bytes=rows.count() * WIDTH * 8 // 3)
     return found.select("query_id", "id", F.round("_distance", 6).alias("distance"), "rank")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.vectors import HashingEmbedder, cosine_distance, squared_l2, with_vectors
+from annalist.operators.cell_join import Rings, _class_of, _from_pivots
 from annalist.operators.nearest import ClusteredIndex, nearest, nearest_join
 from annalist.plans.stores import VectorStore
 from annalist.specs import text_entry
@@ -58,6 +59,71 @@ def test_nearest_join_equals_brute_force(spark, base, cloud, tile_bytes):
         assert [i for _, i in mine] == brute(cloud, cloud[q], 3, skip=q)[0]
 
 
+@pytest.mark.parametrize("metric", ["l2sq", "l2", "cosine"])
+def test_cell_join_equals_brute_force(spark, clusters, metric):
+    """Far more queries than may be sent; many copies of one vector, zeros, large and unusable numbers among the rows."""
+    x = clusters.copy().astype(float)
+    x[:400] = x[7]
+    x[500:520] = 0
+    x[600] *= 1e30
+    rows = [(f"r{i:04d}", v.tolist(), i) for i, v in enumerate(x)]
+    odd = [("none", None, 0), ("short", [1.0], 0), ("nan", [float("nan")] * 16, 0), ("null", [None] * 16, 0)]
+    base = spark.createDataFrame(rows + odd, "name string, v array<double>, q int").repartition(3)
+    got = nearest_join(base, base, 4, "name", "v", "name", "v", metric, True, ("q",), tile_bytes=16 * 8 * 60)
+    assert got.columns == ["query_id", "name", "_distance", "q", "rank"]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.name, r._distance, r.q)
+    assert len(found) == 1200
+    for i in range(0, 1200, 7):
+        gap = x - x[i]
+        d = (gap * gap).sum(1)
+        if metric == "l2":
+            d = np.sqrt(d)
+        if metric == "cosine":
+            norms = np.linalg.norm(x, axis=1) * np.linalg.norm(x[i])
+            d = 1 - x @ x[i] / np.where(norms == 0, 1, norms)
+        d[i] = np.inf
+        mine = [found[f"r{i:04d}"][k] for k in (1, 2, 3, 4)]
+        assert [m[1] for m in mine] == pytest.approx(np.sort(d)[:4], rel=1e-9, abs=1e-12)
+        assert all(m[1] == pytest.approx(d[m[2]], rel=1e-9, abs=1e-12) and m[0] == f"r{m[2]:04d}" and m[2] != i for m in mine)
+        assert len({m[2] for m in mine}) == 4
+    if metric != "cosine":  # equal distances: the smaller ids
+        assert [found["r0399"][k][2] for k in (1, 2, 3, 4)] == [0, 1, 2, 3]
+
+
+def test_cell_join_of_odd_sides(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, vector array<double>")
+    two = rows((1, [0.0, 0.0]), (1, [1.0, 0.0]), (None, [2.0, 0.0]))
+    assert nearest_join(two, rows(), 2, tile_bytes=1).count() == 0
+    assert nearest_join(two, rows((5, None), (6, [1.0])), 2, tile_bytes=1).count() == 0
+    assert nearest_join(rows(), two, 2, tile_bytes=1).count() == 0
+    got = nearest_join(rows((9, [0.1, 0.0])), two, 5, tile_bytes=1).orderBy("rank").collect()
+    assert [r.id for r in got] == [1, 1, None]
+    wide = rows((3, [1e200, 0.0]), (4, [-1e200, 1.0]), (8, [0.0, 3.0]))
+    got = nearest_join(wide, wide, 1, exclude_self=True, tile_bytes=1).collect()
+    assert len(got) == 3
+
+
+def test_rings_are_pruned():
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(8, 3)) * 100
+    x = pivots[rng.integers(0, 8, 4000)] + rng.normal(size=(4000, 3))
+    distance, slack = _from_pivots(x, pivots)
+    cell, own = distance.argmin(axis=1), distance.min(axis=1)
+    grade = _class_of(own, 100.0)
+    stats = [(c, g, int(m.sum()), own[m].min(), own[m].max()) for c in range(8) for g in range(64) if (m := (cell == c) & (grade == g)).any()]
+    rings = Rings(stats, 8, 100)
+    assert rings.parts.sum() >= 40 and len(rings.cell) > 8
+    query, ring = rings.may_hold(distance, slack, np.full(4000, 0.5))
+    assert len(query) < 4000 * len(rings.cell) / 4
+    where = rings.of[cell, grade]
+    held = set(zip(query.tolist(), ring.tolist()))
+    for i in range(0, 4000, 40):
+        for j in np.flatnonzero(((x - x[i]) ** 2).sum(1) <= 0.25):
+            assert (i, int(where[j])) in held
+
+
 def test_distance_expressions(spark, cloud):
     df = spark.createDataFrame([(cloud[0].tolist(), cloud[1].tolist())], "a array<float>, b array<float>")
     r = df.select(squared_l2(F.col("a"), F.col("b")).alias("s"), cosine_distance(F.col("a"), F.col("b")).alias("c")).first()
