@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from annalist.llm.common import bounded_batches, byte_columns, stage
+from annalist.llm.common import bounded_batches, stage
 
 #: Byte lengths of the four ids that a control byte stands for.
 LENGTHS = np.array([[1 + (c >> 2 * n & 3) for n in range(4)] for c in range(256)], dtype=np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+#: Columns of documents packed by id, together with counts of ids.
+COUNTED = ["doc_id", "n_tokens", "control", "data", "id", "n"]
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -48,22 +51,45 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return wide & MASKS[lengths]
 
 
-def frequency_order(encoded: DataFrame) -> np.ndarray:
-    """All ids that occur, most frequent first, ties by id. Its size is bounded by the vocabulary."""
+def frequency_order(counts: DataFrame) -> np.ndarray:
+    """All ids that occur (``id``, ``n``, added up per id), most frequent first, ties by id. Its size is bounded by the vocabulary."""
+    rows = counts.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").select("id").toArrow()
+    return rows.column("id").to_numpy().astype("<u4")
+
+
+def counted(encoded: DataFrame, end_id: int | None) -> DataFrame:
+    """The documents with their ids, closed by ``end_id`` and packed, and after those of a task the counts of its ids, in one pass.
+
+    The rows of counts have ``id`` and ``n``. So the ids are never kept four bytes wide, and counting them reads nothing again.
+    """
+    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    id_field = encoded.schema["doc_id"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = np.zeros(0, dtype=np.int64), None
         for batch in batches:
-            raw, _ = byte_columns(batch.column("ids"))
-            one = np.bincount(np.frombuffer(raw.tobytes(), "<u4"), minlength=len(total))
+            kind = batch.schema.field("doc_id").type
+            ids = [np.frombuffer((x.as_py() or b"") + tail, "<u4") for x in batch.column("ids")]
+            one = np.bincount(np.concatenate([*ids, np.zeros(0, "<u4")]), minlength=len(total))
             one[: len(total)] += total
             total = one
+            packed = [pack_ranks(x) for x in ids]
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in packed], pa.binary()),
+                    pa.array([d for _, d in packed], pa.binary()), none, none,
+                ],
+                names=COUNTED,
+            )
         at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+        if len(at):
+            none = pa.nulls(len(at), pa.binary())
+            columns = [pa.nulls(len(at), kind), pa.nulls(len(at), pa.int64()), none, none, pa.array(at, pa.int64()), pa.array(total[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=COUNTED)
 
-    counts = encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "id").select("id").toArrow()
-    return rows.column("id").to_numpy().astype("<u4")
+    types = [id_field.dataType, LongType(), BinaryType(), BinaryType(), LongType(), LongType()]
+    return encoded.select("doc_id", "ids").mapInArrow(run, StructType([StructField(c, t) for c, t in zip(COUNTED, types)]))
 
 
 def write_tokens(encoded: DataFrame, folder: str, end_id: int | None = None) -> None:
@@ -75,20 +101,17 @@ def write_tokens(encoded: DataFrame, folder: str, end_id: int | None = None) ->
     next to each other in any order. No rows give empty files.
     """
     bounded_batches(encoded.sparkSession)
-    encoded = encoded.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids"))
-    if end_id is not None:
-        encoded = encoded.withColumn("ids", F.concat("ids", F.lit(int(end_id).to_bytes(4, "little"))))
-    staged = stage(encoded, "ids")
-    order = frequency_order(staged)
+    staged = stage(counted(encoded, end_id), "ids")
+    order = frequency_order(staged.filter("id IS NOT NULL").select("id", "n"))
     rank_of = np.zeros(int(order.max()) + 1 if len(order) else 1, dtype=np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, file = 0, TaskContext.get().partitionId()
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
-            coded = [pack_ranks(rank_of[x]) for x in ids]
-            n = np.array([len(x) for x in ids], dtype=np.int64)
+            parts = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")))
+            coded = [pack_ranks(rank_of[unpack_ranks(c, d, n)]) if n else (b"", b"") for c, d, n in parts]
+            n = batch.column("n_tokens").to_numpy()
             ends = before + np.cumsum(n)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -100,8 +123,9 @@ def write_tokens(encoded: DataFrame, folder: str, end_id: int | None = None) ->
             before = int(ends[-1]) if len(n) else before
 
     id_type = dict(encoded.dtypes)["doc_id"]
-    # Coded after the sort, since the sort by ranges reads its input twice.
-    ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Ranked after the sort, since the sort by ranges reads its input twice.
+    documents = staged.filter("id IS NULL").select("doc_id", "n_tokens", "control", "data")
+    ordered = documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     coded = ordered.mapInArrow(code, f"doc_id {id_type}, n_tokens bigint, control binary, data binary, file int, place bigint")
     spark = encoded.sparkSession
     coded.write.option("compression", "none").parquet(f"{folder}/documents")
