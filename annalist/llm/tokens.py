@@ -19,38 +19,77 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from annalist.llm.common import bounded_batches, stage
+from annalist.llm.common import bounded_batches, byte_columns, stage
 
 #: Byte lengths of the four ids that a control byte stands for.
 LENGTHS = np.array([[1 + (c >> 2 * n & 3) for n in range(4)] for c in range(256)], dtype=np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
-#: Columns of documents packed by id, together with counts of ids.
-COUNTED = ["doc_id", "n_tokens", "control", "data", "id", "n"]
+#: Columns of documents and of counts of ids.
+COUNTED = ["doc_id", "n_tokens", "ids", "id", "n"]
 
 
-def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit numbers."""
-    ranks = ranks.astype("<u4")
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = extra
-    control = padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
-    keep = np.arange(4) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+def binary_column(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column whose values of these sizes in bytes stand one after another in ``raw``."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw).view(np.uint8))])
 
 
-def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The numbers back: lengths by table, then all bytes gathered at once."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    ends = np.cumsum(lengths, dtype=np.int64)
-    starts = ends - lengths
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+def control_places(n: np.ndarray) -> np.ndarray:
+    """Where the two control bits of each number are, counted in numbers: each document begins a control byte."""
+    quads = -(-n // 4)
+    return np.arange(n.sum()) + np.repeat(4 * (np.cumsum(quads) - quads) - np.cumsum(n) + n, n)
+
+
+def pack_column(ranks: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control bytes and data bytes of documents with ``n`` unsigned 32-bit numbers each, which stand one after another."""
+    ranks = ranks.astype("<u4")
+    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    quads = -(-n // 4)
+    padded = np.zeros(4 * quads.sum(), dtype=np.uint8)
+    padded[control_places(n)] = extra
+    control = padded[::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    ends = np.concatenate([[0], np.cumsum(extra + 1, dtype=np.int64)])
+    return binary_column(control, quads), binary_column(data, np.diff(ends[np.concatenate([[0], np.cumsum(n)])]))
+
+
+def unpack_column(control: pa.Array, data: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The numbers of all documents back: lengths by table, then all bytes gathered at once."""
+    lengths = LENGTHS[byte_columns(control)[0]].ravel()[control_places(n)]
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    raw = np.concatenate([byte_columns(data)[0], np.zeros(3, np.uint8)])
     wide = raw[starts].astype(np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(lengths.max(initial=1))):
         wide |= raw[starts + k].astype(np.uint32) << np.uint32(8 * k)
     return wide & MASKS[lengths]
 
 
+def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of the numbers of one document."""
+    control, data = pack_column(ranks, np.array([len(ranks)]))
+    return control[0].as_py(), data[0].as_py()
+
+
+def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The numbers of one document back."""
+    return unpack_column(pa.array([control], pa.binary()), pa.array([data], pa.binary()), np.array([n]))
+
+
+def narrowed(ids: np.ndarray) -> np.ndarray:
+    """Ids in two bytes each where all of them fit, else in four."""
+    return ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4")
+
+
+def widened(column: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The ids of all documents of a column of narrowed ones; parts may differ in width."""
+    raw, offsets = byte_columns(column)
+    sizes = np.diff(offsets)
+    if (sizes == 2 * n).all():
+        return np.frombuffer(raw.tobytes(), "<u2")
+    parts = [raw[a : a + s].tobytes() for a, s in zip(offsets, sizes)]
+    return np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * m else "<u4").astype("<u4") for x, m in zip(parts, n)])
+
+
 def frequency_order(counts: DataFrame) -> np.ndarray:
     """All ids that occur (``id``, ``n``, added up per id), most frequent first, ties by id. Its size is bounded by the vocabulary."""
     rows = counts.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").select("id").toArrow()
@@ -58,37 +97,31 @@ def frequency_order(counts: DataFrame) -> np.ndarray:
 
 
 def counted(encoded: DataFrame, end_id: int | None) -> DataFrame:
-    """The documents with their ids, closed by ``end_id`` and packed, and after those of a task the counts of its ids, in one pass.
+    """The documents with narrowed ids, closed by ``end_id``, and after those of a task the counts of its ids, in one pass.
 
-    The rows of counts have ``id`` and ``n``. So the ids are never kept four bytes wide, and counting them reads nothing again.
+    The rows of counts have ``id`` and ``n``. So the ids are not kept four bytes wide, and counting them reads nothing again.
     """
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    id_field = encoded.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kind = np.zeros(0, dtype=np.int64), None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            ids = [np.frombuffer((x.as_py() or b"") + tail, "<u4") for x in batch.column("ids")]
-            one = np.bincount(np.concatenate([*ids, np.zeros(0, "<u4")]), minlength=len(total))
+            raw, offsets = byte_columns(batch.column("ids").cast(pa.binary()).fill_null(b""))
+            ids, ends = np.frombuffer(raw.tobytes(), "<u4"), offsets[1:] // 4
+            n = np.diff(offsets) // 4
+            if end_id is not None:
+                ids, n = np.insert(ids, ends, end_id), n + 1
+            one = np.bincount(ids, minlength=len(total))
             one[: len(total)] += total
-            total = one
-            packed = [pack_ranks(x) for x in ids]
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in packed], pa.binary()),
-                    pa.array([d for _, d in packed], pa.binary()), none, none,
-                ],
-                names=COUNTED,
-            )
+            total, ids = one, narrowed(ids)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), binary_column(ids, n * ids.itemsize), none, none], names=COUNTED)
         at = np.nonzero(total)[0]
         if len(at):
-            none = pa.nulls(len(at), pa.binary())
-            columns = [pa.nulls(len(at), kind), pa.nulls(len(at), pa.int64()), none, none, pa.array(at, pa.int64()), pa.array(total[at], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=COUNTED)
+            nulls = [pa.nulls(len(at), t) for t in (kind, pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=COUNTED)
 
-    types = [id_field.dataType, LongType(), BinaryType(), BinaryType(), LongType(), LongType()]
+    types = [encoded.schema["doc_id"].dataType, LongType(), BinaryType(), LongType(), LongType()]
     return encoded.select("doc_id", "ids").mapInArrow(run, StructType([StructField(c, t) for c, t in zip(COUNTED, types)]))
 
 
@@ -109,14 +142,12 @@ def write_tokens(encoded: DataFrame, folder: str, end_id: int | None = None) ->
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, file = 0, TaskContext.get().partitionId()
         for batch in batches:
-            parts = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")))
-            coded = [pack_ranks(rank_of[unpack_ranks(c, d, n)]) if n else (b"", b"") for c, d, n in parts]
             n = batch.column("n_tokens").to_numpy()
+            control, data = pack_column(rank_of[widened(batch.column("ids"), n)], n)
             ends = before + np.cumsum(n)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n),
-                    "control": pa.array([c for c, _ in coded], pa.binary()), "data": pa.array([d for _, d in coded], pa.binary()),
+                    "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n), "control": control, "data": data,
                     "file": pa.array(np.full(len(n), file, np.int32)), "place": pa.array(ends - n),
                 }
             )
@@ -124,7 +155,7 @@ def write_tokens(encoded: DataFrame, folder: str, end_id: int | None = None) ->
 
     id_type = dict(encoded.dtypes)["doc_id"]
     # Ranked after the sort, since the sort by ranges reads its input twice.
-    documents = staged.filter("id IS NULL").select("doc_id", "n_tokens", "control", "data")
+    documents = staged.filter("id IS NULL").select("doc_id", "n_tokens", "ids")
     ordered = documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     coded = ordered.mapInArrow(code, f"doc_id {id_type}, n_tokens bigint, control binary, data binary, file int, place bigint")
     spark = encoded.sparkSession
@@ -147,9 +178,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")))
-            ids = [id_of[unpack_ranks(c, d, n)].tobytes() if n else b"" for c, d, n in parts]
-            yield batch.drop_columns(["control", "data"]).append_column("ids", pa.array(ids, pa.binary()))
+            n = batch.column("n_tokens").to_numpy()
+            ids = id_of[unpack_column(batch.column("control"), batch.column("data"), n)]
+            yield batch.drop_columns(["control", "data"]).append_column("ids", binary_column(ids, 4 * n))
 
     id_type = dict(rows.dtypes)["doc_id"]
     placed = rows.select("doc_id", "n_tokens", "control", "data", "file", "place").mapInArrow(

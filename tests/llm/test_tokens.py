@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -56,6 +57,21 @@ def test_ranks_round_trip():
         assert tokens.unpack_ranks(control, data, len(numbers)).tolist() == numbers
 
 
+def test_columns_of_ranks_and_ids():
+    rng = np.random.default_rng(5)
+    n = np.array([0, 3, 4, 0, 1, 250, 0])
+    for top in (200, 60_000, 1 << 24, 1 << 32):
+        numbers = rng.integers(0, top, n.sum(), dtype=np.uint64).astype(np.uint32)
+        control, data = tokens.pack_column(numbers, n)
+        assert (tokens.unpack_column(control, data, n) == numbers).all()
+        assert (tokens.unpack_column(control.slice(2), data.slice(2), n[2:]) == numbers[3:]).all()
+        small = tokens.narrowed(numbers)
+        assert small.itemsize == (2 if top <= 1 << 16 else 4)
+        assert (tokens.widened(tokens.binary_column(small, n * small.itemsize), n) == numbers).all()
+    mixed = pa.array([np.array([1, 2], "<u2").tobytes(), b"", np.array([70_000], "<u4").tobytes()], pa.binary())
+    assert tokens.widened(mixed, np.array([2, 0, 1])).tolist() == [1, 2, 70_000]
+
+
 def test_token_files(spark, rows, folder):
     tokens.write_tokens(bpe.encode(rows.filter("doc_id IS NULL OR doc_id <> 7"), WORD, inside=False), f"{folder}/t", end_id=2)
     got = {r.doc_id: (r.start, bytes(r.ids)) for r in tokens.read_tokens(spark, f"{folder}/t").collect()}
