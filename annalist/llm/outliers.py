@@ -1,15 +1,17 @@
 """Quality by robust multivariate outliers.
 
 Each text becomes a vector of transformed statistics. For every language and
-source a minimum-covariance-determinant estimate describes its bulk: starting
-from medians and quartile ranges, concentration steps keep the share ``BULK`` of rows that lies nearest
-and estimate mean and covariance anew from those. Rows far
+source a minimum-covariance-determinant estimate describes its bulk. Three starts
+are taken from medians and quartile ranges: no correlations, those of hyperbolic tangents, and those of
+spatial signs. From each, concentration steps keep the share ``BULK`` of rows that lies nearest
+and estimate mean and covariance anew from those; the one with the least determinant is kept. Rows far
 from the bulk by Mahalanobis distance are rejected. Groups with fewer than
 ``LEAST`` rows are judged by their language as a whole, and too small languages by all rows.
 
 A step is one aggregation by group and distance class: sums and cross products
 are combined on the map side, so a group may hold any share of the rows. The
-classes give the exact count of rows within any of their bounds, without a sort.
+classes give the exact count of rows within any of their bounds, without a sort; the class in which the
+share is reached counts with the part that is still wanted, so ties weigh alike and the share is met.
 """
 
 from __future__ import annotations
@@ -128,9 +130,10 @@ FLOOR = np.diag(np.square(list(FEATURES.values())))
 
 
 def first_estimates(keyed: DataFrame) -> DataFrame:
-    """Medians and scaled quartile ranges of each group, from its counts by class."""
+    """Medians and scaled quartile ranges of each group, from its counts by class; the start without correlations."""
     classes = F.array([F.floor(F.col(f"x{k}") * GRID).cast("int") for k in range(P)])
     counts = keyed.select("key", F.posexplode(classes).alias("feature", "class")).groupBy("key", "feature", "class").agg(F.count("*").alias("n"))
+    counts = stage(counts, "classes")  # dealt by group, feature and class before a window takes whole features
     up = Window.partitionBy("key", "feature").orderBy("class")
     total = F.sum("n").over(Window.partitionBy("key", "feature"))
     ranked = counts.withColumn("share", F.sum("n").over(up) / total)
@@ -148,17 +151,46 @@ def first_estimates(keyed: DataFrame) -> DataFrame:
     return quartiles.mapInPandas(start, f"key string, {PARAMETERS}")
 
 
+def starts(keyed: DataFrame, first: DataFrame) -> DataFrame:
+    """Three starts for each group: ``key, start`` and the parameters."""
+    near = keyed.join(first, "key")
+    z = [(F.col(f"x{k}") - F.col(f"m{k}")) * F.col(f"w{k}_{k}") for k in range(P)]
+    norm = F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0]))
+    near = near.select("key", *[F.tanh(v).alias(f"t{k}") for k, v in enumerate(z)], *[F.when(norm > 0, v / norm).otherwise(0.0).alias(f"u{k}") for k, v in enumerate(z)])
+    sums = near.groupBy("key").agg(*[F.sum(F.col(f"{c}{i}") * F.col(f"{c}{j}")).alias(f"{c}{i}_{j}") for c in "tu" for i, j in PAIRS])
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                means, scale = np.array([r[f"m{k}"] for k in range(P)]), np.array([1 / r[f"w{k}_{k}"] for k in range(P)])
+                rows.append({"key": r["key"], "start": 0} | parameters(means, np.diag(scale * scale)))
+                for start, c in enumerate("tu", 1):
+                    product = np.eye(P)
+                    for i, j in PAIRS:
+                        product[i, j] = product[j, i] = r[f"{c}{i}_{j}"]
+                    size = np.sqrt(np.where(np.diag(product) > 0, np.diag(product), 1.0))
+                    rows.append({"key": r["key"], "start": start} | parameters(means, product / np.outer(size, size) * np.outer(scale, scale) + FLOOR))
+            yield pd.DataFrame(rows, columns=["key", "start", *[p.split()[0] for p in PARAMETERS.split(", ")]])
+
+    return first.join(sums, "key").mapInPandas(spread, f"key string, start int, {PARAMETERS}")
+
+
 def concentrated(keyed: DataFrame, estimates: DataFrame, bulk: float | None) -> DataFrame:
-    """One step: estimates from the nearest share of each group, or, if that is None, from all rows not far off."""
+    """One step of each group and start: estimates from the nearest share, or, if that is None, from all rows not far off.
+
+    ``logdet`` is the logarithm of the determinant of the new covariance.
+    """
     near = keyed.join(estimates, "key").withColumn("class", distance_class(distance()))
-    sums = [F.count("*").alias("n")] + [F.sum(f"x{k}").alias(f"s{k}") for k in range(P)]
+    sums = [F.count("*").cast("double").alias("n")] + [F.sum(f"x{k}").alias(f"s{k}") for k in range(P)]
     sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]
-    by_class = near.groupBy("key", "class").agg(*sums)
-    share = F.sum("n").over(Window.partitionBy("key").orderBy("class")) / F.sum("n").over(Window.partitionBy("key"))
-    before = share - F.col("n") / F.sum("n").over(Window.partitionBy("key"))
-    ranked = by_class.withColumn("before", before)
-    limit = F.col("before") < bulk if bulk is not None else F.col("class") <= int(math.log2(chi_square(2.0)) * FINE)
-    kept = ranked.groupBy("key").agg(*[F.sum(F.when(limit, F.col(c))).alias(c) for c in by_class.columns[2:]])
+    # Staged, so that partial sums are dealt by class too, and a window takes only the few classes of a group.
+    by_class = stage(near.groupBy("key", "start", "class").agg(*sums), "class-sums")
+    group = Window.partitionBy("key", "start")
+    whole = F.sum("n").over(group)
+    before = F.sum("n").over(group.orderBy("class")) - F.col("n")
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (bulk * whole - before) / F.col("n"))) if bulk is not None else (F.col("class") <= int(math.log2(chi_square(2.0)) * FINE)).cast("double")
+    kept = by_class.withColumn("weight", weight).groupBy("key", "start").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in by_class.columns[3:]])
 
     def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -169,18 +201,28 @@ def concentrated(keyed: DataFrame, estimates: DataFrame, bulk: float | None) ->
                 cov = np.zeros((P, P))
                 for i, j in PAIRS:
                     cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / n - means[i] * means[j]
-                cov *= consistency(bulk) if bulk is not None else 1.0
-                rows.append({"key": r["key"]} | parameters(means, cov + FLOOR))
-            yield pd.DataFrame(rows, columns=["key", *[p.split()[0] for p in PARAMETERS.split(", ")]])
+                cov = cov * (consistency(bulk) if bulk is not None else 1.0) + FLOOR
+                rows.append({"key": r["key"], "start": r["start"], "logdet": float(np.linalg.slogdet(cov)[1])} | parameters(means, cov))
+            yield pd.DataFrame(rows, columns=["key", "start", "logdet", *[p.split()[0] for p in PARAMETERS.split(", ")]])
+
+    return kept.mapInPandas(estimate, f"key string, start int, logdet double, {PARAMETERS}")
+
 
-    return kept.mapInPandas(estimate, f"key string, {PARAMETERS}")
+def bulks(keyed: DataFrame) -> DataFrame:
+    """Mean and covariance of the bulk of each ``key``: the start of least determinant, then once more from all rows not far off."""
+    estimates = stage(starts(keyed, stage(first_estimates(keyed), "medians")), "estimates")
+    for _ in range(STEPS):
+        estimates = stage(concentrated(keyed, estimates, BULK), "estimates")
+    least = estimates.groupBy("key").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    return stage(concentrated(keyed, estimates.join(least, ["key", "start"]), None), "estimates")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The statistics of each row, ``base_failed``, ``distance2`` and ``kept``.
 
     ``doc_id``, ``lang``, ``source`` and ``text`` are read. A null text has no words; a null language or source is a group
-    of its own. Rows that fail the base rule take no part in the estimates and have no distance.
+    of its own. Rows that fail the base rule take no part in the estimates and have no distance. A text of any length is measured whole;
+    repeated rows count each, and other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     rows = stage(measured(docs), "statistics")
@@ -192,10 +234,7 @@ def judge(docs: DataFrame) -> DataFrame:
     enough = stage(sizes.filter((F.col("size") >= LEAST) | (F.col("key") == "all")), "sizes")
     values = [f"x{k}" for k in range(P)]
     keyed = good.select(level, *values).join(enough.select("key"), "key")
-    estimates = stage(first_estimates(keyed), "estimates")
-    for _ in range(STEPS):
-        estimates = stage(concentrated(keyed, estimates, BULK), "estimates")
-    estimates = stage(concentrated(keyed, estimates, None), "estimates")
+    estimates = bulks(keyed)
     # The first level of a row that has an estimate.
     own, wide = (estimates.select("key").withColumnRenamed("key", k) for k in ("own", "wide"))
     leveled = rows.withColumn("own", names[0]).withColumn("wide", names[1])

@@ -109,6 +109,54 @@ def test_outliers_separate_junk(spark):
     assert outliers.judge(df.limit(0)).count() == 0
 
 
+def plain_bulk(x, rng):
+    """Least determinant over many random starts, by sorting, and the estimate from all rows not far off."""
+    h, best = int(outliers.BULK * len(x)), (np.inf,)
+    far = lambda m, c: np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
+    for _ in range(40):
+        some = x[rng.choice(len(x), 12, replace=False)]
+        m, c = some.mean(0), np.cov(some.T, bias=True) + outliers.FLOOR
+        for _ in range(20):
+            near = x[np.argsort(far(m, c))[:h]]
+            m, c = near.mean(0), np.cov(near.T, bias=True) * outliers.consistency(outliers.BULK) + outliers.FLOOR
+        best = min(best, (np.linalg.slogdet(c)[1], m.tolist(), c.tolist()))
+    logdet, m, c = best
+    near = x[far(np.array(m), np.array(c)) <= outliers.chi_square(2.0)]
+    return logdet, far(near.mean(0), np.cov(near.T, bias=True) + outliers.FLOOR)
+
+
+def test_least_determinant(spark):
+    """Correlated groups with outliers that no single statistic shows, and one that holds the same row many times."""
+    rng = np.random.default_rng(6)
+    mix = rng.normal(size=(outliers.P, outliers.P)) * np.array(list(outliers.FEATURES.values()))[:, None] * 4
+    good = rng.normal(size=(900, outliers.P)) @ mix.T
+    strange = 0.2 * rng.normal(size=(250, outliers.P)) + (rng.choice([-1, 1], outliers.P) * good.std(0) * 1.5)
+    groups = {"odd": np.vstack([good, strange]), "plain": good[:300], "copies": np.vstack([good[:100], np.repeat(good[:1], 500, 0)])}
+    rows = [(key, n, *map(float, v)) for key, x in groups.items() for n, v in enumerate(x)]
+    keyed = spark.createDataFrame(rows, "key string, n long, " + ", ".join(f"x{k} double" for k in range(outliers.P)))
+    found = outliers.bulks(keyed.drop("n"))
+    got = keyed.join(found, "key").select("key", "n", "start", outliers.distance().alias("d")).collect()
+    assert found.count() == 3
+    for key in ("odd", "plain"):
+        _, want = plain_bulk(groups[key], rng)
+        mine = np.array([r.d for r in sorted((r for r in got if r.key == key), key=lambda r: r.n)])
+        strict = outliers.chi_square(outliers.STRICT)
+        assert np.median(abs(mine / want - 1)) < 0.1
+        assert ((mine <= strict) == (want <= strict)).mean() > 0.995
+    assert all(math.isfinite(r.d) for r in got)
+
+
+def test_share_is_met_with_ties(spark):
+    """A class that is reached in part counts in part, so equal rows weigh alike whatever their order."""
+    x = np.zeros((10, outliers.P))
+    x[5:, 0] = 3.0
+    keyed = spark.createDataFrame([("a", *map(float, v)) for v in x], "key string, " + ", ".join(f"x{k} double" for k in range(outliers.P)))
+    first = outliers.parameters(np.zeros(outliers.P), outliers.FLOOR)
+    start = spark.createDataFrame([("a", 0, *map(float, first.values()))], f"key string, start int, {outliers.PARAMETERS}")
+    r = outliers.concentrated(keyed, start, 0.7).first()
+    assert r.m0 == pytest.approx(2 * 3.0 / 7)
+
+
 def test_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     held = langid.held_out(docs["doc_id"])
