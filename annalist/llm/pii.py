@@ -201,6 +201,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Trees:
             draws, labels, rows = [], [], []
             for draw, text in zip(batch.column("draw").to_pylist(), batch.column("text").to_pylist()):
                 base, wide = candidates(text)
+                base = set(base)
                 for start, kind, end in wide:
                     labels.append(bool(ASSIGNED.search(text[max(0, start - 24) : start])) if kind == 4 else (start, kind, end) in base)
                     rows.append(describe(text, kind, start, end))
@@ -232,12 +233,17 @@ def select(text: str, trees: Trees) -> list[tuple[int, int, int, bool]]:
     """
     base, wide = candidates(text)
     chosen = [(s, k, e, True) for s, k, e in base]
-    others = [c for c in wide if c not in set(base)]
+    known = set(base)
+    others = [c for c in wide if c not in known]
     if others and trees.trees:
+        covered = bytearray(len(text))
+        for s, _, e in base:
+            covered[s:e] = b"\1" * (e - s)
         p = trees.probability(np.array([describe(text, k, s, e) for s, k, e in others]))
         for q, (s, k, e) in sorted(zip(p, others), key=lambda r: (-r[0], r[1])):
-            if q >= trees.thresholds[k] and not any(s < e2 and s2 < e for s2, _, e2, _ in chosen):
+            if q >= trees.thresholds[k] and covered.find(1, s, e) < 0:
                 chosen.append((s, k, e, False))
+                covered[s:e] = b"\1" * (e - s)
     return sorted(chosen)
 
 

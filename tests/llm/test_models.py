@@ -228,6 +228,33 @@ def test_base_spans():
     assert len(pii.base_spans(long)) == 0
 
 
+class AnyTrees:
+    """Accepts every candidate, in an order given by its features."""
+
+    trees, thresholds = [None], [0.0] * len(pii.KINDS)
+
+    def probability(self, x):
+        return np.sin(x.sum(axis=1)) ** 2
+
+
+def test_selection_leaves_overlaps_out():
+    import random
+
+    rng = random.Random(7)
+    parts = ["a.b@c.de", " call +1 555 010 99 99 ", " 10.0.0.1 ", "joe at mail dot org ", "4111 1111 1111 1111", "555-0199 ", "key=Zx81kQp02LmN7 ", "x ", "1 2 3 4 5 6 7 8 9 0 "]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(20)))
+        base, wide = pii.candidates(text)
+        want = [(s, k, e, True) for s, k, e in base]
+        others = [c for c in wide if c not in base]
+        if others:
+            p = AnyTrees().probability(np.array([pii.describe(text, k, s, e) for s, k, e in others]))
+            for _, (s, k, e) in sorted(zip(p, others), key=lambda r: (-r[0], r[1])):
+                if not any(s < e2 and s2 < e for s2, _, e2, _ in want):
+                    want.append((s, k, e, False))
+        assert pii.select(text, AnyTrees()) == sorted(want)
+
+
 def test_personal_data(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(None, "mail a.b@c.de now"), (-1, None), (-2, "")], "doc_id long, text string")
