@@ -9,9 +9,10 @@ that training never saw adds nothing; the deepest one seen ends the path.
 All the model needs of the corpus are the counts of ``DEPTH + 1`` byte grams. Texts
 are dealt into chunks of bounded size, and a chunk asks for its own different
 grams and words only, so counts travel once per chunk and never as a whole: they
-are summed per gram, turned into probabilities where all contexts with the same
-last two bytes meet, and joined back to the chunks that asked. Only depths 0
-and 1 (a fixed number of nodes) pass through the driver.
+are summed per gram, cut into parts that hold whole contexts of three bytes,
+turned into probabilities there, and joined back to the chunks that asked. A part
+sums up what it means for depth 2; depths 0 to 2, whose number of nodes the
+alphabet bounds, are mixed from these sums on the driver and broadcast.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import bounded_batches, byte_columns, slices, stage
 
-#: Preceding bytes of the deepest context.
-DEPTH = 5
+#: Preceding bytes of the deepest context, and of those that parts of the grams hold whole.
+DEPTH, SPLIT = 5, 3
+#: Bits of a gram beside such a context.
+OPEN = 8 * (DEPTH + 1 - SPLIT)
 #: Bytes of text in a chunk, and grams that a task turns into probabilities at once.
 CHUNK, AT_ONCE = 40 << 20, 400_000
 #: The end of a text, a byte that UTF-8 never uses. It also stands before every text.
@@ -51,102 +54,145 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
+#: Logarithms of the gamma function at n + 1/2 and n + 1 for the counts that nearly all nodes have.
+SMALL = 1 << 14
+AT_HALVES, AT_ONES = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
+def log_gamma_of(counts: np.ndarray, table: np.ndarray, add: float) -> np.ndarray:
+    out = table[np.minimum(counts, SMALL - 1)]
+    large = counts >= SMALL
+    if large.any():
+        out[large] = log_gamma(counts[large] + add)
+    return out
+
+
 def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability of a sequence with so many zeros and ones by the KT estimate."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
-
-
-class Level:
-    """Nodes of one depth for one of the eight decisions of a byte, and where each gram belongs."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, bit: int):
-        x = grams & np.uint64(0xFF)
-        context = grams >> np.uint64(8) & np.uint64((1 << 8 * depth) - 1)
-        node = context << np.uint64(8) | np.uint64(1 << bit) | x >> np.uint64(8 - bit)
-        self.keys, self.of = np.unique(node, return_inverse=True)
-        self.bit = (x >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
-        self.ones = np.bincount(self.of, counts * self.bit, len(self.keys))
-        self.zeros = np.bincount(self.of, counts * (1 - self.bit), len(self.keys))
-        self.estimate = kt(self.zeros, self.ones)
-        self.weighted = self.estimate
-
-    def mix(self, child_keys: np.ndarray, child_weighted: np.ndarray) -> None:
-        """The weighted probability, of half the own estimate and half the children's product."""
-        width = np.uint64(8)
-        parent = (child_keys >> width & np.uint64((1 << 8 * self.depth_bytes) - 1)) << width | child_keys & np.uint64(0xFF)
-        at = np.searchsorted(self.keys, parent)
-        self.set_children(np.bincount(at, child_weighted, len(self.keys)))
-
-    def set_children(self, product: np.ndarray) -> None:
+    return log_gamma_of(zeros, AT_HALVES, 0.5) + log_gamma_of(ones, AT_HALVES, 0.5) - log_gamma_of(zeros + ones, AT_ONES, 1.0) - math.log(math.pi)
+
+
+def shortened(keys: np.ndarray) -> np.ndarray:
+    """Keys of a depth, or of its nodes, without the farthest byte of the context."""
+    return keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(0xFF)
+
+
+class Nodes:
+    """Nodes of one depth for one of the eight decisions of a byte, and which of them each key belongs to."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bit: int):
+        path = keys >> np.uint64(8 - bit)
+        self.first = np.flatnonzero(np.concatenate([np.ones(min(len(path), 1), dtype=bool), path[1:] != path[:-1]]))
+        self.of = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(path))))
+        self.one = (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
+        self.ones = np.add.reduceat(counts * self.one, self.first)
+        self.total = np.add.reduceat(counts, self.first)
+        own = keys[self.first]
+        self.keys = own >> np.uint64(8) << np.uint64(8) | np.uint64(1 << bit) | (own & np.uint64(0xFF)) >> np.uint64(8 - bit)
+        self.estimate = kt(self.total - self.ones, self.ones)
+        self.weighted, self.share = self.estimate, np.ones(len(own))
+
+    def mix(self, product: np.ndarray) -> None:
+        """Weigh half the own estimate and half the product of the children's weighted probabilities."""
         self.weighted = np.logaddexp(self.estimate, product) - LOG2
+        self.share = np.exp(np.minimum(self.estimate - LOG2 - self.weighted, 0.0))
+
+    def predict(self, rows: np.ndarray, deeper: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of the bits of some keys from here, and whether training saw their contexts."""
+        node = self.of[rows]
+        total, ones = self.total[node], self.ones[node]
+        own = (np.where(self.one[rows], ones, total - ones) + 0.5) / (total + 1.0)
+        share = self.share[node]
+        return np.where(seen, share * own + (1 - share) * deeper, own), total > 0
 
-    depth_bytes = 0
-
-    def predict(self, deeper: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each gram's bit from here, and whether training saw this context."""
-        total = self.zeros + self.ones
-        hit = np.where(self.bit == 1, self.ones[self.of], self.zeros[self.of])
-        own = (hit + 0.5) / (total[self.of] + 1.0)
-        share = np.exp(np.minimum(self.estimate - LOG2 - self.weighted, 0.0))[self.of]
-        return np.where(seen, share * own + (1 - share) * deeper, own), total[self.of] > 0
-
-
-def levels(grams: np.ndarray, counts: np.ndarray, bit: int, least: int) -> list[Level]:
-    """Levels ``least`` to DEPTH of one decision, mixed from the deepest up."""
-    out: list[Level] = []
-    for depth in range(DEPTH, least - 1, -1):
-        level = Level(grams, counts, depth, bit)
-        level.depth_bytes = depth
-        if out:
-            level.mix(out[-1].keys, out[-1].weighted)
-        out.append(level)
-    return out[::-1]
-
-
-class Top:
-    """Depths 0 and 1: at most 257 contexts of 255 nodes each."""
-
-    def __init__(self, counts: np.ndarray, products: np.ndarray):
-        """``counts`` by last byte and symbol; ``products`` sums of log weighted probabilities of depth 2 by last byte and node."""
-        self.ones, self.zeros = np.zeros((257, 256)), np.zeros((257, 256))
-        by = np.concatenate([counts, counts.sum(axis=0, keepdims=True)])
-        x = np.arange(256)
+
+class Depths:
+    """Some neighbouring depths of the tree, the deepest first.
+
+    A key of a depth is a context, the byte next to its end first, and then the byte that follows. Keys are different and sorted,
+    so the nodes of each decision are runs of keys, and one sort of a depth serves all eight.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depths: int):
+        self.tables, self.up = [(keys, counts)], []
+        for _ in range(depths - 1):
+            self.tables.append(self.shorter())
+
+    def shorter(self) -> tuple[np.ndarray, np.ndarray]:
+        """The next depth; ``up`` leads there from the keys of the last."""
+        keys, counts = self.tables[-1]
+        short, up = np.unique(shortened(keys), return_inverse=True)
+        self.up.append(up)
+        return short, np.bincount(up, counts, len(short)).astype(np.int64)
+
+    def nodes(self, bit: int, products: tuple[np.ndarray, np.ndarray] | None = None) -> list[Nodes]:
+        """Nodes of each depth, mixed from the deepest up; ``products`` are those of its children, by sorted key of the node."""
+        out: list[Nodes] = []
+        for depth, (keys, counts) in enumerate(self.tables):
+            nodes = Nodes(keys, counts, bit)
+            if out:
+                parent = nodes.of[self.up[depth - 1][out[-1].first]]
+                nodes.mix(np.bincount(parent, out[-1].weighted, len(nodes.first)))
+            elif products:
+                nodes.mix(products[1][np.searchsorted(products[0], nodes.keys)])
+            out.append(nodes)
+        return out
+
+    def predict(self, nodes: list[Nodes], rows: np.ndarray, p: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follow some keys of the deepest table up."""
+        for depth, level in enumerate(nodes):
+            if depth:
+                rows = self.up[depth - 1][rows]
+            p, seen = level.predict(rows, p, seen)
+        return p, seen
+
+
+class Part(Depths):
+    """Depths from SPLIT on of grams that hold all of some contexts of SPLIT bytes."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        super().__init__(grams, counts, DEPTH - SPLIT + 1)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """What depth SPLIT - 1 needs: even numbers are keys with their counts, odd ones its nodes with their children's products."""
+        keys, counts = self.shorter()
+        numbers, values = [keys << np.uint64(1)], [counts.astype(np.float64)]
         for bit in range(8):
-            node = 1 << bit | x >> (8 - bit)
-            one = (x >> (7 - bit) & 1).astype(bool)
-            for to, which in ((self.ones, one), (self.zeros, ~one)):
-                for c in range(257):
-                    to[c] += np.bincount(node[which], by[c][which], 256)
-        estimate = kt(self.zeros, self.ones)
-        first = np.logaddexp(estimate[:256], products) - LOG2
-        root = np.logaddexp(estimate[256], first.sum(axis=0)) - LOG2
-        self.share = np.exp(np.minimum(estimate - LOG2 - np.concatenate([first, root[None]]), 0.0))
-
-    def predict(self, context: np.ndarray, node: np.ndarray, one: np.ndarray, deeper: np.ndarray, seen: np.ndarray):
-        total = self.ones[context, node] + self.zeros[context, node]
-        own = (np.where(one, self.ones[context, node], self.zeros[context, node]) + 0.5) / (total + 1.0)
-        share = self.share[context, node]
-        return np.where(seen, share * own + (1 - share) * deeper, own), total > 0
+            last = self.nodes(bit)[-1]
+            node, of = np.unique(shortened(last.keys), return_inverse=True)
+            numbers.append(node << np.uint64(1) | np.uint64(1))
+            values.append(np.bincount(of, last.weighted, len(node)))
+        return np.concatenate(numbers), np.concatenate(values)
+
+    def log10(self, top: Top) -> np.ndarray:
+        """log10 probability of the last byte of each gram after the others."""
+        grams = self.tables[0][0]
+        shallow = np.searchsorted(top.tables[0][0], grams >> np.uint64(8 * (DEPTH + 2 - SPLIT)) << np.uint64(8) | grams & np.uint64(0xFF))
+        rows, out = np.arange(len(grams)), np.zeros(len(grams))
+        for bit in range(8):
+            p, seen = self.predict(self.nodes(bit), rows, np.zeros(len(grams)), np.zeros(len(grams), dtype=bool))
+            p, _ = top.predict(top.nodes(bit, top.products), shallow, p, seen)
+            out += np.log10(p)
+        return out
 
 
-def gram_probabilities(grams: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
-    """log10 probability of the last byte of each gram after the others; all grams of a last pair of bytes are given."""
-    x = (grams & np.uint64(0xFF)).astype(np.int64)
-    last = (grams >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64)
-    out = np.zeros(len(grams))
-    for bit in range(8):
-        p, seen = np.zeros(len(grams)), np.zeros(len(grams), dtype=bool)
-        for level in reversed(levels(grams, counts, bit, 2)):
-            p, seen = level.predict(p, seen)
-        node, one = 1 << bit | x >> (8 - bit), (x >> (7 - bit) & 1).astype(bool)
-        p, seen = top.predict(last, node, one, p, seen)
-        p, seen = top.predict(np.full_like(last, 256), node, one, p, seen)
-        out += np.log10(p)
-    return out
+class Top(Depths):
+    """Depths below SPLIT, from the sums of all parts. Lower-cased UTF-8 has fewer than 5 million keys of two bytes and a third."""
+
+    def __init__(self, numbers: np.ndarray, values: np.ndarray):
+        order = np.argsort(numbers)
+        numbers, values = numbers[order], values[order]
+        is_node = numbers & np.uint64(1) == 1
+        keys = numbers >> np.uint64(1)
+        super().__init__(keys[~is_node], values[~is_node].astype(np.int64), SPLIT)
+        self.products = keys[is_node], values[is_node]
 
 
 def grams_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The grams at all places of some texts that are one after another, each followed by the end symbol."""
+    """The grams at all places of some texts that are one after another, each followed by the end symbol.
+
+    The byte of the place is the lowest, the one before it the highest, so contexts with a common end sort together.
+    """
     sizes = np.diff(offsets) + 1 + DEPTH
     at = np.cumsum(sizes) - sizes
     padded = np.full(int(sizes.sum()), END[0], dtype=np.uint64)
@@ -156,9 +202,9 @@ def grams_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for k in range(DEPTH):
         place[at + k] = False
     place = np.nonzero(place)[0]
-    grams = np.zeros(len(place), dtype=np.uint64)
-    for k in range(DEPTH + 1):
-        grams |= padded[place - k] << np.uint64(8 * k)
+    grams = padded[place]
+    for k in range(1, DEPTH + 1):
+        grams |= padded[place - k] << np.uint64(8 * (DEPTH + 1 - k))
     return grams
 
 
@@ -167,22 +213,32 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return unique, np.bincount(of, np.concatenate(counts), len(unique)).astype(np.int64)
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grams and counts in parts of about ``least`` that hold whole groups of the last two context bytes (input sorted by them)."""
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted grams and their counts in parts of about AT_ONCE that hold whole contexts of SPLIT bytes."""
+
+    def part(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"grams": pa.array([grams.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
     held_grams, held_counts, n = [], [], 0
     for batch in batches:
-        held_grams.append(batch.column("gram").to_numpy().view(np.uint64))
+        held_grams.append(batch.column("gram").to_numpy())
         held_counts.append(batch.column("n").to_numpy())
         n += batch.num_rows
-        if n >= least:
+        if n >= AT_ONCE:
             grams, counts = np.concatenate(held_grams), np.concatenate(held_counts)
-            pair = grams >> np.uint64(8) & np.uint64(0xFFFF)
-            open_ = pair == pair[-1]
-            if not open_.all():
-                yield grams[~open_], counts[~open_]
-            held_grams, held_counts, n = [grams[open_]], [counts[open_]], 0 if not open_.all() else n
+            # The context that the last gram is in may go on.
+            cut = int(np.searchsorted(grams, grams[-1] >> OPEN << OPEN))
+            if cut:
+                yield part(grams[:cut], counts[:cut])
+            held_grams, held_counts, n = [grams[cut:]], [counts[cut:]], 0
     if held_grams and len(grams := np.concatenate(held_grams)):
-        yield grams, np.concatenate(held_counts)
+        yield part(grams, np.concatenate(held_counts))
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    for batch in batches:
+        for grams, counts in zip(batch.column("grams"), batch.column("counts")):
+            yield Part(np.frombuffer(grams.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<i8"))
 
 
 def unpacked(column: pa.Array) -> pa.Array:
@@ -298,34 +354,23 @@ def score(docs: DataFrame) -> DataFrame:
 
     gram_pairs = stage(dealt.select("held", "chunk", "text").mapInArrow(count_grams, "gram bigint, chunk bigint, n bigint"), "grams")
     word_pairs = stage(dealt.select("held", "chunk", "text").mapInArrow(count_words, "word binary, chunk bigint, n bigint"), "words")
-    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     grams = stage(gram_pairs.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
-    by_pair = grams.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair").select("gram", "n")
+    by_context = grams.repartition(F.shiftright("gram", int(OPEN))).sortWithinPartitions("gram")
+    whole = stage(by_context.mapInArrow(parts, "grams binary, counts binary"), "gram-parts")
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, products = np.zeros((256, 256)), np.zeros((256, 256))
-        for grams_, n in whole_keys(batches, AT_ONCE):
-            np.add.at(counts, ((grams_ >> np.uint64(8) & np.uint64(0xFF)).astype(int), (grams_ & np.uint64(0xFF)).astype(int)), n)
-            for bit in range(8):
-                second = levels(grams_, n, bit, 2)[0]
-                np.add.at(products, ((second.keys >> np.uint64(8) & np.uint64(0xFF)).astype(int), (second.keys & np.uint64(0xFF)).astype(int)), second.weighted)
-        last, symbol = np.nonzero((counts != 0) | (products != 0))
-        yield pa.RecordBatch.from_pydict(
-            {"last": pa.array(last), "symbol": pa.array(symbol), "n": pa.array(counts[last, symbol]), "product": pa.array(products[last, symbol])}
-        )
+        for part in opened(batches):
+            numbers, values = part.sums()
+            yield pa.RecordBatch.from_pydict({"number": pa.array(numbers.view(np.int64)), "value": pa.array(values)})
 
-    sums = by_pair.mapInArrow(sum_up, "last bigint, symbol bigint, n double, product double").groupBy("last", "symbol")
-    counts, products = np.zeros((256, 256)), np.zeros((256, 256))
-    for r in sums.agg(F.sum("n").alias("n"), F.sum("product").alias("product")).collect():  # 65,536 rows at most
-        counts[r["last"], r["symbol"]], products[r["last"], r["symbol"]] = r["n"], r["product"]
-    top = Top(counts, products)
+    sums = whole.mapInArrow(sum_up, "number bigint, value double").groupBy("number").agg(F.sum("value").alias("value")).toArrow()
+    top = spark.sparkContext.broadcast(Top(sums.column("number").to_numpy().astype(np.uint64), sums.column("value").to_numpy()))
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grams_, n in whole_keys(batches, AT_ONCE):
-            p = gram_probabilities(grams_, n, top)
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams_.view(np.int64)), "p": pa.array(p)})
+        for part in opened(batches):
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(part.tables[0][0].view(np.int64)), "p": pa.array(part.log10(top.value))})
 
-    gram_p = by_pair.mapInArrow(probabilities, "gram bigint, p double")
+    gram_p = whole.mapInArrow(probabilities, "gram bigint, p double")
     words = word_pairs.groupBy("word").agg(F.sum("n").alias("c"))
     n_all, v_all = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, True))).first()
     n_all, v_all = n_all or 0, v_all or 0
