@@ -5,19 +5,26 @@ is one row of a stored table: its documents, their lengths, its terms, and the
 postings of each term in document order. Queries come in blocks of bounded size.
 For a block, the document frequencies of its terms are summed over all shards
 first, so every shard scores with the same global statistics. In a shard, each
-term has the largest score it gives in each run of ``RUN`` documents. The sum of these over the
+term has the largest score it gives in each run of ``RUN`` documents where it occurs. The sum of these over the
 terms of a query bounds a run; runs are scored from the highest bound down, and those that
-cannot reach the k-th best score found so far are never opened. The best
-k of each shard are merged into the best k of all.
+cannot reach the k-th best score known so far are never opened. Scores of single postings are
+at hand, so within an opened run a pivot document is scored rather than bounded once more.
+
+Shards are searched in rounds, the first of about one shard and each next one of four times as many.
+The k-th best score of the rounds before is a floor for all shards of a round: they skip
+runs below it and return no document below it. So a query gets about ``3 k`` rows out of a round
+instead of ``k`` out of each shard. The best k of what is left are the best of all.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +33,39 @@ from annalist.session import scratch_path
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 K1, B = 1.2, 0.75
-#: Bytes of text in a shard, documents of a run, and terms (counted in each query) of a block of queries.
-SHARD, RUN, BLOCK = 24 << 20, 32, 1_000_000
+#: Bytes of text in a shard (and what a row counts beside its text), documents of a run, terms (counted in each query) of a block of queries.
+SHARD, ROW, RUN, BLOCK = 24 << 20, 256, 32, 1_000_000
+#: What a shard is stored as, and in which round from the last it is searched.
+STORED = "doc_ids binary, lengths binary, terms binary, sizes binary, postings binary, counts binary, level int"
 
 
 def index(docs: DataFrame) -> DataFrame:
     """One row per shard. Rows without a ``doc_id`` are not searched; a null text has no words."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size = Shard(), 0
+        shard, size, number = Shard(), 0, 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 shard.add(doc_id, text or b"")
-                size += len(text or b"")
+                size += len(text or b"") + ROW
                 if size >= SHARD:
-                    yield shard.row()
-                    shard, size = Shard(), 0
+                    yield shard.row(number)
+                    shard, size, number = Shard(), 0, number + 1
         if shard.ids:
-            yield shard.row()
+            yield shard.row(number)
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return stage(rows.mapInArrow(build, "doc_ids binary, lengths binary, terms binary, sizes binary, postings binary, counts binary"), "index")
+    path = scratch_path(spark, "index")
+    rows.mapInArrow(build, STORED).write.option("compression", "zstd").partitionBy("level").parquet(path)
+    return spark.read.schema(STORED).parquet(path)
+
+
+def level_of(partition: int, number: int) -> int:
+    """Three in four shards are of level 0, three in four of the others of level 1, and so on."""
+    drawn = crc32(f"{partition}:{number}".encode())
+    return (32 - drawn.bit_length()) // 2
 
 
 class Shard:
@@ -67,7 +85,7 @@ class Shard:
         self.lengths.append(len(words))
         self.found.append(np.unique(terms, return_counts=True))
 
-    def row(self) -> pa.RecordBatch:
+    def row(self, number: int) -> pa.RecordBatch:
         terms = np.concatenate([t for t, _ in self.found])
         counts = np.concatenate([c for _, c in self.found])
         doc = np.repeat(np.arange(len(self.ids)), [len(t) for t, _ in self.found])
@@ -76,7 +94,8 @@ class Shard:
             "doc_ids": np.array(self.ids, "<i8"), "lengths": np.array(self.lengths, "<i4"), "terms": b" ".join(self.numbers),
             "sizes": np.bincount(terms, minlength=len(self.numbers)).astype("<i4"), "postings": doc[order].astype("<i4"), "counts": counts[order].astype("<i4"),
         }
-        return pa.RecordBatch.from_pydict({k: pa.array([v if isinstance(v, bytes) else v.tobytes()], pa.binary()) for k, v in parts.items()})
+        level = pa.array([level_of(TaskContext.get().partitionId(), number)], pa.int32())
+        return pa.RecordBatch.from_pydict({k: pa.array([v if isinstance(v, bytes) else v.tobytes()], pa.binary()) for k, v in parts.items()} | {"level": level})
 
 
 class Opened:
@@ -97,7 +116,7 @@ class Opened:
 
     def weigh(self, idf: np.ndarray, mean_length: float) -> None:
         """Scores of all postings asked for, and their maxima by run."""
-        at = np.concatenate([np.arange(a, b) for a, b in zip(self.begin, self.end)]) if len(self.begin) else np.zeros(0, np.int64)
+        at = ranges(self.begin, self.end)
         self.doc = self.postings[at].astype(np.int64)
         sizes = self.end - self.begin
         self.end = np.cumsum(sizes)
@@ -106,58 +125,61 @@ class Opened:
         norm = K1 * (1 - B + B * self.lengths / max(mean_length, 1e-9))
         self.score = np.repeat(idf[self.asked], sizes) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.runs = -(-len(self.ids) // RUN)
-        self.bounds = np.zeros((len(sizes), self.runs), dtype=np.float32)
-        term = np.repeat(np.arange(len(sizes)), sizes)
-        self.cell = cell = term * self.runs + self.doc // RUN
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        if len(first):
-            # Rounded up, so that a bound is never too low.
-            self.bounds.ravel()[cell[first]] = np.nextafter(np.maximum.reduceat(self.score, first).astype(np.float32), np.float32(np.inf))
+        cell = np.repeat(np.arange(len(sizes)), sizes) * self.runs + self.doc // RUN
+        #: Pairs of a term and a run that holds it: where their postings start, and the best score among them.
+        self.first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cells = cell[self.first]
+        self.bounds = np.maximum.reduceat(self.score, self.first) if len(self.first) else np.zeros(0)
+        self.first = np.append(self.first, len(cell))
+        self.cell_end = np.searchsorted(self.cells, np.arange(1, len(sizes) + 1) * self.runs)
+        self.cell_begin = np.concatenate([[0], self.cell_end[:-1]]).astype(np.int64) if len(sizes) else self.cell_end
         self.place = np.full(len(idf), -1)
         self.place[self.asked] = np.arange(len(sizes))
 
-    def best(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of the best k (equal scores: smaller id first) that share a term."""
+    def best(self, terms: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores of the best k (equal scores: smaller id first) that share a term and reach the floor."""
+        ids, scores = np.zeros(0, np.int64), np.zeros(0)
         own = self.place[terms]
         own = own[own >= 0]
         if not len(own):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = self.bounds[own].sum(axis=0, dtype=np.float64) * (1 + 1e-6)
-        order = np.argsort(-bound)
-        order = order[bound[order] > 0]
-        ids, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+            return ids, scores
+        cells = ranges(self.cell_begin[own], self.cell_end[own])
+        # Sums in another order differ by rounding; a bound must not be too low.
+        bound = np.bincount(self.cells[cells] % self.runs, self.bounds[cells], self.runs) * (1 + 1e-9)
+        order = np.flatnonzero((bound >= floor) & (bound > 0))
+        order = order[np.argsort(-bound[order], kind="stable")]
+        at, step = 0, 4
         while at < len(order):
             if len(ids) == k:
                 order = order[: int(np.searchsorted(-bound[order], -scores[-1], side="right"))]
                 if at >= len(order):
                     break
-            opened = order[at : at + step]
-            doc, found = self.open(own, opened)
+            doc, found = self.open(own, cells, order[at : at + step])
             at, step = at + step, step * 4
+            least = max(floor, scores[-1]) if len(ids) == k else floor
+            doc, found = doc[found >= least], found[found >= least]
             ids, scores = np.concatenate([ids, self.ids[doc]]), np.concatenate([scores, found])
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
         return ids, scores
 
-    def open(self, own: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def open(self, own: np.ndarray, cells: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents of the runs that hold a term, with their scores, added up in the order of ``own``."""
-        few = 3 * len(runs) < self.runs
-        if few:
-            # Only the postings inside the runs: those of a term and run stand together.
-            cells = (own[:, None] * self.runs + runs).ravel()
-            begin, end = np.searchsorted(self.cell, cells), np.searchsorted(self.cell, cells, side="right")
-        else:
-            begin, end = self.begin[own], self.end[own]
-        sizes = end - begin
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(begin - ends + sizes, sizes)
-        total = np.bincount(self.doc[at], self.score[at], len(self.ids))
+        slot = np.full(self.runs, -1)
+        slot[runs] = np.arange(len(runs))
+        inside = cells[slot[self.cells[cells] % self.runs] >= 0]
+        at = ranges(self.first[inside], self.first[inside + 1])
+        doc = self.doc[at]
+        total = np.bincount(slot[doc // RUN] * RUN + doc % RUN, self.score[at], len(runs) * RUN)
         hit = np.flatnonzero(total)  # every posting scores above zero
-        if not few:
-            inside = np.zeros(self.runs, dtype=bool)
-            inside[runs] = True
-            hit = hit[inside[hit // RUN]]
-        return hit, total[hit]
+        return runs[hit // RUN] * RUN + hit % RUN, total[hit]
+
+
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one after another."""
+    sizes = end - begin
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -186,17 +208,21 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(x) for x in lengths], pa.int64()), "words": pa.array([int(x.sum()) for x in lengths], pa.int64())})
 
     n, all_words = shards.select("lengths").mapInArrow(measure, "n bigint, words bigint").agg(F.sum("n"), F.sum("words")).first()
+    levels = sorted((r[0] for r in shards.select("level").distinct().collect()), reverse=True)  # 17 at most
     found = scratch_path(spark, "best")
     for block in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # a block of bounded size
-        search_block(shards, own, n or 0, (all_words or 0) / max(n or 0, 1), k).write.mode("append").parquet(found)
-    best = spark.read.schema("query_id bigint, copy bigint, doc_id bigint, score double").parquet(found)
+        own = asked.filter((F.size("terms") > 0) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toArrow()  # a block of bounded size
+        search_block(shards, levels, own, n or 0, (all_words or 0) / max(n or 0, 1), k, f"{found}/block={block}")
+    best = spark.read.schema(BEST).parquet(found) if levels else spark.createDataFrame([], BEST)
     rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def search_block(shards: DataFrame, queries: pa.Table, n: int, mean_length: float, k: int) -> DataFrame:
-    """The best ``k`` of each shard for some queries."""
+BEST = "query_id bigint, copy bigint, doc_id bigint, score double"
+
+
+def search_block(shards: DataFrame, levels: list[int], queries: pa.Table, n: int, mean_length: float, k: int, path: str) -> None:
+    """Write the best ``k`` of each shard that may be among the best of all, for some queries."""
     spark = shards.sparkSession
     ids, lists = queries.column("query_id").to_pylist(), queries.column("terms").to_pylist()
     vocabulary = sorted({t for terms in lists for t in terms})
@@ -222,22 +248,39 @@ def search_block(shards: DataFrame, queries: pa.Table, n: int, mean_length: floa
     for q in ids:
         copies.append(seen.get(q, 0))
         seen[q] = copies[-1] + 1
+    number_of = {query: number for number, query in enumerate(zip(ids, copies))}
     plan = spark.sparkContext.broadcast((ids, copies, terms, idf))
+    floors = np.zeros(len(ids))
+    for level in levels:
+        one = search_level(shards.filter(F.col("level") == level), words, plan, spark.sparkContext.broadcast(floors), mean_length, k)
+        one.write.parquet(f"{path}/level={level}")
+        if level != levels[-1]:
+            so_far = spark.read.schema(BEST).parquet(path).groupBy("query_id", "copy", "score").agg(F.count("*").alias("n"))
+            reach = F.sum("n").over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score")))
+            kth = so_far.withColumn("reach", reach).filter(F.col("reach") >= k).groupBy("query_id", "copy").agg(F.max("score").alias("score"))
+            floors = floors.copy()
+            for query, copy, score in zip(*(c.to_pylist() for c in kth.toArrow().columns)):  # one row per query of the block
+                floors[number_of[query, copy]] = score
+
+
+def search_level(shards: DataFrame, words: Broadcast, plan: Broadcast, floors: Broadcast, mean_length: float, k: int) -> DataFrame:
+    """The best ``k`` of each shard that reach the floor of their query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_, copies_, terms_, idf_ = plan.value
+        ids, copies, terms, idf = plan.value
+        ids, copies = np.array(ids, dtype=np.int64), np.array(copies, dtype=np.int64)
         for batch in batches:
             for row in batch.to_pylist():
                 opened = Opened(row, words.value)
-                opened.weigh(idf_, mean_length)
-                best = [opened.best(t, k) for t in terms_]
+                opened.weigh(idf, mean_length)
+                best = [opened.best(t, k, floor) for t, floor in zip(terms, floors.value.tolist())]
                 many = [len(d) for d, _ in best]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "query_id": pa.array(np.repeat(np.array(ids_, dtype=np.int64), many)), "copy": pa.array(np.repeat(np.array(copies_, dtype=np.int64), many)),
+                        "query_id": pa.array(np.repeat(ids, many)), "copy": pa.array(np.repeat(copies, many)),
                         "doc_id": pa.array(np.concatenate([d for d, _ in best]) if best else np.zeros(0, np.int64)),
                         "score": pa.array(np.concatenate([s for _, s in best]) if best else np.zeros(0)),
                     }
                 )
 
-    return shards.mapInArrow(run, "query_id bigint, copy bigint, doc_id bigint, score double")
+    return shards.mapInArrow(run, BEST)
