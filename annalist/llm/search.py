@@ -107,7 +107,7 @@ class Opened:
         sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
         ends = np.cumsum(sizes)
         terms = row["terms"].split(b" ") if len(sizes) else []
-        here = [(wanted[t], n) for n, t in enumerate(terms) if t in wanted]
+        here = sorted((wanted[t], n) for n, t in enumerate(terms) if t in wanted)
         self.asked = np.array([w for w, _ in here], dtype=np.int64)  # number among the wanted
         own = np.array([n for _, n in here], dtype=np.int64)
         self.begin, self.end = ends[own] - sizes[own], ends[own]
@@ -117,7 +117,7 @@ class Opened:
     def weigh(self, idf: np.ndarray, mean_length: float) -> None:
         """Scores of all postings asked for, and their maxima by run."""
         at = ranges(self.begin, self.end)
-        self.doc = self.postings[at].astype(np.int64)
+        self.doc = self.postings[at]
         sizes = self.end - self.begin
         self.end = np.cumsum(sizes)
         self.begin = self.end - sizes
@@ -125,14 +125,24 @@ class Opened:
         norm = K1 * (1 - B + B * self.lengths / max(mean_length, 1e-9))
         self.score = np.repeat(idf[self.asked], sizes) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.runs = -(-len(self.ids) // RUN)
-        cell = np.repeat(np.arange(len(sizes)), sizes) * self.runs + self.doc // RUN
-        #: Pairs of a term and a run that holds it: where their postings start, and the best score among them.
+        cell = np.repeat(np.arange(len(sizes)) * self.runs, sizes) + self.doc // RUN
+        #: Cells, that is, pairs of a term and a run that holds it: where their postings start, and the best score among them.
         self.first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cells = cell[self.first]
+        cells = cell[self.first]
+        self.run_of = cells % self.runs
         self.bounds = np.maximum.reduceat(self.score, self.first) if len(self.first) else np.zeros(0)
         self.first = np.append(self.first, len(cell))
-        self.cell_end = np.searchsorted(self.cells, np.arange(1, len(sizes) + 1) * self.runs)
-        self.cell_begin = np.concatenate([[0], self.cell_end[:-1]]).astype(np.int64) if len(sizes) else self.cell_end
+        ends = np.searchsorted(cells, np.arange(len(sizes) + 1) * self.runs)
+        self.cell_begin, self.cell_end = ends[:-1], ends[1:]
+        #: Terms in a quarter of all runs or more also have a row with the bounds and numbers of their cells by run.
+        common = np.flatnonzero(4 * (self.cell_end - self.cell_begin) >= self.runs)
+        self.row = np.full(len(sizes), -1)
+        self.row[common] = np.arange(len(common))
+        own = ranges(self.cell_begin[common], self.cell_end[common])
+        to = self.row[cells[own] // self.runs] * self.runs + self.run_of[own]
+        self.wide_bounds, self.wide_cells = np.zeros(len(common) * self.runs), np.full(len(common) * self.runs, -1, dtype=np.int32)
+        self.wide_bounds[to], self.wide_cells[to] = self.bounds[own], own
+        self.wide_bounds, self.wide_cells = self.wide_bounds.reshape(-1, self.runs), self.wide_cells.reshape(-1, self.runs)
         self.place = np.full(len(idf), -1)
         self.place[self.asked] = np.arange(len(sizes))
 
@@ -143,9 +153,12 @@ class Opened:
         own = own[own >= 0]
         if not len(own):
             return ids, scores
-        cells = ranges(self.cell_begin[own], self.cell_end[own])
+        rows = self.row[own]
+        rare, rows = own[rows < 0], rows[rows >= 0]
+        cells = ranges(self.cell_begin[rare], self.cell_end[rare])
+        runs = self.run_of[cells]
         # Sums in another order differ by rounding; a bound must not be too low.
-        bound = np.bincount(self.cells[cells] % self.runs, self.bounds[cells], self.runs) * (1 + 1e-9)
+        bound = (np.bincount(runs, self.bounds[cells], self.runs) + self.wide_bounds[rows].sum(axis=0)) * (1 + 1e-9)
         order = np.flatnonzero((bound >= floor) & (bound > 0))
         order = order[np.argsort(-bound[order], kind="stable")]
         at, step = 0, 4
@@ -154,7 +167,7 @@ class Opened:
                 order = order[: int(np.searchsorted(-bound[order], -scores[-1], side="right"))]
                 if at >= len(order):
                     break
-            doc, found = self.open(own, cells, order[at : at + step])
+            doc, found = self.open(rows, cells, runs, order[at : at + step])
             at, step = at + step, step * 4
             least = max(floor, scores[-1]) if len(ids) == k else floor
             doc, found = doc[found >= least], found[found >= least]
@@ -163,11 +176,12 @@ class Opened:
             ids, scores = ids[top], scores[top]
         return ids, scores
 
-    def open(self, own: np.ndarray, cells: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of the runs that hold a term, with their scores, added up in the order of ``own``."""
+    def open(self, rows: np.ndarray, cells: np.ndarray, runs_of: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of some runs with their scores for common terms (by row) and rare ones (by cell), added up in the order of terms."""
         slot = np.full(self.runs, -1)
         slot[runs] = np.arange(len(runs))
-        inside = cells[slot[self.cells[cells] % self.runs] >= 0]
+        wide = self.wide_cells[rows[:, None], runs].ravel()
+        inside = np.sort(np.concatenate([cells[slot[runs_of] >= 0], wide[wide >= 0]]))
         at = ranges(self.first[inside], self.first[inside + 1])
         doc = self.doc[at]
         total = np.bincount(slot[doc // RUN] * RUN + doc % RUN, self.score[at], len(runs) * RUN)
