@@ -36,8 +36,8 @@ GRAM = 32
 STEP = 10
 #: Windows of a span at most, and different spans of a key that one task settles at most.
 SPAN, HOT = 400, 8000
-#: Bytes hashed at once, symbols merged at once, and shards of a merge.
-CHUNK, MERGE, SHARDS = 1 << 19, 1 << 20, 4
+#: Bytes hashed at once, symbols merged at once (arrays of either stay in a processor's cache), and shards of a merge.
+CHUNK, MERGE, SHARDS = 1 << 17, 1 << 17, 4
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -133,19 +133,23 @@ def block_ranks(text: np.ndarray, step: int) -> np.ndarray:
         part = np.zeros(len(text), dtype=np.uint64)
         for k in range(at, min(at + 7, step)):
             part = part * np.uint64(257) + ring[k : k + len(text)]
-        ranks = ranks_of(part) if at == 0 else ranks_of(ranks * np.uint64(len(text) + 1) + ranks_of(part).astype(np.uint64))
-        ranks = ranks.astype(np.uint64)
+        if at:
+            most = 257 ** (min(at + 7, step) - at)
+            if (len(text) + 1) * most >= 1 << 64:  # too wide for one number beside a rank
+                part, most = ranks_of(part).astype(np.uint64), len(text) + 1
+            part += ranks * np.uint64(most)
+        ranks = ranks_of(part).astype(np.uint64)
     return ranks.astype(np.int64)
 
 
 def sorted_suffixes(symbols: np.ndarray, steps: int) -> np.ndarray:
     """Order of a shard's rotations by their first ``steps`` blocks, from the ranks of the blocks at each place."""
-    rank, done = ranks_of(symbols), 1
-    n = len(rank)
+    rank, n, done = symbols, int(symbols.max(initial=0)) + 1, 1
     while done < steps:
         more = min(done, steps - done)
-        rank = ranks_of(rank * n + np.roll(rank, -more * STEP))
-        done += more
+        rank, done = rank * n + np.roll(rank, -more * STEP), done + more
+        if done < steps:
+            rank, n = ranks_of(rank), len(rank) + 1
     return np.argsort(rank, kind="stable")
 
 

@@ -127,3 +127,37 @@ def test_large_groups_are_split(spark, monkeypatch):
     nodes = spark.createDataFrame([(n, int(np.uint64(x).view(np.int64))) for n, x in enumerate(fps)], "id long, fp long")
     root = {r.id: r.root for r in simhash.components(simhash.links(nodes)).collect()}
     assert [root.get(n, n) for n in range(len(fps))] == smallest(fps, range(len(fps)))
+
+
+def test_block_ranks_and_suffixes():
+    rng = np.random.default_rng(5)
+    for size, step in [(1, 10), (40, 10), (300, 10), (300, 14), (3000, 8), (500, 7), (70_000, 14)]:
+        text = rng.integers(0, 3 if size < 1000 else 257, size).astype(np.uint16)
+        ring = np.concatenate([text, np.resize(text, step)])
+        keys = [tuple(ring[k : k + step]) for k in range(size)]
+        ranks = {key: n for n, key in enumerate(sorted(set(keys)))}
+        got = suffix.block_ranks(text, step) if size >= step else None
+        assert got is None or got.tolist() == [ranks[key] for key in keys]
+    symbols = rng.integers(0, 4, 200)
+    for steps in (1, 2, 3, 10):
+        plain = sorted(range(200), key=lambda at: [symbols[(at + k * suffix.STEP) % 200] for k in range(steps)])
+        assert suffix.sorted_suffixes(symbols, steps).tolist() == plain
+
+
+def test_work_at_once_is_small():
+    """Two tasks of an executor, hashing and merging, share what its heap leaves."""
+    import tracemalloc
+
+    from annalist.llm.common import slices
+
+    raw = np.random.default_rng(6).integers(97, 123, 1 << 21).astype(np.uint8)
+    offsets = np.arange(0, len(raw) + 1, 1 << 12)
+    one = suffix.Powers(suffix.BASE)
+    tracemalloc.start()
+    for a, b in slices(offsets, suffix.CHUNK):
+        suffix.spans(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 100, one)
+    texts = [raw[a : a + 400].tobytes() for a in range(0, suffix.MERGE, 400)]
+    suffix.repeated_windows(texts, np.arange(len(texts)), np.zeros(len(texts), np.int64), 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 << 20, most
