@@ -3,8 +3,9 @@
 Generators with high recall propose spans that may overlap: everything that
 looks somewhat like a mail address, an IP address, a card or phone number, or a
 secret. Boosted trees judge each candidate by its format and its surroundings;
-they are trained here on a bounded sample of the candidates in the given rows,
-labelled by the strict rules (checksums, ranges, assignments). Scores are calibrated on
+they are trained here on all candidates in the given rows,
+labelled by the strict rules (checksums, ranges, assignments): every split comes from
+histograms that tasks sum over their rows. Scores are calibrated on all candidates of
 a part held back, and each kind gets the lowest threshold at which the
 held-back part shows the precision asked for. Spans that meet the strict base rules are
 always kept; the trees add spans.
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from annalist.llm.common import bounded_batches, stage
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Candidates to learn from at most, trees, their depth, rate, classes of a feature, and the precision asked for.
-SAMPLE, TREES, TREE_DEPTH, RATE, CLASSES, PRECISION = 20_000, 40, 3, 0.2, 32, 0.99
+#: Trees, their depth, rate, classes of a feature, and the precision asked for.
+TREES, TREE_DEPTH, RATE, CLASSES, PRECISION = 40, 3, 0.2, 32, 0.99
+#: Gradients are summed in units of 1 / UNIT, so that sums do not depend on the order of rows. Margins are counted in STEPS to one, up to TOP.
+UNIT, STEPS, TOP = 1 << 20, 256, 32
 ANY = re.compile(r"[0-9@]|\(at\)|\[at\]")
 # The base rules. A match of the address rule depends only on the run before the at sign, and of the number
 # rules only on whole runs of digits, so these forms find the same spans in linear time.
@@ -96,7 +99,7 @@ def describe(text: str, kind: int, start: int, end: int) -> list[float]:
         float(luhn(digits)) if 12 <= len(digits) <= 19 else -1.0,
         max((min(int(p[:6]), 999_999) for p in numbers), default=-1), float(len(numbers) == 4 and len(parts) == 4),
         span.count("@"), span.count("."), span.count(" "), float(span[0] == "+"), float("(" in span),
-        len(tail) if tail.isalpha() else 0.0, -sum(c / len(span) * math.log2(c / len(span)) for c in counts),
+        len(tail) if tail.isalpha() else 0.0, round(-sum(c / len(span) * math.log2(c / len(span)) for c in counts), 6),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(after[:1] in ("%", ")", "]")), float(before[-1:] in ("$", "€", "#")),
         *[float(bool(h.search(before))) for h in HINTS],
     ]
@@ -124,72 +127,117 @@ class Trees:
     def classes(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(self.edges)], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, CLASSES + 1)[1:-1])) for c in x.T]
-        c = self.classes(x)
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    def fit(self, cells: DataFrame) -> Trees:
+        """``cells``: ``code`` (a byte for the class of each feature), ``n`` candidates and ``y`` positive ones among them."""
+        n, y = cells.agg(F.sum("n"), F.sum("y")).first()
+        rate = min(max(y / n, 1e-3), 1 - 1e-3)
         self.bias = math.log(rate / (1 - rate))
-        margin = np.full(len(y), self.bias)
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-margin))
-            g, h = p - y, np.maximum(p * (1 - p), 1e-6)
-            node = np.zeros(len(y), dtype=np.int64)  # heap order
-            feature, cut = np.full(2**TREE_DEPTH - 1, -1), np.zeros(2**TREE_DEPTH - 1, dtype=np.int64)
+            feature, cut = np.full(2**TREE_DEPTH - 1, -1), np.zeros(2**TREE_DEPTH - 1, dtype=np.int64)  # heap order
+            sums = np.zeros((2 ** (TREE_DEPTH + 1) - 1, 2))  # gradients of the rows in each node
+            splits = True
             for depth in range(TREE_DEPTH):
-                for n in range(2**depth - 1, 2 ** (depth + 1) - 1):
-                    at = np.flatnonzero(node == n)
-                    best = 1e-6
-                    for f in range(x.shape[1]) if len(at) > 1 else ():
-                        gs = np.cumsum(np.bincount(c[at, f], g[at], CLASSES + 1))
-                        hs = np.cumsum(np.bincount(c[at, f], h[at], CLASSES + 1))
-                        left, right = hs + 1.0, hs[-1] - hs + 1.0
-                        gain = gs**2 / left + (gs[-1] - gs) ** 2 / right - gs[-1] ** 2 / (hs[-1] + 1.0)
+                nodes = range(2**depth - 1, 2 ** (depth + 1) - 1)
+                # Where no node was split, the next level has the same rows.
+                found = self.histograms(cells, feature, cut, depth) if splits else None
+                splits = False
+                for k, node in enumerate(nodes):
+                    if found is None:
+                        sums[2 * node + 1] = sums[node]
+                        continue
+                    run = np.cumsum(found[:, k], axis=2)  # gradients, feature, class
+                    sums[node] = run[:, 0, -1]
+                    (total_g, total_h), best, left = sums[node], 1e-6, sums[node]
+                    for f, (gs, hs) in enumerate(zip(*run)):
+                        gain = gs**2 / (hs + 1.0) + (total_g - gs) ** 2 / (total_h - hs + 1.0) - total_g**2 / (total_h + 1.0)
                         if gain.max() > best:
-                            best, feature[n], cut[n] = gain.max(), f, int(gain.argmax())
-                    go = (c[at, feature[n]] > cut[n]) if feature[n] >= 0 else np.zeros(len(at), bool)
-                    node[at] = 2 * n + 1 + go
-            leaf = node - (2**TREE_DEPTH - 1)
-            value = -RATE * np.bincount(leaf, g, 2**TREE_DEPTH) / (np.bincount(leaf, h, 2**TREE_DEPTH) + 1.0)
-            margin += value[leaf]
-            self.trees.append((feature, cut, value))
+                            best, feature[node], cut[node] = gain.max(), f, int(gain.argmax())
+                            left = run[:, f, cut[node]]
+                    sums[2 * node + 1], sums[2 * node + 2] = left, sums[node] - left
+                    splits |= bool(feature[node] >= 0)
+            g, h = sums[2**TREE_DEPTH - 1 :].T
+            self.trees.append((feature, cut, -RATE * g / (h + 1.0)))
         return self
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.bias)
-        c, rows = self.classes(x), np.arange(len(x))
+    def histograms(self, cells: DataFrame, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+        """First and second derivatives of the loss of all cells, summed by node of a level, feature and class."""
+        width = len(self.edges)
+        shape = (2**depth, width, CLASSES + 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, *shape))
+            for batch in batches:
+                c, n, y = codes_of(batch, width), *(batch.column(k).to_numpy() for k in ("n", "y"))
+                p = 1 / (1 + np.exp(-self.coded_margin(c)))
+                node = descend(c, feature, cut, depth) - (2**depth - 1)
+                at = ((node[:, None] * width + np.arange(width)) * (CLASSES + 1) + c).ravel()
+                for k, weight in enumerate((n * p - y, n * np.maximum(p * (1 - p), 1e-6))):
+                    total[k] += np.bincount(at, np.repeat(np.rint(weight * UNIT), width), total[k].size).reshape(shape)
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+        parts = cells.select("code", "n", "y").mapInArrow(run, "sums binary").toArrow().column("sums")
+        return sum(np.frombuffer(p.as_py()).reshape(2, *shape) for p in parts) / UNIT
+
+    def coded_margin(self, c: np.ndarray) -> np.ndarray:
+        out = np.full(len(c), self.bias)
         for feature, cut, value in self.trees:
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(TREE_DEPTH):
-                f = feature[node]
-                node = 2 * node + 1 + ((f >= 0) & (c[rows, f] > cut[node]))
-            out += value[node - (2**TREE_DEPTH - 1)]
+            out += value[descend(c, feature, cut, TREE_DEPTH) - (2**TREE_DEPTH - 1)]
         return out
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return self.coded_margin(self.classes(x))
+
+    def scaled(self, margin: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -50, 50)))
+        return self.scaled(self.margin(x))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic scaling by Newton steps, then a threshold for each kind."""
-        m = self.margin(x)
+    def calibrate(self, cells: DataFrame) -> None:
+        """Logistic scaling by Newton steps, then a threshold for each kind, from the counts of all cells by ``kind`` and step of the margin."""
+        width = len(self.edges)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                step = np.floor(np.clip(self.coded_margin(codes_of(batch, width)), -TOP, TOP) * STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(step), batch.column("n"), batch.column("y")], names=["kind", "step", "n", "y"])
+
+        steps = cells.select("kind", "code", "n", "y").mapInArrow(run, "kind int, step bigint, n bigint, y bigint")
+        counted = steps.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).orderBy("kind", "step").toArrow()  # bounded by kinds and steps
+        kind, step, n, y = (counted.column(c).to_numpy() for c in counted.column_names)
+        m = (step + 0.5) / STEPS
         for _ in range(25):
-            p = self.probability(x)
-            w = p * (1 - p) + 1e-9
-            g = np.array([((p - y) * m).sum(), (p - y).sum()]) + 1e-2 * np.array([self.slope - 1, self.shift])
+            p = self.scaled(m)
+            w, e = n * (p * (1 - p) + 1e-9), n * p - y
+            g = np.array([(e * m).sum(), e.sum()]) + 1e-2 * np.array([self.slope - 1, self.shift])
             hess = np.array([[(w * m * m).sum(), (w * m).sum()], [(w * m).sum(), w.sum()]]) + 1e-2 * np.eye(2)
-            step = np.linalg.solve(hess, g)
-            self.slope, self.shift = self.slope - step[0], self.shift - step[1]
-        p = self.probability(x)
+            change = np.linalg.solve(hess, g)
+            self.slope, self.shift = self.slope - change[0], self.shift - change[1]
+        p = np.minimum(self.scaled(step / STEPS), self.scaled((step + 1) / STEPS))  # the least within a step
         for k in range(len(KINDS)):
-            own = x[:, 0] == k
-            order = np.argsort(-p[own], kind="stable")
-            right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-            good = np.flatnonzero(right >= PRECISION)
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(-p[own], kind="stable")]
+            good = np.flatnonzero(np.cumsum(y[own]) >= PRECISION * np.cumsum(n[own]))
             # Never below even odds; no threshold for a kind that cannot reach the precision.
-            self.thresholds[k] = max(0.5, float(p[own][order][good[-1]])) if len(good) else 2.0
+            self.thresholds[k] = max(0.5, float(p[own][good[-1]])) if len(good) else 2.0
+
 
+def codes_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """The classes of all features, a row for each cell."""
+    return np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, width).astype(np.int64)
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from at most about ``sample`` candidates in ``text`` of the rows, drawn by hash once their number is known.
+
+def descend(c: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """The node that each row reaches at a level of a tree, in heap order."""
+    node, rows = np.zeros(len(c), dtype=np.int64), np.arange(len(c))
+    for _ in range(depth):
+        f = feature[node]
+        node = 2 * node + 1 + ((f >= 0) & (c[rows, f] > cut[node]))
+    return node
+
+
+def fit(docs: DataFrame) -> Trees:
+    """Trees from all candidates in ``text`` of the rows; a fourth of them, chosen by hash, is held back for the thresholds.
 
     The labels: base spans are positive; a secret is positive if it is assigned to
     a name like key or token (which the features do not show). No candidates: no trees, and nothing is added.
@@ -205,23 +253,40 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Trees:
                 for start, kind, end in wide:
                     labels.append(bool(ASSIGNED.search(text[max(0, start - 24) : start])) if kind == 4 else (start, kind, end) in base)
                     rows.append(describe(text, kind, start, end))
-                    draws.append((draw + start * 2654435761) % (1 << 30) / (1 << 30))
+                    draws.append((draw + start * 2654435761) % (1 << 30))
             yield pa.RecordBatch.from_pydict(
-                {"draw": pa.array(draws, pa.float64()), "label": pa.array(labels, pa.bool_()), "x": pa.array(rows, pa.list_(pa.float64()))}
+                {"draw": pa.array(draws, pa.int64()), "label": pa.array(labels, pa.bool_()), "x": pa.array(rows, pa.list_(pa.float64()))}
             )
 
     texts = docs.filter("text IS NOT NULL").select(F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("draw"), "text")
     # Copies of a candidate with the same surroundings teach once.
-    found = stage(texts.mapInArrow(run, "draw double, label boolean, x array<double>").distinct(), "candidates")
-    total = found.count()
-    drawn = found.filter(F.col("draw") < min(1.0, sample / max(total, 1))).orderBy("draw", "label").toArrow()
+    found = stage(texts.mapInArrow(run, "draw bigint, label boolean, x array<double>").distinct(), "candidates")
     trees = Trees()
-    if not drawn.num_rows:
+    held = F.col("draw") % 4 == 0
+    sizes = found.agg(F.count("*").alias("n"), F.count_if(~held).alias("learned"), F.max(F.size("x")).alias("width")).first()
+    if not sizes.n:
         return trees
-    x, y = np.array(drawn.column("x").to_pylist()), np.array(drawn.column("label").to_pylist(), dtype=float)
-    held = np.arange(len(y)) % 4 == 0
-    trees.fit(x[~held], y[~held]) if (~held).any() else trees.fit(x, y)
-    trees.calibrate(x[held], y[held])
+    learned = found.filter(~held) if sizes.learned else found
+    points = F.array(*[F.lit(k / CLASSES) for k in range(1, CLASSES)])
+    # Features are whole numbers up to a million or rounded, which bounds the distinct values that are counted.
+    quantiles = learned.agg(*[F.percentile(F.col("x")[k], points).alias(f"x{k}") for k in range(sizes.width)]).first()
+    trees.edges = [np.unique(q) for q in quantiles]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array(batch.column("x").to_pylist())
+            codes = [c.tobytes() for c in trees.classes(x).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[:, 0].astype(np.int32)), pa.array(codes, pa.binary()), batch.column("held"), batch.column("label")], names=["kind", "code", "held", "label"]
+            )
+
+    coded = found.select("x", held.alias("held"), "label").mapInArrow(code, "kind int, code binary, held boolean, label boolean")
+    cells = coded.groupBy("kind", "code", "held").agg(F.count("*").alias("n"), F.count_if("label").alias("y"))
+    cells = stage(cells, "cells")
+    trees.fit(cells.filter("NOT held") if sizes.learned else cells)
+    trees.calibrate(cells.filter("held"))
     return trees
 
 

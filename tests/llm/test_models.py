@@ -269,3 +269,68 @@ def test_personal_data(spark, sf):
     assert clean == {None: "mail [EMAIL] now", -1: None, -2: ""}
     empty = pii.fit(both.limit(0))
     assert empty.trees == [] and pii.find(both.limit(0), empty).count() == 0
+
+
+def plain_margin(x, y, of, trees=pii.TREES, depth=pii.TREE_DEPTH):
+    """Boosted trees by plain recursion over rows; margins of the rows ``of``."""
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, pii.CLASSES + 1)[1:-1])) for c in x.T]
+    coded = lambda rows: np.stack([np.searchsorted(e, rows[:, k], side="right") for k, e in enumerate(edges)], axis=1)
+    c, d = coded(x), coded(of)
+    bias = np.log(y.mean() / (1 - y.mean()))
+    m, out = np.full(len(x), bias), np.full(len(of), bias)
+
+    def grow(rows, others, level):
+        gain, best = 1e-6, None
+        score = lambda at: g[at].sum() ** 2 / (h[at].sum() + 1)
+        for f in range(c.shape[1]) if level < depth else ():
+            for k in range(pii.CLASSES + 1):
+                low = c[rows, f] <= k
+                if low.any() and not low.all() and (new := score(rows[low]) + score(rows[~low]) - score(rows)) > gain + 1e-4:
+                    gain, best = new, (f, k)
+        if best:
+            f, k = best
+            grow(rows[c[rows, f] <= k], others[d[others, f] <= k], level + 1)
+            grow(rows[c[rows, f] > k], others[d[others, f] > k], level + 1)
+        else:
+            value = -pii.RATE * g[rows].sum() / (h[rows].sum() + 1)
+            m[rows] += value
+            out[others] += value
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-m))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        grow(np.arange(len(x)), np.arange(len(of)), 0)
+    return out
+
+
+def test_trees_learn_from_all_candidates(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "TREES", 3)
+    rng = random.Random(4)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    some = [lambda: number(3) + "-" + number(4), lambda: "10.0.0." + number(3), lambda: "+1 " + number(10), lambda: "a" + number(1) + "@b.de", lambda: number(16)]
+    texts = [" | ".join(rng.choice(some)() for _ in range(90)) for _ in range(250)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen = set()
+    for draw, text in docs.select(F.pmod(F.xxhash64("text"), F.lit(1 << 30)), "text").collect():
+        base, wide = pii.candidates(text)
+        for s, k, e in wide:
+            label = bool(pii.ASSIGNED.search(text[max(0, s - 24) : s])) if k == 4 else (s, k, e) in base
+            seen.add(((draw + s * 2654435761) % (1 << 30), label, tuple(pii.describe(text, k, s, e))))
+    assert len(seen) > 20_000
+    trees = pii.fit(docs)
+    draw, y, x = (np.array(c, dtype=float) for c in zip(*sorted(seen)))
+    held = draw % 4 == 0
+    assert np.allclose(trees.margin(x), plain_margin(x[~held], y[~held], x, trees=3), atol=1e-3)
+    # Every kind has the least threshold at which all held back candidates show the precision.
+    p = trees.probability(x)
+    for k, least in enumerate(trees.thresholds):
+        own = held & (x[:, 0] == k)
+        right = lambda q: y[own & (p >= q)].mean()
+        reachable = [q for q in np.unique(p[own]) if right(q) >= pii.PRECISION]
+        assert (least == 2.0) == (not reachable)
+        if reachable and least > 0.5:
+            assert right(least) >= pii.PRECISION and min(reachable) >= least - 0.01
