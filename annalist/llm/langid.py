@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import bounded_batches
+from annalist.llm.common import bounded_batches, trimmed
 
 #: Hashed features, and the lengths of the n-grams.
 FEATURES, ORDERS = 1 << 18, (1, 2, 3)
@@ -101,8 +101,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, seed: in
     held, learned = shuffled[: len(rows) // 5], shuffled[len(rows) // 5 :]
     used = np.unique(np.concatenate([r[1] for r in rows])) if rows else np.zeros(0, np.int64)
     last = len(used)  # the bias
-    place = [np.append(np.searchsorted(used, at), last) for _, at, _ in rows]
-    value = [np.append(x, 1.0) for _, _, x in rows]
+    # As narrow as the rows: the whole sample is held at once.
+    place = [np.append(np.searchsorted(used, at), last).astype(np.int32) for _, at, _ in rows]
+    value = [np.append(x, np.float32(1.0)) for _, _, x in rows]
     truth = np.array([rows[r][0] for r in held], dtype=int)
     z, n = np.zeros((last + 1, classes)), np.zeros((last + 1, classes))
 
@@ -170,7 +171,7 @@ def fit(labelled: DataFrame) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"feature": pa.array([-1, *at]), "n": pa.array([documents, *total[at]])})
 
-    counts = rows.select("text").mapInArrow(frequencies, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(trimmed(frequencies), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     found = counts.toArrow()  # one row per hashed feature at most
     feature, n = found.column("feature").to_numpy(), found.column("n").to_numpy()
     idf = np.zeros(FEATURES)
@@ -200,6 +201,7 @@ def fit(labelled: DataFrame) -> Model:
                     drawn.append((h, number[lang], at.astype(np.int32), (count / count.sum() * idf[at]).astype(np.float32)))
         drawn.sort(key=lambda r: (r[0], r[1]))
         used, w, bias, temperature = train([r[1:] for r in drawn], len(languages))
+        drawn.clear()
         some = np.abs(w).sum(axis=1) > 0
         at, w = used[some], w[some]
         yield pa.RecordBatch.from_pydict(
@@ -209,7 +211,7 @@ def fit(labelled: DataFrame) -> Model:
             }
         )
 
-    learned = sample.repartition(1).mapInArrow(learn, "feature bigint, w array<double>").toArrow()
+    learned = sample.repartition(1).mapInArrow(trimmed(learn), "feature bigint, w array<double>").toArrow()
     weights = np.zeros((FEATURES, len(languages)), np.float32)
     bias, temperature = np.zeros(len(languages)), 1.0
     for f, w in zip(learned.column("feature").to_pylist(), learned.column("w").to_pylist()):

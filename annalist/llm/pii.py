@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import bounded_batches, stage
+from annalist.llm.common import bounded_batches, stage, trimmed
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Trees, their depth, rate, classes of a feature, and the precision asked for.
@@ -260,7 +260,7 @@ def fit(docs: DataFrame) -> Trees:
 
     texts = docs.filter("text IS NOT NULL").select(F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("draw"), "text")
     # Copies of a candidate with the same surroundings teach once.
-    found = stage(texts.mapInArrow(run, "draw bigint, label boolean, x array<double>").distinct(), "candidates")
+    found = stage(texts.mapInArrow(trimmed(run), "draw bigint, label boolean, x array<double>").distinct(), "candidates")
     trees = Trees()
     held = F.col("draw") % 4 == 0
     sizes = found.agg(F.count("*").alias("n"), F.count_if(~held).alias("learned"), F.max(F.size("x")).alias("width")).first()
@@ -329,7 +329,7 @@ def find(docs: DataFrame, trees: Trees) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "spans": pa.array(spans, kind)})
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, spans {SPANS}")
+    return rows.mapInArrow(trimmed(run), f"doc_id {dict(rows.dtypes)['doc_id']}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, trees: Trees) -> DataFrame:

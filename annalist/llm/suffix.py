@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import bounded_batches, byte_columns, slices, stage
+from annalist.llm.common import bounded_batches, byte_columns, slices, stage, trimmed
 
 GRAM = 32
 STEP = 10
@@ -285,12 +285,12 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
                 })
 
     # Narrow, and computed once: all spans are read twice, for the keys that occur again and for their spans.
-    found = stage(rows.select("ord", "text").mapInArrow(find, "key bigint, ord bigint, place bigint"), "all-spans")
+    found = stage(rows.select("ord", "text").mapInArrow(trimmed(find), "key bigint, ord bigint, place bigint"), "all-spans")
     own = F.max(F.col("place") % 2)
     keys = found.groupBy("key").agg(F.count("*").alias("n"), own.alias("again")).filter("n > 1 OR again = 1").select("key")
     lists = found.join(keys, "key").groupBy("ord").agg(F.collect_list(F.struct("key", "place")).alias("spans"))
     bodies = rows.select("ord", F.col("text").cast("binary").alias("text"))
-    shared = stage(bodies.join(lists, "ord").mapInArrow(contents, "key bigint, content binary, ord bigint, place bigint"), "spans")
+    shared = stage(bodies.join(lists, "ord").mapInArrow(trimmed(contents), "key bigint, content binary, ord bigint, place bigint"), "spans")
     first = shared.groupBy("key", "content").agg(F.min(F.struct("ord", "place")).alias("first"))
     first = stage(first.select("key", "content", F.col("first.ord").alias("ord"), F.col("first.place").alias("place")), "first-spans")
     start, windows = F.floor(F.col("place") / 1024), F.floor(F.col("place") / 2) % 512
@@ -313,7 +313,7 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
                 {k: pa.array(v, pa.binary() if k == "text" else pa.int64()) for k, v in out.items()}
             )
 
-    texts = stage(bodies.join(open_spans, "ord").mapInArrow(extract, "key bigint, n bigint, ord bigint, start bigint, text binary"), "span-texts")
+    texts = stage(bodies.join(open_spans, "ord").mapInArrow(trimmed(extract), "key bigint, n bigint, ord bigint, start bigint, text binary"), "span-texts")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -351,7 +351,7 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
 
     ranges = "ord bigint, start bigint, end bigint"
     grouped = texts.filter(F.col("n") <= HOT).select("key", "ord", "start", "text").repartition("key").sortWithinPartitions("key")
-    merged = grouped.mapInArrow(merge, ranges)
+    merged = grouped.mapInArrow(trimmed(merge), ranges)
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,7 +360,7 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
                 same = pa.array([digest(text[k : k + length]) for k in at.tolist()], pa.binary())
                 yield pa.RecordBatch.from_pydict({"content": same, "ord": pa.array(np.full(len(at), ord_)), "start": pa.array(start + at)})
 
-    hot = texts.filter(F.col("n") > HOT).mapInArrow(windows_of, "content binary, ord bigint, start bigint")
+    hot = texts.filter(F.col("n") > HOT).mapInArrow(trimmed(windows_of), "content binary, ord bigint, start bigint")
     firsts = hot.groupBy("content").agg(F.min(F.struct("ord", "start")).alias("first"))
     common = hot.join(firsts, "content").filter(F.struct("ord", "start") != F.col("first")).select("ord", "start")
     common = common.repartition("ord").sortWithinPartitions("ord", "start").mapInArrow(partial(runs_of, length=length), ranges)
@@ -406,7 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     id_type = dict(rows.dtypes)["doc_id"]
     return rows.join(ranges, "ord", "left").select("doc_id", "text", "ranges").mapInArrow(
-        cut, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+        trimmed(cut), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
 
 

@@ -334,3 +334,28 @@ def test_trees_learn_from_all_candidates(spark, monkeypatch):
         assert (least == 2.0) == (not reachable)
         if reachable and least > 0.5:
             assert right(least) >= pii.PRECISION and min(reachable) >= least - 0.01
+
+
+def test_language_sample_is_held_once_more_only(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(langid, "UPDATES", 1)
+    rng = np.random.default_rng(3)
+    rows = [(k % 2, np.unique(rng.integers(0, 5000, 400)).astype(np.int32), None) for k in range(1500)]
+    rows = [(y, at, rng.random(len(at)).astype(np.float32)) for y, at, _ in rows]
+    size = sum(at.nbytes + x.nbytes for _, at, x in rows)
+    tracemalloc.start()
+    langid.train(rows, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.8 * size, most / size
+
+
+def test_workers_give_memory_back(monkeypatch):
+    from annalist.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert list(common.trimmed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and given == [1]
+    monkeypatch.undo()
+    common.give_back()
