@@ -35,8 +35,8 @@ from annalist.llm.common import bounded_batches, byte_columns, slices, stage
 DEPTH, SPLIT = 5, 3
 #: Bits of a gram beside such a context.
 OPEN = 8 * (DEPTH + 1 - SPLIT)
-#: Bytes of text in a chunk, and grams that a task turns into probabilities at once.
-CHUNK, AT_ONCE = 40 << 20, 400_000
+#: Bytes of text in a chunk, grams that a task turns into probabilities at once, and bytes of text looked up at once, which fit a processor's cache.
+CHUNK, AT_ONCE, LOOKED_UP = 40 << 20, 400_000, 1 << 18
 #: The end of a text, a byte that UTF-8 never uses. It also stands before every text.
 END = b"\xff"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -195,17 +195,42 @@ def grams_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """
     sizes = np.diff(offsets) + 1 + DEPTH
     at = np.cumsum(sizes) - sizes
-    padded = np.full(int(sizes.sum()), END[0], dtype=np.uint64)
-    document = np.repeat(np.arange(len(sizes)), np.diff(offsets))
-    padded[np.arange(len(raw)) - offsets[:-1][document] + at[document] + DEPTH] = raw
-    place = np.ones(len(padded), dtype=bool)
+    own = np.ones(int(sizes.sum()), dtype=bool)
     for k in range(DEPTH):
-        place[at + k] = False
-    place = np.nonzero(place)[0]
-    grams = padded[place]
+        own[at + k] = False
+    last = at + sizes - 1
+    own[last] = False
+    padded = np.full(len(own), END[0], dtype=np.uint64)
+    padded[own] = raw
+    own[last] = True
+    grams = padded[DEPTH:].copy()
     for k in range(1, DEPTH + 1):
-        grams |= padded[place - k] << np.uint64(8 * (DEPTH + 1 - k))
-    return grams
+        grams |= padded[DEPTH - k : len(padded) - k] << np.uint64(8 * (DEPTH + 1 - k))
+    return grams[own[DEPTH:]]
+
+
+class Lookup:
+    """Values by gram. Grams lie in the order of a hash, so that one is found in a step or two."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        place = self.places(keys)
+        order = np.argsort(place, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.first = np.cumsum(counts := np.bincount(place, minlength=1 << int(64 - self.shift))) - counts
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys ^ keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The values of grams, all of which are known."""
+        at = self.first[self.places(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        while len(other):
+            at[other] += 1
+            other = other[self.keys[at[other]] != keys[other]]
+        return self.values[at]
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -395,15 +420,13 @@ def score(docs: DataFrame) -> DataFrame:
             else:
                 keys.append(np.frombuffer(blob[: 8 * n], "<u8"))
                 p.append(np.frombuffer(blob[8 * n :], "<f4").astype(np.float64))
-        keys, p = np.concatenate(keys), np.concatenate(p)
-        order = np.argsort(keys)
-        keys, p = keys[order], p[order]
+        lookup = Lookup(np.concatenate(keys), np.concatenate(p))
         tokens, seen, base, scores, sizes = [], [], [], [], []
         for batch in texts.combine_chunks().to_batches():
             raw, offsets = byte_columns(unpacked(batch.column("text")))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, LOOKED_UP):
                 cut = offsets[a : b + 1] - offsets[a]
-                found = p[np.searchsorted(keys, grams_of(raw[offsets[a] : offsets[b]], cut))]
+                found = lookup.of(grams_of(raw[offsets[a] : offsets[b]], cut))
                 scores.append(np.add.reduceat(found, cut[:-1] + np.arange(b - a)))
                 sizes.append(np.diff(cut) + 1)
             for text in map(decompress, batch.column("text").to_pylist()):

@@ -359,3 +359,22 @@ def test_workers_give_memory_back(monkeypatch):
     assert list(common.trimmed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and given == [1]
     monkeypatch.undo()
     common.give_back()
+
+
+def test_grams_and_their_lookup():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = [bytes(rng.randrange(97, 100) for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(rng.randrange(1, 9))]
+        offsets = np.cumsum([0, *map(len, texts)])
+        got = ctw.grams_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        want = []
+        for t in texts:
+            padded = ctw.END * ctw.DEPTH + t + ctw.END
+            for at in range(ctw.DEPTH, len(padded)):
+                want.append(sum(padded[at - k] << 8 * (ctw.DEPTH + 1 - k if k else 0) for k in range(ctw.DEPTH + 1)))
+        assert got.tolist() == want
+        keys = np.unique(got)
+        lookup = ctw.Lookup(keys[::-1].copy(), np.arange(len(keys))[::-1].copy())
+        assert lookup.of(got).tolist() == np.searchsorted(keys, got).tolist()
