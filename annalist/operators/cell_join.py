@@ -2,14 +2,15 @@
 
 Some base rows serve as pivots, and every base row lies in the cell of its
 nearest pivot, in a ring by its distance from it. Rings are cut to a bounded
-number of rows. A query first visits the ring it would lie in itself; the
+number of rows, and smaller ones put together. A query first visits the ring it would lie in itself; the
 k-th distance found there, or the k-th pivot if that is nearer, bounds its
 answer. By the triangle inequality a ring whose distances from the pivot differ by more than
 that from the query's own cannot hold a nearer row, so the query then visits the
 other rings only. The choice of pivots changes the work and never the result.
 
 Each visit is one shuffle: a ring's rows meet the queries that ask for it, ring
-first, so a task holds one ring and a batch of queries. A ring asked for by many
+first, so a task holds one ring and a batch of queries. A query brings its bound along, so a ring
+returns nothing farther and ranks only what is left. A ring asked for by many
 queries is repeated for slices of them, so no task has more of either side than the bound.
 """
 
@@ -25,13 +26,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from annalist.functions.text import key_hash
-from annalist.operators.blocks import BLOCK_BYTES, candidates, matrix, pair_distance
+from annalist.operators.blocks import BLOCK_BYTES, Near, matrix, pair_distance
 from annalist.session import stage
 
 # Pivots at least and at most, and classes of distance from a pivot: their product bounds what the driver and every task hold.
 FEWEST, PIVOTS, CLASSES = 64, 1024, 64
 # Pairs of a query and a ring that a task hands on at once.
 PAIRS = 10_000
+# Queries that a task has at least, and tasks that smaller joins are cut into.
+SLICE, TASKS = 8192, 64
 
 
 def _placed(x: np.ndarray, metric: str) -> np.ndarray:
@@ -60,7 +63,7 @@ def _class_of(distance: np.ndarray, top: float) -> np.ndarray:
 
 
 class Rings:
-    """The rings of all cells: bounds, first key, and how many keys the rows of each are dealt to."""
+    """The rings of all cells: bounds, first key, and how many keys the rows of each are dealt to. Small neighbours share a key."""
 
     def __init__(self, stats: list, cells: int, most: int):
         """``stats``: cell, class, rows, least and largest distance; neighbouring classes share a ring while they fit in ``most`` rows."""
@@ -80,7 +83,14 @@ class Rings:
         self.cell = np.array([r[0] for r in rings])
         self.parts = np.array([-(-r[1] // most) for r in rings])
         self.low, self.high = (np.array([r[k] for r in rings], dtype=float) for k in (2, 3))
-        self.first = np.cumsum(self.parts) - self.parts
+        # Rings that fit share a key, so a query that rules out nothing is sent once for as many rows as a task holds.
+        self.first, key, held = np.zeros(len(rings), dtype=np.int64), 0, 0
+        for at, (ring, parts) in enumerate(zip(rings, self.parts)):
+            if held and held + ring[1] > most:
+                key, held = key + 1, 0
+            self.first[at], held = key, held + ring[1]
+            if parts > 1:
+                key, held = key + int(parts), 0
 
     def may_hold(self, distance: np.ndarray, slack: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, ring) pairs that the triangle inequality does not rule out."""
@@ -174,7 +184,7 @@ def cell_join(
 
     head = [StructField("row", LongType()), queries.schema["q"], StructField("v", vector), StructField("key", LongType())]
     asked = stage(queries.mapInArrow(deal, StructType([*head, StructField("reach", DoubleType())])), "asked")
-    first = _visit(asked.filter("key >= 0").select("key", "row", "q", "v"), asked.filter("key >= 0").select("key"), keyed, k, width, metric, exclude_self, most, schema)
+    first = _visit(asked.filter("key >= 0").select("key", "row", "q", "v", "reach"), asked.filter("key >= 0").select("key"), keyed, k, width, metric, exclude_self, most, schema)
     near = stage(first, "near")
     far = near.groupBy("row").agg(F.max("_distance").alias("far"), F.count("*").alias("n")).filter(F.col("n") >= k).select("row", "far")
     squared = {"l2sq": F.col("far"), "l2": F.col("far") * F.col("far"), "cosine": 2 * (F.abs("far") + 1e-12)}[metric]
@@ -195,15 +205,16 @@ def cell_join(
                     key = np.repeat(known.first[ring] - np.cumsum(many) + many, many) + np.arange(many.sum())
                     query = np.repeat(query, many) + a
                     new = key != visited[query]
+                    new[1:] &= (key[1:] != key[:-1]) | (query[1:] != query[:-1])  # rings with one key are neighbours
                     key, query = key[new], query[new]
                     for b in range(0, len(key), PAIRS):
                         some = batch.take(pa.array(query[b : b + PAIRS])) if whole else None
-                        columns = [some.column(c) for c in ("row", "q", "v")] if whole else []
-                        yield pa.RecordBatch.from_arrays([pa.array(key[b : b + PAIRS]), *columns], names=["key", *["row", "q", "v"][: len(columns)]])
+                        columns = [some.column(c) for c in ("row", "q", "v", "reach")] if whole else []
+                        yield pa.RecordBatch.from_arrays([pa.array(key[b : b + PAIRS]), *columns], names=["key", *["row", "q", "v", "reach"][: len(columns)]])
 
         return run
 
-    again = bounded.mapInArrow(pairs(True), StructType([head[3], *head[:3]]))
+    again = bounded.mapInArrow(pairs(True), StructType([head[3], *head[:3], StructField("reach", DoubleType())]))
     counted = bounded.mapInArrow(pairs(False), "key long")
     rest = _visit(again, counted, keyed, k, width, metric, exclude_self, most, schema)
     return near.unionByName(rest).drop("row")
@@ -212,23 +223,28 @@ def cell_join(
 def _visit(
     asked: DataFrame, counted: DataFrame, keyed: DataFrame, k: int, width: int, metric: str, exclude_self: bool, most: int, schema: StructType,
 ) -> DataFrame:
-    """The best k rows of each ``key`` for each query that asks for it; ``counted`` has the keys asked for."""
+    """The best k rows within ``reach`` of each ``key`` for each query that asks for it; ``counted`` has the keys asked for."""
     others = keyed.columns[3:]
-    slices = stage(counted.groupBy("key").agg(F.ceil(F.count("*") / most).cast("int").alias("slices")), "slices")  # a row for each ring
+    asked_for = stage(counted.groupBy("key").agg(F.count("*").alias("n")), "slices")  # a row for each key
+    share = min(most, max(SLICE, (asked_for.agg(F.sum("n")).first()[0] or 0) // TASKS))
+    slices = asked_for.select("key", F.ceil(F.col("n") / share).cast("int").alias("slices"))
     left = keyed.join(slices, "key").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     right = asked.join(slices, "key").withColumn("slice", F.pmod("row", "slices").cast("int"))
     left = left.select("key", "slice", F.lit(0).alias("kind"), "id", "v", *others)
-    right = right.select("key", "slice", F.lit(1).alias("kind"), "row", "q", "v")
+    right = right.select("key", "slice", F.lit(1).alias("kind"), "row", "q", "v", "reach")
     both = left.unionByName(right, allowMissingColumns=True).repartition("key", "slice").sortWithinPartitions("key", "slice", "kind")
     room = k + 1 if exclude_self else k
 
-    def best(part: pa.RecordBatch, ring: pa.Table, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def best(part: pa.RecordBatch, ring: pa.Table, x: np.ndarray, near: Near) -> Iterator[pa.RecordBatch]:
         q, _ = matrix(part.column("v"), width)
+        reach = part.column("reach").to_numpy()
         ids, names = ring.column("id").to_pandas(), part.column("q").to_pandas()
-        step = max(1, BLOCK_BYTES // (8 * len(x)))
+        step = 8 * Near.QUERIES
         for a in range(0, len(q), step):
             some = q[a : a + step]
-            rows, cols = candidates(x, some, room, metric)
+            rows, cols = near.within(some, room, reach[a : a + step])
+            if not len(rows):
+                continue
             found = pd.DataFrame({"query": cols + a, "at": rows, "id": ids.iloc[rows].to_numpy(), "d": pair_distance(x[rows], some[cols], metric)})
             if exclude_self:
                 found = found[found["id"].to_numpy() != names.to_numpy()[found["query"]]]
@@ -239,7 +255,7 @@ def _visit(
             yield from pa.table(columns, names=["row", *schema.names]).combine_chunks().to_batches()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, ring, x = None, [], None, None
+        key, parts, ring, x, near = None, [], None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -254,6 +270,7 @@ def _visit(
                     if ring is None:
                         ring = pa.Table.from_batches(parts).combine_chunks()
                         x, _ = matrix(ring.column("v").chunk(0), width)
-                    yield from best(batch.slice(a, b - a), ring, x)
+                        near = Near(x, metric)
+                    yield from best(batch.slice(a, b - a), ring, x, near)
 
     return both.mapInArrow(search, StructType([StructField("row", LongType()), *schema.fields]))

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from annalist.functions.vectors import HashingEmbedder, cosine_distance, squared_l2, with_vectors
-from annalist.operators.cell_join import Rings, _class_of, _from_pivots
+from annalist.operators.blocks import Near, pair_distance
+from annalist.operators.cell_join import Rings, _class_of, _from_pivots, cell_join
 from annalist.operators.nearest import ClusteredIndex, nearest, nearest_join
 from annalist.plans.stores import VectorStore
 from annalist.specs import text_entry
@@ -92,6 +94,34 @@ def test_cell_join_equals_brute_force(spark, clusters, metric):
         assert [found["r0399"][k][2] for k in (1, 2, 3, 4)] == [0, 1, 2, 3]
 
 
+def test_cell_join_returns_few_rows_beyond_the_answer(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 24))  # distances that hardly differ rule out no ring
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    schema = StructType([StructField("query_id", LongType()), StructField("id", LongType()), StructField("_distance", DoubleType())])
+    found = cell_join(rows, rows, 3, 24, "l2sq", True, 24 * 8 * 50, schema).toPandas()
+    assert len(found) < 30 * 1500  # three rows out of each of 60 rings and more before
+    best = found.drop_duplicates(["query_id", "id"]).sort_values(["query_id", "_distance", "id"]).groupby("query_id").head(3)
+    for i in range(0, 1500, 100):
+        assert best[best["query_id"] == i]["id"].tolist() == list(brute(x, x[i], 3, skip=i)[0])
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "l2", "cosine"])
+def test_rows_within_a_bound(metric):
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(9000, 5)), rng.normal(size=(40, 5))
+    x[8990], x[8991], q[39] = 1e200, 0, 0  # overflows, and vectors of zeros
+    all_ = np.stack([pair_distance(x, np.broadcast_to(v, x.shape), metric) for v in q])
+    for reach in (0.0, 0.6, 1.4, np.inf):
+        rows, cols = Near(x, metric).within(q, 4, np.full(len(q), reach))
+        got = set(zip(cols.tolist(), rows.tolist()))
+        most = {"l2sq": reach**2, "l2": reach, "cosine": reach**2 / 2}[metric]
+        for i in range(len(q)):
+            wanted = [j for j in np.argsort(all_[i], kind="stable")[:4].tolist() if all_[i, j] <= most]
+            assert all((i, j) in got for j in wanted)
+    rows, cols = Near(x, metric).within(x[:5], 4, np.zeros(5))
+    assert {(i, i) for i in range(5)} <= set(zip(cols.tolist(), rows.tolist()))
+
+
 def test_cell_join_of_odd_sides(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "id long, vector array<double>")
     two = rows((1, [0.0, 0.0]), (1, [1.0, 0.0]), (None, [2.0, 0.0]))
