@@ -21,7 +21,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from annalist.llm.common import bounded_batches, texts_of
+from annalist.llm.common import bounded_batches, kept, texts_of
 
 #: Fixed value: how byte-level vocabularies split a text.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -162,12 +161,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=4)
+@kept
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-@lru_cache(maxsize=4)
+@kept
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary; special tokens are their text."""
     with open(path, encoding="utf-8") as file:
@@ -327,5 +326,5 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [None if i is None else decode_ids(i, table).decode(errors="replace") for i in batch.column("ids").to_pylist()]
             yield batch.append_column("text", pa.array(texts, pa.string()))
 
-    kept = encoded.drop("text")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("text", StringType())]))
+    rest = encoded.drop("text")
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField("text", StringType())]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run`` for ``mapInArrow``; what it freed goes back to the system at its end, because the workers live on for other steps."""
+    """``run`` for ``mapInArrow``; what it freed goes back to the system at its end, because the workers live on for other steps.
+
+    At its start the worker drops what other steps kept by ``kept``.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         try:
             yield from run(batches)
         finally:
@@ -43,6 +48,23 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
+_kept: list = []
+
+
+def kept(make: Callable):
+    """``make`` whose results a worker keeps for the next tasks of its step."""
+    _kept.append(lru_cache(maxsize=4)(make))
+    return _kept[-1]
+
+
+def drop_kept() -> None:
+    """Let go of what other steps kept in this process."""
+    if any(made.cache_info().currsize for made in _kept):
+        for made in _kept:
+            made.cache_clear()
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory of this process to the system, where its libraries can."""
     pa.default_memory_pool().release_unused()

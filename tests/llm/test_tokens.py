@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from annalist.llm import bpe, packing, tokens
+from annalist.llm import bpe, common, packing, tokens
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PARTS = ["a", "b", "é", "É", " ", "\n", "\t", "'s", "'", "!", ".", ",", "日", "́", "1", "²", "ª", "<|endoftext|>", " ", "ß", "  ", "_", "-", "the"]
@@ -136,3 +136,10 @@ def test_digest_columns(spark, sf):
         ids = ids_of(tokenizer, r.text)
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_other_steps_drop_the_encoder():
+    bpe.encoder(BYTE).ids(["some words"])
+    bpe.token_bytes(BYTE)
+    assert list(common.trimmed(lambda batches: iter(batches))(iter([1]))) == [1]
+    assert bpe.encoder.cache_info().currsize == bpe.token_bytes.cache_info().currsize == 0
