@@ -4,11 +4,11 @@ Documents are dealt into shards of bounded size, and each shard's inverted index
 is one row of a stored table: its documents, their lengths, its terms, and the
 postings of each term in document order. Queries come in blocks of bounded size.
 For a block, the document frequencies of its terms are summed over all shards
-first, so every shard scores with the same global statistics. In a shard, each
-term has the largest score it gives in each run of ``RUN`` documents where it occurs. The sum of these over the
-terms of a query bounds a run; runs are scored from the highest bound down, and those that
-cannot reach the k-th best score known so far are never opened. Scores of single postings are
-at hand, so within an opened run a pivot document is scored rather than bounded once more.
+first, so every shard scores with the same global statistics. In a shard, a term is rare or common. Postings of rare
+terms are few and are added up for each query. Common terms have the largest score they give in each run of ``RUN``
+documents, and one product of these maxima with a group of queries bounds what they add to any document. Only documents whose rare
+scores and bound reach the k-th best score known so far are looked up, from the highest bound down, in the matrix of what
+common terms give; only those that still reach it are scored in full precision.
 
 Shards are searched in rounds, the first of about one shard and each next one of four times as many.
 The k-th best score of the rounds before is a floor for all shards of a round: they skip
@@ -18,12 +18,14 @@ instead of ``k`` out of each shard. The best k of what is left are the best of a
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +33,11 @@ from pyspark.sql import functions as F
 from annalist.llm.common import bounded_batches, stage
 from annalist.session import scratch_path
 
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 K1, B = 1.2, 0.75
 #: Bytes of text in a shard (and what a row counts beside its text), documents of a run, terms (counted in each query) of a block of queries.
-SHARD, ROW, RUN, BLOCK = 24 << 20, 256, 32, 1_000_000
+SHARD, ROW, RUN, BLOCK = 24 << 20, 256, 4, 1_000_000
+#: A term is common in a shard where one document in so many or more has it. Queries whose bounds are found by one product.
+COMMON, TOGETHER = 20, 256
 #: What a shard is stored as, and in which round from the last it is searched.
 STORED = "doc_ids binary, lengths binary, terms binary, sizes binary, postings binary, counts binary, level int"
 
@@ -68,19 +71,23 @@ def level_of(partition: int, number: int) -> int:
     return (32 - drawn.bit_length()) // 2
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-cased (A-Z) runs without white space (space and 0x09 to 0x0D, at which bytes split)."""
+    return text.lower().split()
+
+
 class Shard:
     """An index being built."""
 
     def __init__(self):
         self.ids: list[int] = []
         self.lengths: list[int] = []
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, doc_id: int, text: bytes) -> None:
-        words = WORDS.findall(text.lower())
-        number = self.numbers.setdefault
-        terms = np.array([number(w, len(self.numbers)) for w in words], dtype=np.int64)
+        words = words_of(text)
+        terms = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         self.ids.append(doc_id)
         self.lengths.append(len(words))
         self.found.append(np.unique(terms, return_counts=True))
@@ -101,21 +108,22 @@ class Shard:
 class Opened:
     """A stored shard, with the terms that some queries ask for."""
 
-    def __init__(self, row: dict[str, bytes], wanted: dict[bytes, int]):
+    def __init__(self, row: dict[str, bytes], wanted: pa.Array):
         self.ids = np.frombuffer(row["doc_ids"], "<i8")
         self.lengths = np.frombuffer(row["lengths"], "<i4")
         sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
         ends = np.cumsum(sizes)
-        terms = row["terms"].split(b" ") if len(sizes) else []
-        here = sorted((wanted[t], n) for n, t in enumerate(terms) if t in wanted)
-        self.asked = np.array([w for w, _ in here], dtype=np.int64)  # number among the wanted
-        own = np.array([n for _, n in here], dtype=np.int64)
+        number = pc.index_in(split_terms(row["terms"], len(sizes)), wanted)
+        own = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+        self.asked = number.drop_null().to_numpy().astype(np.int64)  # number among the wanted
+        order = np.argsort(self.asked)
+        self.asked, own = self.asked[order], own[order]
         self.begin, self.end = ends[own] - sizes[own], ends[own]
         self.postings = np.frombuffer(row["postings"], "<i4")
         self.counts = np.frombuffer(row["counts"], "<i4")
 
     def weigh(self, idf: np.ndarray, mean_length: float) -> None:
-        """Scores of all postings asked for, and their maxima by run."""
+        """Scores of all postings asked for, by term and by document, and those of common terms as a matrix with its maxima by run."""
         at = ranges(self.begin, self.end)
         self.doc = self.postings[at]
         sizes = self.end - self.begin
@@ -123,70 +131,88 @@ class Opened:
         self.begin = self.end - sizes
         tf = self.counts[at].astype(np.float64)
         norm = K1 * (1 - B + B * self.lengths / max(mean_length, 1e-9))
-        self.score = np.repeat(idf[self.asked], sizes) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.runs = -(-len(self.ids) // RUN)
-        cell = np.repeat(np.arange(len(sizes)) * self.runs, sizes) + self.doc // RUN
-        #: Cells, that is, pairs of a term and a run that holds it: where their postings start, and the best score among them.
-        self.first = np.flatnonzero(np.diff(cell, prepend=-1))
-        cells = cell[self.first]
-        self.run_of = cells % self.runs
-        self.bounds = np.maximum.reduceat(self.score, self.first) if len(self.first) else np.zeros(0)
-        self.first = np.append(self.first, len(cell))
-        ends = np.searchsorted(cells, np.arange(len(sizes) + 1) * self.runs)
-        self.cell_begin, self.cell_end = ends[:-1], ends[1:]
-        #: Terms in a quarter of all runs or more also have a row with the bounds and numbers of their cells by run.
-        common = np.flatnonzero(4 * (self.cell_end - self.cell_begin) >= self.runs)
+        score = np.repeat(idf[self.asked], sizes) * tf * (K1 + 1) / (tf + norm[self.doc])
+        #: The same postings by document, in the order of terms.
+        order = np.argsort(self.doc.astype(np.uint16) if len(self.ids) <= 1 << 16 else self.doc, kind="stable")
+        self.term_of, self.score_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], score[order]
+        self.doc_size = np.bincount(self.doc, minlength=len(self.ids))
+        self.doc_begin = np.cumsum(self.doc_size) - self.doc_size
+        # Bounds and choices are in single precision, only what is returned is not.
+        self.score = score.astype(np.float32)
+        common = np.flatnonzero(COMMON * sizes >= len(self.ids))
         self.row = np.full(len(sizes), -1)
         self.row[common] = np.arange(len(common))
-        own = ranges(self.cell_begin[common], self.cell_end[common])
-        to = self.row[cells[own] // self.runs] * self.runs + self.run_of[own]
-        self.wide_bounds, self.wide_cells = np.zeros(len(common) * self.runs), np.full(len(common) * self.runs, -1, dtype=np.int32)
-        self.wide_bounds[to], self.wide_cells[to] = self.bounds[own], own
-        self.wide_bounds, self.wide_cells = self.wide_bounds.reshape(-1, self.runs), self.wide_cells.reshape(-1, self.runs)
+        own = ranges(self.begin[common], self.end[common])
+        row, doc = np.repeat(np.arange(len(common)), sizes[common]), self.doc[own]
+        self.dense = np.zeros((len(self.ids), len(common)), dtype=np.float32)
+        self.dense[doc, row] = self.score[own]
+        self.runs = -(-len(self.ids) // RUN)
+        cell = row * self.runs + doc // RUN
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.maxima = np.zeros(len(common) * self.runs, dtype=np.float32)
+        if len(first):
+            self.maxima[cell[first]] = np.maximum.reduceat(self.score[own], first)
+        self.maxima = self.maxima.reshape(-1, self.runs)
+        #: Sums of so many single-precision scores are not farther below the exact ones.
+        self.margin = 1 + (len(common) + 8) * 2.0**-23
         self.place = np.full(len(idf), -1)
         self.place[self.asked] = np.arange(len(sizes))
-
-    def best(self, terms: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        self.among = np.zeros(len(sizes), dtype=bool)
+
+    def best_of(self, queries: list[np.ndarray], k: int, floors: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``best`` of each query; for some of them at once, one product with the maxima gives what the common terms add to a run at most."""
+        for start in range(0, len(queries), TOGETHER):
+            found = [self.place[terms] for terms in queries[start : start + TOGETHER]]
+            asks = np.zeros((len(found), len(self.maxima)), dtype=np.float32)
+            for ask, own in zip(asks, found):
+                rows = self.row[own[own >= 0]]
+                ask[rows[rows >= 0]] = 1
+            for ask, own, most, floor in zip(asks, found, asks @ self.maxima, floors[start:]):
+                yield self.best(own[own >= 0], ask, most, k, floor)
+
+    def best(self, own: np.ndarray, ask: np.ndarray, most: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of the best k (equal scores: smaller id first) that share a term and reach the floor."""
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        own = self.place[terms]
-        own = own[own >= 0]
-        if not len(own):
-            return ids, scores
-        rows = self.row[own]
-        rare, rows = own[rows < 0], rows[rows >= 0]
-        cells = ranges(self.cell_begin[rare], self.cell_end[rare])
-        runs = self.run_of[cells]
-        # Sums in another order differ by rounding; a bound must not be too low.
-        bound = (np.bincount(runs, self.bounds[cells], self.runs) + self.wide_bounds[rows].sum(axis=0)) * (1 + 1e-9)
-        order = np.flatnonzero((bound >= floor) & (bound > 0))
+        rare = own[self.row[own] < 0]
+        at = ranges(self.begin[rare], self.end[rare])
+        sums = np.bincount(self.doc[at], self.score[at], self.runs * RUN)
+        bound = ((sums.reshape(-1, RUN) + most[:, None]) * self.margin).ravel()[: len(self.ids)]
+        order = np.flatnonzero(bound >= floor if floor > 0 else bound > 0)
         order = order[np.argsort(-bound[order], kind="stable")]
-        at, step = 0, 4
+        self.among[own] = True
+        at, step = 0, 4 * k
         while at < len(order):
             if len(ids) == k:
                 order = order[: int(np.searchsorted(-bound[order], -scores[-1], side="right"))]
                 if at >= len(order):
                     break
-            doc, found = self.open(rows, cells, runs, order[at : at + step])
+            doc = order[at : at + step]
             at, step = at + step, step * 4
             least = max(floor, scores[-1]) if len(ids) == k else floor
-            doc, found = doc[found >= least], found[found >= least]
-            ids, scores = np.concatenate([ids, self.ids[doc]]), np.concatenate([scores, found])
+            doc = doc[(sums[doc] + self.dense[doc] @ ask) * self.margin >= least]
+            found = self.scores(doc)
+            reach = (found > 0) & (found >= least)
+            ids, scores = np.concatenate([ids, self.ids[doc[reach]]]), np.concatenate([scores, found[reach]])
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
+        self.among[own] = False
         return ids, scores
 
-    def open(self, rows: np.ndarray, cells: np.ndarray, runs_of: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of some runs with their scores for common terms (by row) and rare ones (by cell), added up in the order of terms."""
-        slot = np.full(self.runs, -1)
-        slot[runs] = np.arange(len(runs))
-        wide = self.wide_cells[rows[:, None], runs].ravel()
-        inside = np.sort(np.concatenate([cells[slot[runs_of] >= 0], wide[wide >= 0]]))
-        at = ranges(self.first[inside], self.first[inside + 1])
-        doc = self.doc[at]
-        total = np.bincount(slot[doc // RUN] * RUN + doc % RUN, self.score[at], len(runs) * RUN)
-        hit = np.flatnonzero(total)  # every posting scores above zero
-        return runs[hit // RUN] * RUN + hit % RUN, total[hit]
+    def scores(self, docs: np.ndarray) -> np.ndarray:
+        """Scores of some documents for the terms that are marked, added up in the order of terms."""
+        sizes = self.doc_size[docs]
+        at = ranges(self.doc_begin[docs], self.doc_begin[docs] + sizes)
+        hit = np.flatnonzero(self.among[self.term_of[at]])
+        return np.bincount(np.repeat(np.arange(len(docs)), sizes)[hit], self.score_of[at[hit]], len(docs))
+
+
+def split_terms(raw: bytes, n: int) -> pa.Array:
+    """The ``n`` terms of a shard, which a space separates."""
+    data = np.frombuffer(raw, np.uint8)
+    gaps = np.flatnonzero(data == 0x20)
+    ends = np.append(gaps, len(data))[:n] - np.arange(n)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.delete(data, gaps))])
 
 
 def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -208,7 +234,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(set(WORDS.findall((t or b"").lower()))) for t in batch.column("text").to_pylist()]
+            found = [sorted(set(words_of(t or b""))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"query_id": batch.column("query_id"), "terms": pa.array(found, pa.list_(pa.binary()))})
 
     asked = queries.filter("query_id IS NOT NULL").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("text").cast("binary").alias("text"))
@@ -242,7 +268,7 @@ def search_block(shards: DataFrame, levels: list[int], queries: pa.Table, n: int
     vocabulary = sorted({t for terms in lists for t in terms})
     wanted = {t: number for number, t in enumerate(vocabulary)}
     terms = [np.array([wanted[t] for t in x], dtype=np.int64) for x in lists]
-    words = spark.sparkContext.broadcast(wanted)  # bounded by BLOCK
+    words = spark.sparkContext.broadcast(pa.array(vocabulary, pa.binary()))  # bounded by BLOCK
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(words.value), dtype=np.int64)
@@ -287,7 +313,7 @@ def search_level(shards: DataFrame, words: Broadcast, plan: Broadcast, floors: B
             for row in batch.to_pylist():
                 opened = Opened(row, words.value)
                 opened.weigh(idf, mean_length)
-                best = [opened.best(t, k, floor) for t, floor in zip(terms, floors.value.tolist())]
+                best = list(opened.best_of(terms, k, floors.value.tolist()))
                 many = [len(d) for d, _ in best]
                 yield pa.RecordBatch.from_pydict(
                     {

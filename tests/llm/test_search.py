@@ -3,8 +3,10 @@
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -56,6 +58,39 @@ def test_search_odd_rows(spark):
     assert search.search(docs, queries.limit(0)).count() == 0
 
 
+def test_few_documents_are_scored_in_full(monkeypatch):
+    """Frequent words are in most runs, so bounds by run alone would open nearly all of them."""
+    rng = np.random.default_rng(3)
+    docs = [(n, " ".join(f"w{x}" for x in rng.zipf(1.2, 120) if x < 1 << 30)) for n in range(3000)]
+    monkeypatch.setattr(search, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    shard = search.Shard()
+    for doc_id, text in docs:
+        shard.add(doc_id, text.encode())
+    queries = [sorted(set(search.words_of(t.encode()))) for _, t in docs[::100]]
+    wanted = sorted({t for q in queries for t in q})
+    opened = search.Opened(shard.row(0).to_pylist()[0], pa.array([*wanted, b"zzz"], pa.binary()))
+    df = np.zeros(len(wanted) + 1)
+    df[opened.asked] = opened.end - opened.begin
+    opened.weigh(np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)), opened.lengths.mean())
+    scored, scores = [], opened.scores
+    opened.scores = lambda found: scored.append(len(found)) or scores(found)
+    got = list(opened.best_of([np.searchsorted(wanted, q) for q in queries], 5, [0.0] * len(queries)))
+    want = ranked(docs, [(n, docs[n][1]) for n in range(0, len(docs), 100)], 5)
+    for (ids, found), expected in zip(got, want.values()):
+        assert ids.tolist() == [d for d, _ in expected]
+        assert found.tolist() == pytest.approx([s for _, s in expected])
+    assert sum(scored) < 100 * len(queries)
+    floors = [found[0] for _, found in got]
+    assert [(i.tolist(), s.tolist()) for i, s in opened.best_of([np.searchsorted(wanted, q) for q in queries], 5, floors)] == [
+        ([int(i[0])], [float(s[0])]) for i, s in got
+    ]
+
+
+def test_terms_of_a_shard():
+    for terms in ([], [b"a"], [b"bc", b"\xc3\xa9", b"d" * 40]):
+        assert search.split_terms(b" ".join(terms), len(terms)).to_pylist() == terms
+
+
 def test_pipeline(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns)
