@@ -2,7 +2,7 @@
 
 Short texts are cut where the tokenizer's own pattern cannot look across (before
 white space that follows something else), and the pieces are looked up in a
-bounded cache. Texts longer than a leaf are encoded by tree concatenation: the
+bounded cache. Where white space has no ids, text of letters and common marks is encoded whole, in one call for many texts. Texts longer than a leaf are encoded by tree concatenation: the
 text is halved until the halves are leaves, the leaves are spread over the
 cluster and encoded in parallel, then neighbours are joined up the tree. Where a
 cut fell inside an unsplit run, a window around the join is encoded again and
@@ -44,6 +44,12 @@ LETTERS, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", ".,!?;:*#$%&|"
 WORD = f"[{LETTERS}]++(?=[{MARKS}]*+(?:[{PLAIN}]|\\Z))|[{MARKS}]++(?=[{PLAIN}]|\\Z)"
 PIECE = re.compile(f"[{PLAIN}]*+{WORD}|[{PLAIN}]*+[^{PLAIN}]+|[{PLAIN}]+")
 SIMPLE = re.compile(f"[{LETTERS}]+")
+#: What is neither of these letters and marks nor plain white space, and runs that hold some.
+OTHER = re.compile(f"[^{LETTERS}{MARKS}{PLAIN}]")
+OTHER_RUN = re.compile(f"(?<![^{PLAIN}])([{LETTERS}{MARKS}]*+[^{LETTERS}{MARKS}{PLAIN}][^{PLAIN}]*+)")
+#: Kinds of the bytes of texts without others: 0 white space, 1 letters, 2 marks. And a text by which a vocabulary shows that it splits so.
+KINDS = np.array([0 if chr(b) in PLAIN else 2 if chr(b) in MARKS else 1 for b in range(256)], dtype=np.uint8)
+PROBE = "".join(f"Ab{m}C {m}\xc9 {m}{n}\n" for m in MARKS for n in MARKS) + " \t\n\v\f\r".join("xyz")
 #: White space on which pattern engines differ: texts with it are not cut into pieces.
 ODD_CODES = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 ODD = re.compile("[" + "".join(map(chr, ODD_CODES)) + "]")
@@ -64,6 +70,9 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.fast = ranked(data, path)
+        # Special tokens must not hide in letters and marks.
+        self.plain = self.fast is not None and self.fast[1] is not None and all(map(OTHER.search, self.special))
+        self.plain = self.plain and self.plain_ids([PROBE]) == self.library([PROBE])
         self.piece = PIECE if self.library([" "])[0] else re.compile(f"{WORD}|[^{PLAIN}]+")
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -74,7 +83,7 @@ class Encoder:
         """Ids of pieces that the cache does not hold."""
         if self.fast is None:
             return dict(zip(pieces, self.library(pieces)))
-        ranks, ids = self.fast
+        ranks, ids, _ = self.fast
         encode = ranks.encode_ordinary
         if ids is None:
             return {p: array("I", encode(p)).tobytes() for p in pieces}
@@ -87,10 +96,43 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for start in range(0, len(texts), 64):
-            out += self._ids(texts[start : start + 64])
+            some = texts[start : start + 64]
+            out += self.by_runs(some) if self.plain else self.by_pieces(some)
         return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def by_runs(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose white space has none: runs of letters and marks are encoded together, the others by pieces."""
+        parts: list[list[str]] = []  # by turns text of letters and marks, and a run with something else
+        for text in texts:
+            if not OTHER.search(text):
+                parts.append([text])
+            elif ODD.search(text) or self.any_special.search(text):
+                parts.append(["", text])
+            else:
+                parts.append(OTHER_RUN.split(text))
+        plain = iter(self.plain_ids([p for x in parts for p in x[::2]]))
+        others = iter(self.by_pieces([p for x in parts for p in x[1::2]]))
+        return [b"".join(next(others if n % 2 else plain) for n in range(len(x))) for x in parts]
+
+    def plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that hold plain white space, letters and marks only, all in one call. Letters next to each other are a word, as are marks."""
+        ranks, ids, last = self.fast
+        coded = [t.lower().encode() for t in texts]
+        raw = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
+        kinds = KINDS[raw]
+        mask = np.empty((len(raw), 2), dtype=bool)
+        mask[:, 0] = kinds > 0
+        mask[:, 1] = mask[:, 0] & (kinds != np.append(kinds[1:], 0))
+        both = np.zeros((len(raw), 2), dtype=np.uint8)  # ``WORD_END`` is a zero byte
+        both[:, 0] = raw
+        found = ranks.encode_to_numpy(both[mask].tobytes().decode())
+        words = np.searchsorted(np.flatnonzero(mask[:, 1]), np.cumsum([0, *(len(c) + 1 for c in coded)]))
+        at = (4 * np.append(0, np.flatnonzero(last[found]) + 1)[words]).tolist()
+        out = ids[found].tobytes()
+        return [out[a:b] for a, b in zip(at, at[1:])]
+
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by the cache of pieces."""
         whole = [bool(ODD.search(t) or self.any_special.search(t)) for t in texts]
         cut = [None if w else self.piece.findall(t) for w, t in zip(whole, texts)]
         if len(self.known) > CACHED:
@@ -118,10 +160,11 @@ class Encoder:
 
 
 def ranked(data: dict, path: str):
-    """The same encoding of single pieces by ranks, which is faster: an encoding, and the id of each rank unless they are the same.
+    """The same encoding of single pieces by ranks, which is faster: an encoding, the id of each rank unless they are the same, and whether it ends a word.
 
     None for vocabularies of another make. Where tokens tell the end of a word, the pieces are
-    simple words, and a character that is in none of them stands for the end; joining it to the last byte comes first.
+    simple words, and a character that is in none of them stands for the end; joining it to the last byte comes first. Many words,
+    each with that character, can be encoded in one call.
     """
     import tiktoken
 
@@ -143,15 +186,15 @@ def ranked(data: dict, path: str):
         names = [shown[b] for b in range(256)] + [shown[b] + end for b in range(256)] + [a + b for a, b in pairs]
         if len(set(tokens)) != len(tokens):
             return None
-        ranks = tiktoken.Encoding("ranked", pat_str=r"[\s\S]+", mergeable_ranks={t: n for n, t in enumerate(tokens)}, special_tokens={})
-        return ranks, np.array([model["vocab"][n] for n in names], dtype="<u4")
+        ranks = tiktoken.Encoding("ranked", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks={t: n for n, t in enumerate(tokens)}, special_tokens={})
+        return ranks, np.array([model["vocab"][n] for n in names], dtype="<u4"), np.array([n.endswith(end) for n in names])
     if split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or data["normalizer"]:
         return None
     table = token_bytes(path)
     if len(order) + 256 + len(special) != len(table):
         return None
     ranks = {b: n for n, b in enumerate(table) if n not in special}
-    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}), None
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}), None, None
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -50,6 +50,17 @@ def test_word_vocabulary(rows):
     assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(r.doc_id), ids_of(tokenizer, r.text).tobytes()) for r in rows.collect())
 
 
+def test_plain_text_is_encoded_at_once():
+    encoder, tokenizer, rng = bpe.Encoder(WORD), Tokenizer.from_file(WORD), random.Random(7)
+    assert encoder.plain and not bpe.Encoder(BYTE).plain
+    plain = [*bpe.MARKS, *"aAbzZéÉßÀÿÖ", "the", "ing", *bpe.PLAIN, " "]
+    other = ["1", "42", "-", "'s", "<|endoftext|>", "日", "\u0301", "\xa0", "@", "×", "\0", "ª"]
+    for letters, kept in ((plain, False), (plain + other, True)):
+        lines = ["", " ", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(500))]
+        assert encoder.ids(lines) == [ids_of(tokenizer, t).tobytes() for t in lines]
+        assert bool(encoder.known) == kept  # letters and marks need neither the cache nor a call for each word
+
+
 def test_ranks_round_trip():
     for numbers in ([], [0], [255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 3], list(range(1000))):
         control, data = tokens.pack_ranks(np.array(numbers, dtype=np.uint32))
